@@ -1,0 +1 @@
+"""Empty on purpose: every described input is a file, so nothing streams."""
