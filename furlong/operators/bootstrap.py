@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong import settings
+from furlong.operators.metrics import race_table
+from furlong.scale.storage import lay_down
 
 DRAWS = 4
 _HEX = 8
@@ -90,8 +92,10 @@ def bootstrap_ci(
     """Point value and percentile interval of a ratio of sums.
 
     ``stat`` is an expression over the columns ``sums``; it is applied to the
-    plain sums and to those of each replicate.
+    plain sums and to those of each replicate. The unit table is stored first,
+    both are computed from it.
     """
+    per_unit = lay_down(per_unit.select(unit, *sums), "units")
     point = per_unit.agg(*[F.sum(c).alias(c) for c in sums]).select(
         stat.alias("value"), F.lit(1).alias("_one")
     )
@@ -115,24 +119,32 @@ def paired_losses(a: DataFrame, b: DataFrame, race: str = "race_id") -> DataFram
 
     Races either side leaves out are left out.
     """
-    return (
-        a.where(F.col("loss").isNotNull())
-        .select(race, F.col("loss").alias("loss_a"))
-        .join(b.where(F.col("loss").isNotNull()).select(race, F.col("loss").alias("loss_b")), race)
-        .select(race, (F.col("loss_a") - F.col("loss_b")).alias("gain"), F.lit(1.0).alias("one"))
+    both = a.select(race, F.col("loss").alias("_a")).join(
+        b.select(race, F.col("loss").alias("_b")), race
     )
+    return _gains(both, "_a", "_b", race)
 
 
-def paired_gain(a: DataFrame, b: DataFrame, race: str = "race_id") -> DataFrame:
-    return paired_losses(a, b, race).agg(
-        F.avg("gain").alias("gain"), F.count(F.lit(1)).alias("races")
-    )
+def gains_in(
+    df: DataFrame, a: str, b: str, y: str = "win", race: str = "race_id"
+) -> DataFrame:
+    """Per-race gain of probability ``b`` over ``a`` when both are on the same
+    entries: one aggregation, no join."""
+    return _gains(race_table(df, [a, b], (), y, race), f"loss_{a}", f"loss_{b}", race)
+
+
+def _gains(losses: DataFrame, a: str, b: str, race: str) -> DataFrame:
+    gain = F.col(a) - F.col(b)
+    return losses.where(gain.isNotNull()).select(race, gain.alias("gain"), F.lit(1.0).alias("one"))
+
+
+def paired_gain(gains: DataFrame) -> DataFrame:
+    return gains.agg(F.avg("gain").alias("gain"), F.count(F.lit(1)).alias("races"))
 
 
 def gain_ci(
-    a: DataFrame, b: DataFrame, race: str = "race_id", count: int = settings.REPLICATES
+    gains: DataFrame, race: str = "race_id", count: int = settings.REPLICATES
 ) -> DataFrame:
-    gains = paired_losses(a, b, race)
     return bootstrap_ci(gains, ["gain", "one"], F.col("gain") / F.col("one"), race, count)
 
 

@@ -89,12 +89,38 @@ def roc_auc(df: DataFrame, score: str, y: str = "win") -> DataFrame:
 # -- race-level metrics ----------------------------------------------------
 
 
+def race_table(
+    df: DataFrame,
+    ps: Sequence[str],
+    keys: Sequence[str] = (),
+    y: str = "win",
+    race: str = "race_id",
+    normalize: bool = False,
+) -> DataFrame:
+    """Per race and probability: ``loss_<p>`` and, given ``keys``, ``hit_<p>``.
+
+    One aggregation serves all probabilities. ``hit`` is the label of the runner
+    with the largest probability, ties by key (D6). With ``normalize`` raw
+    scores may be given: the winner's score is divided by the race sum here, so
+    no window over the entries is needed. Races that D5 leaves out (fewer than
+    two runners, or not exactly one winner) keep their row, with nulls.
+    """
+    counts = (F.count(F.lit(1)) >= 2) & (F.sum(y) == 1)
+    aggs = []
+    for p in ps:
+        won = F.max(F.when(F.col(y) == 1, F.col(p)))
+        aggs.append(
+            F.when(counts, neg_log(won / F.sum(p) if normalize else won)).alias(f"loss_{p}")
+        )
+        if keys:
+            best = F.when(F.col(p).isNotNull(), F.struct((-F.col(p)).alias("p"), *keys))
+            aggs.append(F.when(counts, F.min_by(F.col(y), best)).alias(f"hit_{p}"))
+    return df.groupBy(race).agg(*aggs)
+
+
 def race_losses(df: DataFrame, p: str, y: str = "win", race: str = "race_id") -> DataFrame:
     """-ln p(winner) per race; null for races D5 leaves out."""
-    won = F.when(F.col(y) == 1, neg_log(p))
-    return df.groupBy(race).agg(
-        F.when((F.count(F.lit(1)) >= 2) & (F.sum(y) == 1), F.max(won)).alias("loss")
-    )
+    return race_table(df, [p], (), y, race).withColumnRenamed(f"loss_{p}", "loss")
 
 
 def race_log_loss(df: DataFrame, p: str, y: str = "win", race: str = "race_id") -> DataFrame:
@@ -112,14 +138,9 @@ def top1_rate(
     """Share of races won by the runner with the largest probability.
 
     Counts the races the log loss counts (D5)."""
-    best = F.when(F.col(p).isNotNull(), F.struct((-F.col(p)).alias("p"), *keys))
-    per_race = df.groupBy(race).agg(
-        F.min_by(F.col(y), best).alias("hit"),
-        F.sum(y).alias("winners"),
-        F.count(F.lit(1)).alias("runners"),
-    )
-    return per_race.where((F.col("runners") >= 2) & (F.col("winners") == 1)).agg(
-        F.avg("hit").alias("top1_rate"), F.count(F.lit(1)).alias("races")
+    hit = f"hit_{p}"
+    return race_table(df, [p], keys, y, race).agg(
+        F.avg(hit).alias("top1_rate"), F.count(hit).alias("races")
     )
 
 
@@ -185,15 +206,17 @@ def market_gap(
     y: str = "win",
     race: str = "race_id",
 ) -> DataFrame:
-    """Model minus market: AUC, log loss and Top-1, each with both sides."""
-    parts = []
-    for tag, p in (("model", model), ("market", market)):
-        parts += [
-            roc_auc(df, p, y).select(F.col("auc").alias(f"auc_{tag}")),
-            race_log_loss(df, p, y, race).select(F.col("log_loss").alias(f"log_loss_{tag}")),
-            top1_rate(df, p, keys, y, race).select(F.col("top1_rate").alias(f"top1_{tag}")),
-        ]
-    out = _beside(*parts)
+    """Model minus market: AUC, log loss and Top-1, each with both sides.
+
+    Reads ``df`` three times: once per AUC and once for all race metrics.
+    """
+    sides = (("model", model), ("market", market))
+    per_race = race_table(df, [model, market], keys, y, race).agg(
+        *[F.avg(f"loss_{p}").alias(f"log_loss_{tag}") for tag, p in sides],
+        *[F.avg(f"hit_{p}").alias(f"top1_{tag}") for tag, p in sides],
+    )
+    aucs = [roc_auc(df, p, y).select(F.col("auc").alias(f"auc_{tag}")) for tag, p in sides]
+    out = _beside(per_race, *aucs)
     for metric in ("auc", "log_loss", "top1"):
         out = out.withColumn(
             f"{metric}_gap", F.col(f"{metric}_model") - F.col(f"{metric}_market")

@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furlong import settings
-from furlong.operators.metrics import metric_rows, race_log_loss, roc_auc, top1_rate
-from furlong.operators.race import race_normalize
+from furlong.operators.metrics import metric_rows, race_table, roc_auc
 from furlong.operators.select import check_features
 from furlong.operators.split import assert_unweighted, kfold
 from furlong.scale.storage import lay_down
@@ -122,14 +121,15 @@ def evaluate(
     label: str = "win",
     race: str = "race_id",
 ) -> DataFrame:
-    """AUC of the score, log loss and Top-1 of the race-normalised score, as rows."""
-    parts = [metric_rows(roc_auc(scored, score_col, label).select("auc"), model)]
-    normal = race_normalize(scored, score_col, "_q", race=race)
-    parts.append(metric_rows(race_log_loss(normal, "_q", label, race).select("log_loss"), model))
-    parts.append(
-        metric_rows(top1_rate(scored, score_col, keys, label, race).select("top1_rate"), model)
+    """AUC of the score, log loss and Top-1 of the race-normalised score, as rows.
+
+    ``scored`` is read twice; store it when scoring is expensive.
+    """
+    per_race = race_table(scored, [score_col], keys, label, race, normalize=True).agg(
+        F.avg(f"loss_{score_col}").alias("log_loss"), F.avg(f"hit_{score_col}").alias("top1_rate")
     )
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    auc = roc_auc(scored, score_col, label).select("auc")
+    return metric_rows(auc, model).unionByName(metric_rows(per_race, model))
 
 
 def out_of_fold(

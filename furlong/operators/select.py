@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from furlong import settings
 from furlong.functions.odds import expected_return
 from furlong.scale.ordering import cut_row
+from furlong.scale.storage import lay_down
 
 # Roles a column can have; features are what remains when the others are dropped.
 ROLES = ("id", "time", "feature", "market", "post_race", "label")
@@ -94,7 +95,8 @@ def top_count(n: int, share: float) -> int:
 def _top_rule(
     df: DataFrame, score: str, keys: Sequence[str], share: float
 ) -> Column:
-    narrow = df.select(score, *keys).where(F.col(score).isNotNull())
+    # stored unsorted first: sorting samples its input before it moves it
+    narrow = lay_down(df.select(score, *keys).where(F.col(score).isNotNull()), "scores")
     k = top_count(narrow.count(), share)
     cut = cut_row(narrow, [F.col(score).desc(), *[F.col(c).asc() for c in keys]], k)
     if cut is None:
@@ -112,7 +114,8 @@ def top_fraction(
     """The best ``ceil(share * n)`` rows by score, ties by key ascending.
 
     Only score and keys are sorted; the row at the cut then becomes an ordinary
-    filter on the full rows, which are not moved at all.
+    filter on the full rows, which are not moved at all. ``df`` is read twice, so
+    store scores whose last digits may change when they are computed again.
     """
     return df.where(_top_rule(df, score, keys, share))
 

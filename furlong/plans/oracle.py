@@ -372,7 +372,7 @@ ORACLE = {
         """SELECT race_id, price, round(b / sum(b) OVER (PARTITION BY race_id), 6) AS p_blend
            FROM (SELECT *, 0.9E0 * market + 0.1E0 * model AS b FROM mod)""",
     ),
-    "race_normalize": _with("mod", "SELECT race_id, price, round(model, 6) AS model FROM mod"),
+    "race_normalize": _with("mod", "SELECT race_id, price, round(model, 9) AS model FROM mod"),
     "race_softmax": _with(
         "run",
         """SELECT race_id, price, round(e / sum(e) OVER (PARTITION BY race_id), 6) AS p FROM (
@@ -394,6 +394,7 @@ ORACLE = {
     "paired_gain": _with(
         "gain", "SELECT round(avg(gain), 6) AS gain, count(*) AS races FROM gain"
     ),
+    "paired_join": _with("gain", "SELECT race_id, round(gain, 6) AS gain FROM gain"),
     "bootstrap_ci": _with(
         "gain",
         f"SELECT round(avg(gain), 6) AS value, {_interval('gain / one')} FROM u",
@@ -510,7 +511,7 @@ ORACLE = {
     "entry_gap": _with("mod", "SELECT race_id, price, round(model - market, 6) AS gap FROM mod"),
     "align": _with(
         "mod",
-        """SELECT race_id, price, round(model, 6) AS model, round(market, 6) AS market,
+        """SELECT race_id, price, round(model, 9) AS model, round(market, 6) AS market,
            CAST(win AS BIGINT) AS win FROM mod""",
     ),
     "leaderboard": _with(

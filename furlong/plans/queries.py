@@ -48,6 +48,11 @@ def r6(c: Column | str, name: str | None = None) -> Column:
     return F.round(col, 6).alias(name or c)
 
 
+def r9(c: str) -> Column:
+    """For values that are simple fractions: six digits would often end on a half."""
+    return F.round(F.col(c), 9).alias(c)
+
+
 def day(c: str = "race_date") -> Column:
     return F.col(c).cast("string").alias(c)
 
@@ -58,7 +63,7 @@ def two_up(df: DataFrame) -> DataFrame:
 
 def ranked_score(c: str) -> Column:
     """A score to order by, freed from the noise of summation order."""
-    return F.round(F.col(c), 9)
+    return r9(c)
 
 
 # -- market ----------------------------------------------------------------
@@ -122,9 +127,15 @@ def base_rate(spark, sf):
     return metrics.base_rate(two_up(t.entries(spark, sf))).select(r6("base_rate"), "entries")
 
 
+def _scored(spark, sf):
+    """Entries with the model score, stored: selections read them more than once."""
+    rows = two_up(t.modelled(spark, sf)).withColumn("score", ranked_score("model"))
+    return lay_down(rows.select(*t.KEYS, "odds", "win", "score"), "scored")
+
+
 @query
 def lift_top10(spark, sf):
-    scored = two_up(t.modelled(spark, sf)).withColumn("score", ranked_score("model"))
+    scored = _scored(spark, sf)
     return metrics.lift_at(scored, "score", t.KEYS).select(
         r6("lift"), r6("top_rate"), r6("base_rate"), "k"
     )
@@ -132,7 +143,8 @@ def lift_top10(spark, sf):
 
 @query
 def top_fraction(spark, sf):
-    scored = two_up(_market(spark, sf)).withColumn("score", ranked_score("p"))
+    rows = two_up(_market(spark, sf)).withColumn("score", ranked_score("p"))
+    scored = lay_down(rows.select(*t.KEYS, "score"), "scored")
     return select.top_fraction(scored, "score", t.KEYS).select(*t.KEYS)
 
 
@@ -341,7 +353,7 @@ def blend(spark, sf):
 
 @query
 def race_normalize(spark, sf):
-    return t.modelled(spark, sf).select(*t.KEYS, r6("model"))
+    return t.modelled(spark, sf).select(*t.KEYS, r9("model"))
 
 
 @query
@@ -374,29 +386,35 @@ def calibrated_holdout(spark, sf):
 # -- uncertainty -----------------------------------------------------------
 
 
-def _losses(spark, sf):
-    """Per-race losses of the market and of the registered blend."""
-    rows = calibration.apply_calibration(
+def _calibrated(spark, sf):
+    """Modelled entries with the registered blend as ``p``."""
+    return calibration.apply_calibration(
         t.modelled(spark, sf), BLEND, hot=t.hot_races(spark, sf)
     )
-    return metrics.race_losses(rows, "market"), metrics.race_losses(rows, "p")
 
 
 @query
 def paired_gain(spark, sf):
-    return bootstrap.paired_gain(*_losses(spark, sf)).select(r6("gain"), "races")
+    gains = bootstrap.gains_in(_calibrated(spark, sf), "market", "p")
+    return bootstrap.paired_gain(gains).select(r6("gain"), "races")
+
+
+@query
+def paired_join(spark, sf):
+    """The same gain from two loss tables that were made separately."""
+    market = metrics.race_losses(_market(spark, sf), "p")
+    blended = metrics.race_losses(_calibrated(spark, sf), "p")
+    return bootstrap.paired_losses(market, blended).select("race_id", r6("gain"))
 
 
 @query
 def bootstrap_ci(spark, sf):
-    return bootstrap.gain_ci(*_losses(spark, sf), count=GAIN_REPLICATES).select(
-        r6("value"), r6("lo"), r6("hi")
-    )
+    gains = bootstrap.gains_in(_calibrated(spark, sf), "market", "p")
+    return bootstrap.gain_ci(gains, count=GAIN_REPLICATES).select(r6("value"), r6("lo"), r6("hi"))
 
 
 def _chosen(spark, sf):
-    scored = two_up(t.modelled(spark, sf)).withColumn("score", ranked_score("model"))
-    return strategy.select_bets(scored, "score", t.KEYS)
+    return strategy.select_bets(_scored(spark, sf), "score", t.KEYS)
 
 
 @query
@@ -415,8 +433,7 @@ def roi_ci(spark, sf):
 
 @query
 def lift_ci(spark, sf):
-    scored = two_up(t.modelled(spark, sf)).withColumn("score", ranked_score("model"))
-    flagged = select.top_flag(scored, "score", t.KEYS, name="chosen")
+    flagged = select.top_flag(_scored(spark, sf), "score", t.KEYS, name="chosen")
     return bootstrap.lift_ci(flagged, "chosen", count=GAIN_REPLICATES).select(
         r6("value"), r6("lo"), r6("hi")
     )
@@ -494,7 +511,8 @@ def upset_label(spark, sf):
 
 def _typed_upsets(spark, sf):
     rows = strategy.upset_type(strategy.upset_label(two_up(t.with_form(spark, sf))))
-    return rows.where(F.col("upset") == 1)
+    won = rows.where(F.col("upset") == 1)
+    return lay_down(won.select("type", "odds", "rest_days", "prior_starts"), "upsets")
 
 
 @query
@@ -526,8 +544,8 @@ def feature_correlation(spark, sf):
 
 @query
 def market_gap(spark, sf):
-    rows = two_up(t.modelled(spark, sf))
-    out = metrics.market_gap(rows, "model", "market", ["price"])
+    rows = two_up(t.modelled(spark, sf)).select(*t.KEYS, "win", "model", "market")
+    out = metrics.market_gap(lay_down(rows, "scored"), "model", "market", ["price"])
     return out.select(*[r6(c) for c in out.columns])
 
 
@@ -545,7 +563,7 @@ def align(spark, sf):
         t.entries(spark, sf).select(*t.KEYS, "win"),
     )
     return joins.align(*parts, t.KEYS).select(
-        *t.KEYS, r6("model"), r6("market"), F.col("win").cast("bigint").alias("win")
+        *t.KEYS, r9("model"), r6("market"), F.col("win").cast("bigint").alias("win")
     )
 
 
@@ -554,6 +572,7 @@ def leaderboard(spark, sf):
     rows = race.blend(
         two_up(t.modelled(spark, sf)), "market", "model", 0.1, hot=t.hot_races(spark, sf)
     )
+    rows = lay_down(rows.select(*t.KEYS, "win", "market", "model", "p_blend"), "scored")
     parts = [
         models.evaluate(rows, name, ["price"], col)
         for name, col in (("market", "market"), ("model", "model"), ("blend", "p_blend"))
@@ -593,11 +612,16 @@ def _parts(spark, sf):
     return _train(rows), rows.where(F.col("split") == "test")
 
 
-def _fitted(spark, sf, learner, label="win", allow_market=False, name=None):
+def _fitted(spark, sf, learner, label="win", allow_market=False):
+    """A fitted model, its features, and its stored test predictions."""
     train, test = _parts(spark, sf)
     features = [*t.FORM_FEATURES, *(t.MARKET_FEATURES if allow_market else ())]
     model = models.fit(train, features, label, learner, t.FEATURE_ROLES, allow_market)
-    return model, features, models.score(model, test)
+    return model, features, _predictions(models.score(model, test))
+
+
+def _predictions(scored: DataFrame) -> DataFrame:
+    return lay_down(scored.select(*t.KEYS, "win", "upset", "market", "p"), "predictions")
 
 
 def _win_model(learner: str, name: str) -> Query:
@@ -620,7 +644,7 @@ _win_model("linear_svm", "svm")
 def model_two_stage(spark, sf):
     train, test = _parts(spark, sf)
     scored = models.two_stage(train, test, list(t.FORM_FEATURES))
-    return models.evaluate(scored, "two_stage", ["price"])
+    return models.evaluate(_predictions(scored), "two_stage", ["price"])
 
 
 @query
@@ -671,10 +695,10 @@ def compare_versions(spark, sf):
     numeric = list(t.FORM_FEATURES)
 
     def evaluate(name: str, version: DataFrame) -> DataFrame:
-        model = models.fit(_train(version), numeric, "win", "logistic")
-        return models.evaluate(
-            models.score(model, version.where(F.col("split") == "valid")), name, ["price"]
-        )
+        stored = lay_down(version, name)
+        model = models.fit(_train(stored), numeric, "win", "logistic")
+        scored = models.score(model, stored.where(F.col("split") == "valid"))
+        return models.evaluate(_predictions(scored), name, ["price"])
 
     return preprocess.compare_versions(rows, numeric, evaluate).orderBy("metric", "value")
 
