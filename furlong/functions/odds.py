@@ -21,8 +21,9 @@ def inverse_odds(odds: Column | str) -> Column:
 
 
 def neg_log(p: Column | str) -> Column:
-    """-ln(p), with p kept off zero."""
-    return -F.ln(F.greatest(_col(p), F.lit(settings.PROB_FLOOR)))
+    """-ln(p), with p kept off zero (D5); null stays null."""
+    p = _col(p)
+    return F.when(p.isNotNull(), -F.ln(F.greatest(p, F.lit(settings.PROB_FLOOR))))
 
 
 def sharpen(p: Column | str, temperature: float) -> Column:
@@ -47,7 +48,7 @@ def expected_return(p: Column | str, odds: Column | str) -> Column:
 
 def kelly(p: Column | str, odds: Column | str, cap: float) -> Column:
     """Kelly fraction (p*o - 1) / (o - 1), clipped to [0, cap]."""
-    edge = expected_return(p, odds) / (_col(odds) - F.lit(1.0))
+    edge = F.try_divide(expected_return(p, odds), _col(odds) - F.lit(1.0))
     return F.when(_col(odds) > 1, F.least(F.greatest(edge, F.lit(0.0)), F.lit(float(cap)))).otherwise(
         F.lit(0.0)
     )

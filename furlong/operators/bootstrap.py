@@ -145,7 +145,7 @@ def paired_gain(gains: DataFrame) -> DataFrame:
 def gain_ci(
     gains: DataFrame, race: str = "race_id", count: int = settings.REPLICATES
 ) -> DataFrame:
-    return bootstrap_ci(gains, ["gain", "one"], F.col("gain") / F.col("one"), race, count)
+    return bootstrap_ci(gains, ["gain", "one"], F.try_divide("gain", "one"), race, count)
 
 
 def lift_ci(
@@ -162,8 +162,7 @@ def lift_ci(
         F.sum(y).cast("double").alias("hits"),
         F.count(F.lit(1)).cast("double").alias("n"),
     )
-    top = F.when(F.col("top") > 0, F.col("top_hits") / F.col("top"))
-    lift = F.when(F.col("hits") > 0, top / (F.col("hits") / F.col("n")))
+    lift = F.try_divide(F.try_divide("top_hits", "top"), F.try_divide("hits", "n"))
     return bootstrap_ci(per_race, ["top_hits", "top", "hits", "n"], lift, race, count)
 
 
@@ -175,7 +174,7 @@ def _per_race_bets(bets: DataFrame, odds: str, y: str, race: str) -> DataFrame:
 
 
 def _roi() -> Column:
-    return F.when(F.col("stake") > 0, F.col("back") / F.col("stake") - 1)
+    return F.try_divide("back", "stake") - 1
 
 
 def roi_ci(

@@ -8,9 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong import settings
-from furlong.functions.odds import mix, sharpen
-from furlong.operators.race import adjust_temperature, blend
+from furlong.functions.odds import mix, neg_log, sharpen
+from furlong.operators.race import share_in_race
 
 # Grid points evaluated per pass; each adds two sums to one aggregation.
 POINTS_PER_PASS = 24
@@ -36,11 +35,10 @@ def _race_losses(df: DataFrame, points, market, model, y, race) -> DataFrame:
             F.sum(F.when(F.col(y) == 1, s)).alias(f"_won{i}"),
         ]
     per_race = df.groupBy(race).agg(*aggs).where((F.col("_n") >= 2) & (F.col("_w") == 1))
-    floor = F.lit(settings.PROB_FLOOR)
     return per_race.select(
         race,
         *[
-            (-F.ln(F.greatest(F.col(f"_won{i}") / F.col(f"_all{i}"), floor))).alias(f"loss{i}")
+            neg_log(F.try_divide(f"_won{i}", f"_all{i}")).alias(f"loss{i}")
             for i in range(len(points))
         ],
     )
@@ -78,7 +76,9 @@ def calibration_grid(
 
 def choose(grid: DataFrame) -> Choice:
     """The grid point with the smallest loss; ties go to the smaller weight, then T."""
-    row = grid.orderBy("log_loss", "w", "t").first()
+    row = grid.where(F.col("log_loss").isNotNull()).orderBy("log_loss", "w", "t").first()
+    if row is None:
+        raise ValueError("no race to calibrate on")
     return Choice(row["w"], row["t"], row["log_loss"])
 
 
@@ -98,6 +98,10 @@ def apply_calibration(
     race: str = "race_id",
     hot: Sequence[int] | None = None,
 ) -> DataFrame:
-    """The calibrated probability of every entry."""
-    mixed = blend(df, market, model, choice.weight, "_mix", race=race, hot=hot)
-    return adjust_temperature(mixed, "_mix", choice.temperature, name, race=race, hot=hot).drop("_mix")
+    """The calibrated probability of every entry.
+
+    Normalising the blend before the temperature would cancel out, so the race
+    is summed once.
+    """
+    mixed = mix(market, model, choice.weight)
+    return share_in_race(df, sharpen(mixed, choice.temperature), name, race, hot)

@@ -26,7 +26,7 @@ def overround(df: DataFrame, odds: str = "odds", race: str = "race_id") -> DataF
 
 def payout_rate(df: DataFrame, odds: str = "odds", race: str = "race_id") -> DataFrame:
     return overround(df, odds, race).agg(
-        F.avg(F.lit(1.0) / F.col("overround")).alias("payout_rate"),
+        F.avg(F.try_divide(F.lit(1.0), F.col("overround"))).alias("payout_rate"),
         F.avg("overround").alias("mean_overround"),
         F.count(F.lit(1)).alias("races"),
     )
@@ -110,7 +110,7 @@ def race_table(
     for p in ps:
         won = F.max(F.when(F.col(y) == 1, F.col(p)))
         aggs.append(
-            F.when(counts, neg_log(won / F.sum(p) if normalize else won)).alias(f"loss_{p}")
+            F.when(counts, neg_log(F.try_divide(won, F.sum(p)) if normalize else won)).alias(f"loss_{p}")
         )
         if keys:
             best = F.when(F.col(p).isNotNull(), F.struct((-F.col(p)).alias("p"), *keys))
@@ -158,7 +158,7 @@ def lift_at(
     chosen = top_fraction(df.select(score, *keys, y), score, keys, share)
     top = chosen.agg(F.avg(y).alias("top_rate"), F.count(F.lit(1)).alias("k"))
     overall = df.agg(F.avg(y).alias("base_rate"))
-    return _beside(top, overall).withColumn("lift", F.col("top_rate") / F.col("base_rate"))
+    return _beside(top, overall).withColumn("lift", F.try_divide("top_rate", "base_rate"))
 
 
 def _beside(*one_row: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def roi(bets: DataFrame, odds: str = "odds", y: str = "win") -> DataFrame:
     """Return of one unit on each bet: odds on a win, else nothing."""
     return bets.agg(
         F.count(F.lit(1)).alias("bets"),
-        (F.sum(F.col(y) * F.col(odds)) / F.count(F.lit(1)) - 1).alias("roi"),
+        (F.try_divide(F.sum(F.col(y) * F.col(odds)), F.count(F.lit(1))) - 1).alias("roi"),
     )
 
 
@@ -188,7 +188,7 @@ def roi_by_band(
     return grouped.agg(
         F.count(F.lit(1)).alias("bets"),
         F.sum(y).cast("bigint").alias("hits"),
-        (F.sum(F.col(y) * F.col(odds)) / F.count(F.lit(1)) - 1).alias("roi"),
+        (F.try_divide(F.sum(F.col(y) * F.col(odds)), F.count(F.lit(1))) - 1).alias("roi"),
     )
 
 

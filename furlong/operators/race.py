@@ -19,9 +19,9 @@ def share_in_race(
     race: str = "race_id",
     hot: Sequence[int] | None = None,
 ) -> DataFrame:
-    """``weight`` divided by its sum over the race."""
+    """``weight`` divided by its sum over the race; null where that sum is 0."""
     out = with_group_totals(df.withColumn("_weight", weight), race, {"_total": F.sum("_weight")}, hot)
-    return out.withColumn(name, F.col("_weight") / F.col("_total")).drop("_weight", "_total")
+    return out.withColumn(name, F.try_divide("_weight", "_total")).drop("_weight", "_total")
 
 
 def market_prob(df: DataFrame, odds: str = "odds", name: str = "p", **kw) -> DataFrame:

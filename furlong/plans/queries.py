@@ -71,8 +71,7 @@ def ranked_score(c: str) -> Column:
 
 @query
 def market_prob(spark, sf):
-    out = race.market_prob(t.entries(spark, sf), hot=t.hot_races(spark, sf))
-    return out.select(*t.KEYS, r6("p"))
+    return t.priced(spark, sf).select(*t.KEYS, r6("p"))
 
 
 @query
@@ -87,37 +86,33 @@ def payout_rate(spark, sf):
     )
 
 
-def _market(spark, sf):
-    return race.market_prob(t.entries(spark, sf), hot=t.hot_races(spark, sf))
-
-
 @query
 def race_log_loss(spark, sf):
-    return metrics.race_log_loss(_market(spark, sf), "p").select(
+    return metrics.race_log_loss(t.priced(spark, sf), "p").select(
         r6("log_loss"), "races", "excluded"
     )
 
 
 @query
 def top1_rate(spark, sf):
-    return metrics.top1_rate(_market(spark, sf), "p", ["price"]).select(r6("top1_rate"), "races")
+    return metrics.top1_rate(t.priced(spark, sf), "p", ["price"]).select(r6("top1_rate"), "races")
 
 
 @query
 def race_rank(spark, sf):
-    hot = t.hot_races(spark, sf)
-    return race.race_rank(_market(spark, sf), "p", ["price"], hot=hot).select(*t.KEYS, "rk")
+    ranked = t.priced(spark, sf, lambda df, hot: race.race_rank(df, "p", ["price"], hot=hot))
+    return ranked.select(*t.KEYS, "rk")
 
 
 @query
 def race_favourites(spark, sf):
-    best = race.race_favourites(_market(spark, sf).select(*t.KEYS, "p", "win"), "p", ["price"])
+    best = race.race_favourites(t.priced(spark, sf).select(*t.KEYS, "p", "win"), "p", ["price"])
     return best.select(*t.KEYS, r6("p"), F.col("win").cast("bigint").alias("win"))
 
 
 @query
 def roc_auc(spark, sf):
-    return metrics.roc_auc(two_up(_market(spark, sf)), "p").select(
+    return metrics.roc_auc(two_up(t.priced(spark, sf)), "p").select(
         r6("auc"), "positives", "negatives"
     )
 
@@ -143,7 +138,7 @@ def lift_top10(spark, sf):
 
 @query
 def top_fraction(spark, sf):
-    rows = two_up(_market(spark, sf)).withColumn("score", ranked_score("p"))
+    rows = two_up(t.priced(spark, sf)).withColumn("score", ranked_score("p"))
     scored = lay_down(rows.select(*t.KEYS, "score"), "scored")
     return select.top_fraction(scored, "score", t.KEYS).select(*t.KEYS)
 
@@ -340,15 +335,17 @@ def feature_subset(spark, sf):
 
 @query
 def temperature(spark, sf):
-    hot = t.hot_races(spark, sf)
-    out = race.adjust_temperature(_market(spark, sf), "p", 2.0, hot=hot)
-    return out.select(*t.KEYS, r6("p_t"))
+    warm = t.priced(spark, sf, lambda df, hot: race.adjust_temperature(df, "p", 2.0, hot=hot))
+    return warm.select(*t.KEYS, r6("p_t"))
+
+
+def _small_blend(df: DataFrame, hot) -> DataFrame:
+    return race.blend(df, "market", "model", 0.1, hot=hot)
 
 
 @query
 def blend(spark, sf):
-    out = race.blend(t.modelled(spark, sf), "market", "model", 0.1, hot=t.hot_races(spark, sf))
-    return out.select(*t.KEYS, r6("p_blend"))
+    return t.modelled(spark, sf, _small_blend).select(*t.KEYS, r6("p_blend"))
 
 
 @query
@@ -388,8 +385,8 @@ def calibrated_holdout(spark, sf):
 
 def _calibrated(spark, sf):
     """Modelled entries with the registered blend as ``p``."""
-    return calibration.apply_calibration(
-        t.modelled(spark, sf), BLEND, hot=t.hot_races(spark, sf)
+    return t.modelled(
+        spark, sf, lambda df, hot: calibration.apply_calibration(df, BLEND, hot=hot)
     )
 
 
@@ -402,7 +399,7 @@ def paired_gain(spark, sf):
 @query
 def paired_join(spark, sf):
     """The same gain from two loss tables that were made separately."""
-    market = metrics.race_losses(_market(spark, sf), "p")
+    market = metrics.race_losses(t.priced(spark, sf), "p")
     blended = metrics.race_losses(_calibrated(spark, sf), "p")
     return bootstrap.paired_losses(market, blended).select("race_id", r6("gain"))
 
@@ -559,7 +556,7 @@ def align(spark, sf):
     rows = t.modelled(spark, sf)
     parts = (
         rows.select(*t.KEYS, "model"),
-        _market(spark, sf).select(*t.KEYS, F.col("p").alias("market")),
+        t.priced(spark, sf).select(*t.KEYS, F.col("p").alias("market")),
         t.entries(spark, sf).select(*t.KEYS, "win"),
     )
     return joins.align(*parts, t.KEYS).select(
@@ -569,9 +566,7 @@ def align(spark, sf):
 
 @query
 def leaderboard(spark, sf):
-    rows = race.blend(
-        two_up(t.modelled(spark, sf)), "market", "model", 0.1, hot=t.hot_races(spark, sf)
-    )
+    rows = two_up(t.modelled(spark, sf, _small_blend))
     rows = lay_down(rows.select(*t.KEYS, "win", "market", "model", "p_blend"), "scored")
     parts = [
         models.evaluate(rows, name, ["price"], col)

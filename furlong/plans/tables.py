@@ -6,7 +6,7 @@ An order is a race, a line item is a runner, and (race_id, price) is its key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +111,19 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
     return _with_pool(runners(spark, sf), hot_races(spark, sf))
 
 
+def priced(
+    spark: SparkSession,
+    sf: str,
+    then: Callable[[DataFrame, Sequence[int]], DataFrame] = lambda d, hot: d,
+) -> DataFrame:
+    """Entries with the market probability ``p`` and a further race-level step."""
+
+    def market(d: DataFrame, h: Sequence[int]) -> DataFrame:
+        return then(market_prob(_with_pool(d, h), hot=h), h)
+
+    return split_plan(runners(spark, sf), "race_id", hot_races(spark, sf), market)
+
+
 def dated_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Entries with the race date.
 
@@ -155,11 +168,16 @@ def with_form(spark: SparkSession, sf: str) -> DataFrame:
     return _with_pool(rows, hot)
 
 
-def modelled(spark: SparkSession, sf: str) -> DataFrame:
+def modelled(
+    spark: SparkSession,
+    sf: str,
+    then: Callable[[DataFrame, Sequence[int]], DataFrame] = lambda d, hot: d,
+) -> DataFrame:
     """Dated entries with market probability and the deterministic model score.
 
     The score is the runner's mean quantity over earlier dates, as a share of
-    its race's sum; market and score come out of the same race grouping.
+    its race's sum. Market, score and a further race-level step ``then`` share
+    one grouping by race.
     """
     hot = hot_races(spark, sf)
     rows = dated_runners(spark, sf)
@@ -175,7 +193,7 @@ def modelled(spark: SparkSession, sf: str) -> DataFrame:
 
     def probabilities(d: DataFrame, h: Sequence[int]) -> DataFrame:
         priced = market_prob(_with_pool(d, h), name="market", hot=h)
-        return race_normalize(priced, "prior_qty", "model", hot=h)
+        return then(race_normalize(priced, "prior_qty", "model", hot=h), h)
 
     return split_plan(with_form, "race_id", hot, probabilities)
 

@@ -30,8 +30,8 @@ def ordered(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns), kind="stable", ignore_index=True)
 
 
-def difference(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
-    """What differs between two results, exactly; None if nothing does."""
+def difference(spark_df: pd.DataFrame, sql_df: pd.DataFrame, slack: float = 0.0) -> str | None:
+    """What differs between two results; None if nothing does. Exact without ``slack``."""
     if sorted(spark_df.columns) != sorted(sql_df.columns):
         return f"columns {sorted(spark_df.columns)} against {sorted(sql_df.columns)}"
     if len(spark_df) != len(sql_df):
@@ -43,7 +43,7 @@ def difference(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
         x, y = a[c], b[c]
         if y.dtype.kind in "fiub":
             x, y = x.astype(float).to_numpy(), y.astype(float).to_numpy()
-            bad = ~((x == y) | (np.isnan(x) & np.isnan(y)))
+            bad = ~((x == y) | (np.isnan(x) & np.isnan(y)) | (np.abs(x - y) <= slack))
         else:
             bad = (x.fillna("") != y.fillna("")).to_numpy()
         if bad.any():
