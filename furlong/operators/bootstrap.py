@@ -36,10 +36,12 @@ def poisson_limits() -> list[str]:
 
 
 def _weight(digest: Column, draw: int) -> Column:
+    """Poisson(1) weight of one draw; fixed-width hex compares like the number."""
     part = F.substring(digest, 1 + draw * _HEX, _HEX)
-    out = F.lit(0)
-    for limit in poisson_limits():
-        out = out + (part >= F.lit(limit)).cast("int")
+    limits = poisson_limits()
+    out = F.lit(len(limits))
+    for weight, limit in reversed(list(enumerate(limits))):
+        out = F.when(part < F.lit(limit), F.lit(weight)).otherwise(out)
     return out
 
 

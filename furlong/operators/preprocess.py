@@ -6,7 +6,7 @@ driver and go into the plan as literals, so applying them is a projection.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
@@ -19,20 +19,46 @@ from furlong.scale.quantiles import exact_quantiles
 from furlong.sources.entries import write_version
 
 
-def fit_medians(train: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    return {c: q[0] for c, q in exact_quantiles(train, cols, [0.5]).items()}
+def apply_medians(df: DataFrame, medians: Mapping[str, float | None]) -> DataFrame:
+    """Fill missing values and flag them in ``<column>_missing``."""
+    flags = {f"{c}_missing": F.col(c).isNull().cast("int") for c in medians}
+    filled = {
+        c: F.coalesce(F.col(c).cast("double"), F.lit(m).cast("double")) for c, m in medians.items()
+    }
+    return df.withColumns(flags | filled)
+
+
+def apply_bounds(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
+    out = {}
+    for c, (lo, hi) in bounds.items():
+        if lo is not None:
+            clipped = F.greatest(F.least(F.col(c).cast("double"), F.lit(hi)), F.lit(lo))
+            out[c] = F.when(F.col(c).isNotNull(), clipped)
+    return df.withColumns(out) if out else df
+
+
+def fit_moments(train: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation per column (D13), from one pass."""
+    row = train.agg(
+        *[F.avg(c).alias(f"m_{c}") for c in cols],
+        *[F.stddev_pop(c).alias(f"s_{c}") for c in cols],
+    ).first()
+    return {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
+
+
+def apply_moments(df: DataFrame, moments: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """(x - mean) / deviation; a column that is constant in train becomes 0."""
+    out = {}
+    for c, (mean, dev) in moments.items():
+        if mean is not None:
+            out[c] = (F.col(c) - F.lit(mean)) / F.lit(dev) if dev else F.col(c) * 0.0
+    return df.withColumns(out) if out else df
 
 
 def impute(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Train median for missing values, plus a 0/1 flag per column."""
-    medians = fit_medians(train, cols)
-    return df.withColumns(
-        {f"{c}_missing": F.col(c).isNull().cast("int") for c in cols}
-        | {
-            c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c]).cast("double"))
-            for c in cols
-        }
-    )
+    fitted = exact_quantiles(train, cols, [0.5])
+    return apply_medians(df, {c: q[0] for c, q in fitted.items()})
 
 
 def winsorize(
@@ -42,29 +68,12 @@ def winsorize(
     probs: tuple[float, float] = settings.WINSOR,
 ) -> DataFrame:
     """Values beyond the train quantiles are pulled in to them."""
-    bounds = exact_quantiles(train, cols, list(probs))
-    out = {}
-    for c in cols:
-        lo, hi = bounds[c]
-        if lo is not None:
-            clipped = F.greatest(F.least(F.col(c).cast("double"), F.lit(hi)), F.lit(lo))
-            out[c] = F.when(F.col(c).isNotNull(), clipped)
-    return df.withColumns(out) if out else df
+    return apply_bounds(df, exact_quantiles(train, cols, list(probs)))
 
 
 def standardize(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(x - mean) / population deviation of train (D13); a constant column becomes 0."""
-    row = train.agg(
-        *[F.avg(c).alias(f"m_{c}") for c in cols],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in cols],
-    ).first()
-    out = {}
-    for c in cols:
-        mean, dev = row[f"m_{c}"], row[f"s_{c}"]
-        if mean is None:
-            continue
-        out[c] = (F.col(c) - F.lit(mean)) / F.lit(dev) if dev else F.col(c) * 0.0
-    return df.withColumns(out) if out else df
+    """(x - mean) / population deviation of train."""
+    return apply_moments(df, fit_moments(train, cols))
 
 
 # -- collinearity ----------------------------------------------------------
@@ -122,21 +131,30 @@ def drop_collinear(df: DataFrame, cols: Sequence[str], max_vif: float = 10.0) ->
 
 # -- dataset versions ------------------------------------------------------
 
-Recipe = Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame]
+Transform = Callable[[DataFrame], DataFrame]
+Recipe = Callable[[DataFrame, Sequence[str]], Transform]
 
 
-def _tree_version(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    filled = impute(train, df, cols)
-    return winsorize(train, filled, cols)
+def _fit_tree_version(train: DataFrame, cols: Sequence[str]) -> Transform:
+    """Imputation and winsorisation, their quantiles from the same passes."""
+    lo, hi = settings.WINSOR
+    fitted = exact_quantiles(train, cols, [lo, 0.5, hi])
+    medians = {c: q[1] for c, q in fitted.items()}
+    bounds = {c: (q[0], q[2]) for c, q in fitted.items()}
+    return lambda df: apply_bounds(apply_medians(df, medians), bounds)
 
 
-def _scaled_version(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    out = _tree_version(train, df, cols)
-    return standardize(_tree_version(train, train, cols), out, cols)
+def _fit_scaled_version(train: DataFrame, cols: Sequence[str]) -> Transform:
+    base = _fit_tree_version(train, cols)
+    moments = fit_moments(base(train), cols)
+    return lambda df: apply_moments(base(df), moments)
 
 
 # Only these two versions are described; the other six are not invented.
-RECIPES: dict[str, Recipe] = {"v1_base": _tree_version, "v2_standard": _scaled_version}
+RECIPES: dict[str, Recipe] = {
+    "v1_base": _fit_tree_version,
+    "v2_standard": _fit_scaled_version,
+}
 
 
 def recipe(name: str) -> Recipe:
@@ -149,7 +167,7 @@ def build_version(
     df: DataFrame, name: str, cols: Sequence[str], split: str = "split"
 ) -> DataFrame:
     """All splits of one version, its parameters taken from the train split."""
-    return recipe(name)(df.where(F.col(split) == "train"), df, cols)
+    return recipe(name)(df.where(F.col(split) == "train"), cols)(df)
 
 
 def build_versions(

@@ -200,9 +200,12 @@ def dataset_profile(spark, sf):
 
 
 def _with_gaps(spark, sf):
-    """Dated runners with the split, and tax missing wherever the gate is 3."""
-    rows = t.dated_runners(spark, sf)
-    return split.time_split(rows).withColumn("tax", F.when(F.col("gate") != 3, F.col("tax")))
+    """Dated runners with the split, and tax missing wherever the gate is 3.
+
+    Stored, as fitting passes over it several times."""
+    rows = split.time_split(t.dated_runners(spark, sf))
+    gaps = rows.withColumn("tax", F.when(F.col("gate") != 3, F.col("tax")))
+    return lay_down(gaps.select(*t.KEYS, "split", "tax", "qty", "discount"), "split")
 
 
 def _train(df: DataFrame) -> DataFrame:
@@ -369,9 +372,9 @@ def calibration_grid(spark, sf):
 @query
 def calibrated_holdout(spark, sf):
     """Weight and temperature picked on valid, scored on test."""
-    rows = t.modelled(spark, sf)
     cuts = split.split_cuts(t.dated_runners(spark, sf).select("race_date"))
-    labelled = split.label_split(rows, cuts)
+    rows = t.modelled(spark, sf).select(*t.KEYS, "race_date", "market", "model", "win")
+    labelled = lay_down(split.label_split(rows, cuts), "modelled")
     choice = calibration.calibrate(labelled.where(F.col("split") == "valid"), WEIGHTS, TEMPERATURES)
     test = labelled.where(F.col("split") == "test")
     tested = calibration.calibration_grid(test, [choice.weight], [choice.temperature])
