@@ -382,6 +382,13 @@ ORACLE = {
     "calibration_grid": _with(
         "mod", f"SELECT w, t, round(log_loss, 6) AS log_loss FROM ({_grid_loss('mod')})", _GRID
     ),
+    "parameter_grid": _with(
+        "mod",
+        """SELECT w, t, count(*) AS entries,
+           round(avg(pow((1 - w) * market + w * model, 1 / t)), 6) AS mean
+           FROM mod, grid GROUP BY w, t""",
+        _GRID,
+    ),
     "calibrated_holdout": _with(
         "mod spl",
         """SELECT w, t, round(best.log_loss, 6) AS valid_loss, round(tested.log_loss, 6) AS test_loss

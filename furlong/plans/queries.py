@@ -369,6 +369,16 @@ def calibration_grid(spark, sf):
     )
 
 
+@query
+def parameter_grid(spark, sf):
+    """The blend itself at every grid point, averaged over the entries."""
+    rows = joins.grid(t.modelled(spark, sf).select("market", "model"), WEIGHTS, TEMPERATURES)
+    mixed = (1 - F.col("w")) * F.col("market") + F.col("w") * F.col("model")
+    return rows.groupBy("w", "t").agg(
+        F.count(F.lit(1)).alias("entries"), F.round(F.avg(F.pow(mixed, 1 / F.col("t"))), 6).alias("mean")
+    )
+
+
 @query
 def calibrated_holdout(spark, sf):
     """Weight and temperature picked on valid, scored on test."""

@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return chosen
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/furlong-{spark.sparkContext.applicationId}"
+
+
+def drop_laid_down(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; results that read them end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lay_down(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -31,7 +42,6 @@ def lay_down(df: DataFrame, tag: str) -> DataFrame:
     the physical layout so that every later reader sees the same ones.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/furlong-{app}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_app_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
