@@ -57,7 +57,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str] | str) -> tuple[int, ...]:
                 F.expr(f"approx_top_k_accumulate(token, {TRACKED})").alias("sketch"),
                 F.count(F.lit(1)).alias("n"),
             )
-            .groupBy(F.lit(0))  # unlike a plain agg, no row and no error on an empty table
+            .groupBy(F.lit("all"))  # unlike a plain agg, no row and no error on an empty table
             .agg(
                 F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"),
                 F.sum("n").alias("n"),
