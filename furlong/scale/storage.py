@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
@@ -19,9 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    chosen = tempfile.mkdtemp(prefix="furlong-")
-    spark.conf.set("spark.checkpoint.dir", chosen)
-    return chosen
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="furlong-")
+    return _local[app]
 
 
 def _app_dir(spark: SparkSession) -> str:
