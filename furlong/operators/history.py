@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furlong.functions.odds import days_between
 from furlong.scale.skew import join_lookup, route
@@ -90,10 +91,16 @@ def attach_history(
 # -- rolling sums ----------------------------------------------------------
 
 
-def micros(ts: Column | str) -> Column:
-    """A timestamp, with or without zone, as microseconds (session zone UTC)."""
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(ts.cast("timestamp"))
+def micros(df: DataFrame, ts: str) -> Column:
+    """A timestamp column as microseconds.
+
+    Without a zone the wall-clock fields are counted, so the session zone and its
+    clock changes play no part."""
+    c = F.col(ts)
+    if not isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp"))
+    seconds = F.unix_date(c.cast("date")).cast("bigint") * 86_400 + F.hour(c) * 3_600 + F.minute(c) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
 def rolling_sum(
@@ -113,7 +120,7 @@ def rolling_sum(
 
     def windowed(d: DataFrame) -> DataFrame:
         w = Window.partitionBy(key).orderBy("_us").rangeBetween(-span_us, -1)
-        out = d.withColumn("_us", micros(ts))
+        out = d.withColumn("_us", micros(d, ts))
         rolled = {n: F.when(known, F.sum(c).over(w)) for n, c in sums.items()}
         return out.withColumns(rolled).drop("_us")
 
@@ -143,7 +150,7 @@ def _rolling_by_slices(
     names = list(sums)
     instants = (
         df.where(F.col(key).isNotNull())
-        .withColumn("_us", micros(ts))
+        .withColumn("_us", micros(df, ts))
         .groupBy(key, "_us")
         .agg(*[F.sum(sums[n]).alias(n) for n in names])
     )
@@ -197,7 +204,7 @@ def _rolling_by_slices(
             for n in names
         ],
     )
-    out = join_lookup(df.withColumn("_us", micros(ts)), whole, [key, "_us"], "left")
+    out = join_lookup(df.withColumn("_us", micros(df, ts)), whole, [key, "_us"], "left")
     return out.select(*df.columns, *names)
 
 

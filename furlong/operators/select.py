@@ -92,20 +92,21 @@ def top_count(n: int, share: float) -> int:
     return -int(-round(share * n, 9) // 1)
 
 
-def _top_rule(
-    df: DataFrame, score: str, keys: Sequence[str], share: float
-) -> Column:
+def _cut(df: DataFrame, score: str, keys: Sequence[str], share: float) -> dict | None:
+    """Score and keys of the last row that is still among the top ``share``."""
     # stored unsorted first: sorting samples its input before it moves it
     narrow = lay_down(df.select(score, *keys).where(F.col(score).isNotNull()), "scores")
     k = top_count(narrow.count(), share)
-    cut = cut_row(narrow, [F.col(score).desc(), *[F.col(c).asc() for c in keys]], k)
-    if cut is None:
-        return F.lit(False)
+    return cut_row(narrow, [F.col(score).desc(), *[F.col(c).asc() for c in keys]], k)
+
+
+def _up_to(cut: dict, score: str, keys: Sequence[str]) -> Column:
+    """At or before the cut by score descending, then keys ascending."""
     keep = F.lit(True)
     for c in reversed(keys):
         keep = (F.col(c) < F.lit(cut[c])) | ((F.col(c) == F.lit(cut[c])) & keep)
     at = F.lit(cut[score])
-    return F.coalesce((F.col(score) > at) | ((F.col(score) == at) & keep), F.lit(False))
+    return (F.col(score) > at) | ((F.col(score) == at) & keep)
 
 
 def top_fraction(
@@ -117,7 +118,11 @@ def top_fraction(
     filter on the full rows, which are not moved at all. ``df`` is read twice, so
     store scores whose last digits may change when they are computed again.
     """
-    return df.where(_top_rule(df, score, keys, share))
+    cut = _cut(df, score, keys, share)
+    if cut is None:
+        return df.where(F.lit(False))
+    # the first condition is implied, but simple enough to reach a parquet scan
+    return df.where(F.col(score) >= F.lit(cut[score])).where(_up_to(cut, score, keys))
 
 
 def top_flag(
@@ -128,4 +133,6 @@ def top_flag(
     name: str = "top",
 ) -> DataFrame:
     """All rows, with 1 for those ``top_fraction`` would keep and 0 for the others."""
-    return df.withColumn(name, _top_rule(df, score, keys, share).cast("int"))
+    cut = _cut(df, score, keys, share)
+    kept = F.lit(False) if cut is None else F.coalesce(_up_to(cut, score, keys), F.lit(False))
+    return df.withColumn(name, kept.cast("int"))

@@ -259,7 +259,8 @@ def venues(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nationkey")
     )
     home = customer.join(nation, "nationkey").join(region, "regionkey").select("custkey", "venue")
-    return races(spark, sf).join(home, "custkey").select("race_id", "race_date", "venue")
+    placed = join_lookup(races(spark, sf), home, "custkey", "inner")
+    return placed.select("race_id", "race_date", "venue")
 
 
 def venue_entries(spark: SparkSession, sf: str, venue: str | None = None) -> DataFrame:

@@ -117,6 +117,19 @@ def test_training_on_or_after_the_start_does_not_count(spark):
     assert out == {1: (3.0, 2), 2: (0.0, 0)}
 
 
+def test_zone_free_timestamps_ignore_clock_changes(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    rows = [(1, "1969-12-31 23:59:59.999999"), (2, "2024-03-10 02:30:00"), (3, "2024-03-10 03:30:00.25")]
+    try:
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            df = spark.createDataFrame(rows, "id int, ts string").withColumn("ts", F.to_timestamp_ntz("ts"))
+            got = [r[0] for r in df.orderBy("id").select(history.micros(df, "ts")).collect()]
+            assert got == [-1, 1_710_037_800_000_000, 1_710_041_400_250_000]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_entity_join_keeps_leading_zeros_and_unmatched_rows(spark):
     entries = spark.createDataFrame([("0012",), ("12",), (None,)], "hrNo string")
     horses = spark.createDataFrame([("0012", "a")], "hrNo string, name string")
