@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong import settings
-from furlong.operators.metrics import race_table
+from furlong.operators.metrics import beside, race_table
 from furlong.scale.storage import lay_down
 
 DRAWS = 4
@@ -98,19 +98,16 @@ def bootstrap_ci(
     both are computed from it.
     """
     per_unit = lay_down(per_unit.select(unit, *sums), "units")
-    point = per_unit.agg(*[F.sum(c).alias(c) for c in sums]).select(
-        stat.alias("value"), F.lit(1).alias("_one")
-    )
+    point = per_unit.agg(*[F.sum(c).alias(c) for c in sums]).select(stat.alias("value"))
     spread = (
         replicates(per_unit, sums, unit, count)
         .select(stat.alias("stat"))
         .agg(
             F.percentile("stat", F.lit(interval[0])).alias("lo"),
             F.percentile("stat", F.lit(interval[1])).alias("hi"),
-            F.lit(1).alias("_one"),
         )
     )
-    return point.join(spread, "_one").drop("_one")
+    return beside(point, spread)
 
 
 # -- what the intervals are taken of ---------------------------------------

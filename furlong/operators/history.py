@@ -116,18 +116,56 @@ def rolling_sum(
     ``sums`` maps output names to summed columns; no row in the span gives null,
     and so does a missing key.
     """
-    known = F.col(key).isNotNull()
-
-    def windowed(d: DataFrame) -> DataFrame:
-        w = Window.partitionBy(key).orderBy("_us").rangeBetween(-span_us, -1)
-        out = d.withColumn("_us", micros(d, ts))
-        rolled = {n: F.when(known, F.sum(c).over(w)) for n, c in sums.items()}
-        return out.withColumns(rolled).drop("_us")
-
     def sliced(d: DataFrame) -> DataFrame:
         return _rolling_by_slices(d, span_us, sums, key, ts)
 
-    return route(df, [key], hot, windowed, sliced)
+    return route(
+        df, [key], hot, lambda d: _rolling_in_blocks(d, span_us, sums, key, ts), sliced
+    )
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """Sum of two sums, null only where both are."""
+    zero = F.lit(0.0)
+    return F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, zero) + F.coalesce(b, zero))
+
+
+def _rolling_in_blocks(
+    df: DataFrame, span_us: int, sums: dict[str, str], key: str, ts: str
+) -> DataFrame:
+    """``rolling_sum`` in linear time with one shuffle.
+
+    A sliding frame is summed anew for every row, which is quadratic for busy
+    keys. Cut into blocks as long as the span, a row's span is the end of one
+    block and the head of the next: two running sums. For the first, every row
+    also leaves a mark where its span starts; the mark carries the sum from
+    there to the end of its block back to the row.
+    """
+    own = df.withColumns({"_us": micros(df, ts), "_own": F.lit(True)})
+    own = own.withColumn("_at", F.col("_us"))
+    marks = own.select(
+        key, "_us", F.lit(False).alias("_own"), (F.col("_us") - span_us).alias("_at")
+    )
+    both = (
+        own.unionByName(marks, allowMissingColumns=True)
+        .withColumn("_block", F.floor(F.col("_at") / F.lit(span_us)).cast("bigint"))
+        .repartition(key)
+    )
+    block = Window.partitionBy(key, "_block")
+    head = block.orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    rest = block.orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy(key, "_us")
+    mark = ~F.col("_own")
+    summed = both.withColumns({f"_h_{n}": F.sum(c).over(head) for n, c in sums.items()})
+    summed = summed.withColumns({f"_r_{n}": F.sum(c).over(rest) for n, c in sums.items()})
+    summed = summed.withColumns(
+        {f"_r_{n}": F.max(F.when(mark, F.col(f"_r_{n}"))).over(same) for n in sums}
+    )
+    known = F.col(key).isNotNull()
+    return summed.where("_own").select(
+        *df.columns,
+        *[F.when(known, _plus(F.col(f"_h_{n}"), F.col(f"_r_{n}"))).alias(n) for n in sums],
+    )
 
 
 def _slices(span_us: int) -> int:
@@ -194,15 +232,7 @@ def _rolling_by_slices(
         )
     )
     whole = edges.join(middle, [key, "_slice"], "left").select(
-        key,
-        "_us",
-        *[
-            F.when(
-                F.col(f"_e_{n}").isNotNull() | F.col(f"_m_{n}").isNotNull(),
-                F.coalesce(f"_e_{n}", F.lit(0.0)) + F.coalesce(f"_m_{n}", F.lit(0.0)),
-            ).alias(n)
-            for n in names
-        ],
+        key, "_us", *[_plus(F.col(f"_e_{n}"), F.col(f"_m_{n}")).alias(n) for n in names]
     )
     out = join_lookup(df.withColumn("_us", micros(df, ts)), whole, [key, "_us"], "left")
     return out.select(*df.columns, *names)

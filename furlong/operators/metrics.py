@@ -158,13 +158,13 @@ def lift_at(
     chosen = top_fraction(df.select(score, *keys, y), score, keys, share)
     top = chosen.agg(F.avg(y).alias("top_rate"), F.count(F.lit(1)).alias("k"))
     overall = df.agg(F.avg(y).alias("base_rate"))
-    return _beside(top, overall).withColumn("lift", F.try_divide("top_rate", "base_rate"))
+    return beside(top, overall).withColumn("lift", F.try_divide("top_rate", "base_rate"))
 
 
-def _beside(*one_row: DataFrame) -> DataFrame:
-    """One-row tables side by side, joined on a constant."""
-    keyed = [t.withColumn("_one", F.lit(1)) for t in one_row]
-    return reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
+def beside(*one_row: DataFrame) -> DataFrame:
+    """One-row tables of orderable columns as one row, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def roi(bets: DataFrame, odds: str = "odds", y: str = "win") -> DataFrame:
@@ -216,7 +216,7 @@ def market_gap(
         *[F.avg(f"hit_{p}").alias(f"top1_{tag}") for tag, p in sides],
     )
     aucs = [roc_auc(df, p, y).select(F.col("auc").alias(f"auc_{tag}")) for tag, p in sides]
-    out = _beside(per_race, *aucs)
+    out = beside(per_race, *aucs)
     for metric in ("auc", "log_loss", "top1"):
         out = out.withColumn(
             f"{metric}_gap", F.col(f"{metric}_model") - F.col(f"{metric}_market")

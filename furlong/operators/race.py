@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.functions.odds import inverse_odds, mix, sharpen
+from furlong.functions.odds import inverse_odds, log_pool, mix, sharpen
 from furlong.scale.ordering import with_group_rank
 from furlong.scale.skew import with_group_totals
 
@@ -52,10 +52,19 @@ def adjust_temperature(df: DataFrame, p: str, temperature: float, name: str = "p
 
 
 def blend(
-    df: DataFrame, market: str, model: str, weight: float, name: str = "p_blend", **kw
+    df: DataFrame,
+    market: str,
+    model: str,
+    weight: float,
+    name: str = "p_blend",
+    geometric: bool = False,
+    **kw,
 ) -> DataFrame:
-    """A small model share in the market probability, renormalised."""
-    return share_in_race(df, mix(market, model, weight), name, **kw)
+    """A small model share in the market probability, renormalised.
+
+    ``geometric`` takes the log-opinion pool instead of the linear mix."""
+    combined = (log_pool if geometric else mix)(market, model, weight)
+    return share_in_race(df, combined, name, **kw)
 
 
 def race_rank(

@@ -150,7 +150,6 @@ def upsets(
     io.write_result(bets, results, "upset_bets")
     bets = io.read_result(spark, results, "upset_bets")
     share = bootstrap.prob_profit(bets, "winOdds", count=replicates)
-    value = metrics.roi(bets, "winOdds")
-    out = value.withColumn("_one", F.lit(1)).join(share.withColumn("_one", F.lit(1)), "_one")
-    io.write_result(out.drop("_one"), results, "upset_return")
+    out = metrics.beside(metrics.roi(bets, "winOdds"), share)
+    io.write_result(out, results, "upset_return")
     return io.read_result(spark, results, "upset_return")

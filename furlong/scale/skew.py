@@ -165,6 +165,8 @@ def join_lookup(
     broadcast of the matching lookup rows; those are as few as there are hot
     keys, and the count is checked before the broadcast is asked for.
     """
+    if how not in ("left", "inner"):
+        raise ValueError(f"a lookup joins left or inner, not {how!r}")
     keys = [keys] if isinstance(keys, str) else list(keys)
     if hot is None:
         hot = hot_keys(left, keys)

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from furlong.operators import history, metrics, race, select, split, strategy
+from furlong.operators import calibration, history, metrics, race, select, split, strategy
 
 KEYS = ["race_id", "hrNo"]
 
@@ -72,6 +72,13 @@ def test_blend(three):
     assert values(race.blend(p, "p", "model", 0.0), "p_blend") == pytest.approx(values(p, "p"))
 
 
+def test_geometric_blend(three):
+    p = race.market_prob(three)
+    out = values(race.blend(p, "p", "model", 0.5, geometric=True), "p_blend")
+    raw = [math.sqrt(a * b) for a, b in zip((4 / 7, 2 / 7, 1 / 7), (0.2, 0.5, 0.3))]
+    assert out == pytest.approx([x / sum(raw) for x in raw])
+
+
 def test_softmax_does_not_overflow(spark):
     df = spark.createDataFrame([(1, "a", 1000.0), (1, "b", 1000.0 - math.log(3))], "race_id int, hrNo string, s double")
     assert values(race.race_softmax(df, "s"), "p") == pytest.approx([0.75, 0.25])
@@ -179,6 +186,16 @@ def test_roi_bands_with_total(spark):
     assert out == {0: (1, 4.0), 1: (1, -1.0), 2: (1, 59.0), None: (3, pytest.approx(65 / 3 - 1))}
 
 
+def test_grid_of_losses_equals_each_point_alone(spark, three):
+    rows = race.race_normalize(race.market_prob(three, name="market"), "model", "model")
+    for point in calibration.calibration_grid(rows, [0.0, 0.2], [0.7, 1.0]).collect():
+        choice = calibration.Choice(point["w"], point["t"], 0.0)
+        alone = metrics.race_log_loss(calibration.apply_calibration(rows, choice), "p")
+        assert one(alone)["log_loss"] == pytest.approx(point["log_loss"])
+    with pytest.raises(ValueError):
+        calibration.calibrate(rows.limit(0), [0.0], [1.0])
+
+
 @pytest.mark.parametrize("n, share, k", [(10, 0.1, 1), (11, 0.1, 2), (30, 0.1, 3), (0, 0.1, 0), (1000, 0.007, 7)])
 def test_top_count(n, share, k):
     assert select.top_count(n, share) == k

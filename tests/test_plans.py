@@ -32,6 +32,11 @@ def test_race_chains_take_one_shuffle(plan, name):
     assert shuffles(plan(name)) == 1
 
 
+@pytest.mark.parametrize("name", ["rolling_training", "recent_training_pit"])
+def test_rolling_sums_take_one_shuffle(plan, name):
+    assert shuffles(plan(name)) == 1
+
+
 def test_dated_entries_share_the_join_shuffle(plan):
     """Two sides of the join, the history table twice, and one more by race."""
     text = plan("blend")

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import oracle_check
@@ -101,6 +102,15 @@ def test_softmax_and_normalisation(lopsided, all_hot):
         assert all(a[i] == b[i] or a[i] == pytest.approx(b[i], rel=1e-9) for i in a)
 
 
+@pytest.mark.parametrize("span", [1, 50, 777, 100_000])
+def test_rolling_sum_equals_the_sliding_frame(lopsided, span):
+    df = lopsided.withColumn("us", (F.col("id") * 37) % 20_000 - 5_000)
+    df = df.withColumn("ts", F.timestamp_micros("us"))
+    frame = Window.partitionBy("k").orderBy("us").rangeBetween(-span, -1)
+    want = df.withColumn("total", F.when(F.col("k").isNotNull(), F.sum("x").over(frame)))
+    assert rows(history.rolling_sum(df, span, {"total": "x"}, key="k")) == rows(want)
+
+
 @pytest.mark.parametrize("span", [1, 7, 1000, 86_400, 9973, 1 << 20])
 def test_rolling_sum(spark, lopsided, all_hot, span):
     ts = F.timestamp_micros((F.col("id") * 37) % 20_000 - 5_000)
