@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -37,24 +37,32 @@ def payout_rate(df: DataFrame, odds: str = "odds", race: str = "race_id") -> Dat
 _BLOCK = "lo double, pos double, neg double, pairs double"
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Positive-over-negative pairs inside one sorted partition, as one row."""
-    lo = None
-    pos = neg = pairs = 0.0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        p = batch.column("pos").to_numpy(zero_copy_only=False).astype(float)
-        n = batch.column("neg").to_numpy(zero_copy_only=False).astype(float)
-        if lo is None:
-            lo = batch.column("score")[0].as_py()
-        below = neg + np.cumsum(n) - n
-        pairs += float(np.sum(p * (below + n / 2)))
-        pos += float(p.sum())
-        neg += float(n.sum())
-    if lo is not None:
-        row = {"lo": [lo], "pos": [pos], "neg": [neg], "pairs": [pairs]}
-        yield pa.RecordBatch.from_pydict(row)
+def _pair_counter() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Positive-over-negative pairs inside one sorted partition, as one row.
+
+    Returned from a function so that Spark ships it whole: executors need numpy
+    and pyarrow, but not this package.
+    """
+
+    def count(batches):
+        lo = None
+        pos = neg = pairs = 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p = batch.column("pos").to_numpy(zero_copy_only=False).astype(float)
+            n = batch.column("neg").to_numpy(zero_copy_only=False).astype(float)
+            if lo is None:
+                lo = batch.column("score")[0].as_py()
+            below = neg + np.cumsum(n) - n
+            pairs += float(np.sum(p * (below + n / 2)))
+            pos += float(p.sum())
+            neg += float(n.sum())
+        if lo is not None:
+            row = {"lo": [lo], "pos": [pos], "neg": [neg], "pairs": [pairs]}
+            yield pa.RecordBatch.from_pydict(row)
+
+    return count
 
 
 def roc_auc(df: DataFrame, score: str, y: str = "win") -> DataFrame:
@@ -73,7 +81,7 @@ def roc_auc(df: DataFrame, score: str, y: str = "win") -> DataFrame:
     blocks = (
         per_score.repartitionByRange("score")
         .sortWithinPartitions("score")
-        .mapInArrow(_block_pairs, _BLOCK)
+        .mapInArrow(_pair_counter(), _BLOCK)
     )
     before = Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.withColumn("neg_before", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))

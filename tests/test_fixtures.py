@@ -111,6 +111,20 @@ def test_auc_equals_the_exact_evaluator(spark):
     df.unpersist()
 
 
+def test_auc_task_code_does_not_need_this_package():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"
+    run = subprocess.run(
+        [sys.executable, "-I", "-c", code], input=cloudpickle.dumps(metrics._pair_counter()),
+        capture_output=True, cwd="/",
+    )
+    assert run.returncode == 0, run.stderr
+
+
 def test_auc_without_negatives_is_null(spark):
     df = spark.createDataFrame([(0.9, 1), (0.5, 1)], "s double, win int")
     assert one(metrics.roc_auc(df, "s"))["auc"] is None
