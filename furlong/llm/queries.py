@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furlong.llm import exact_dedup, mixing, url_filter
+from furlong.llm import exact_dedup, mixing, quality, url_filter
 from furlong.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -61,3 +61,8 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr(
         "doc_id", "_size AS size", "_source_size AS source_size", "_target AS target", "_taken AS taken"
     )
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
