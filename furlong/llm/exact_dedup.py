@@ -61,12 +61,13 @@ def exact_dedup(
     norm = normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm"))
     rows = rows.withColumn("_digest", digest(F.col("_norm")))
-    groups = lay_down(_winners(rows, salts).drop("_norm"), "exact-groups")
-    by_digest = groups.groupBy("_digest").agg(
+    by_digest = _winners(rows, salts).groupBy("_digest").agg(
         F.count(F.lit(1)).alias("_texts"),
         F.min("keep_id").alias("keep_id"),
         F.max("group_size").alias("group_size"),
     )
+    # stored, so that the join below deals both sides anew and can split a hot digest
+    by_digest = lay_down(by_digest, "exact-groups")
     collided = by_digest.where("_texts > 1").select("_digest")
     few = collided.limit(FEW_DIGESTS + 1).count()
     light = rows.select("_id", "_digest", sha256(F.col("_norm")).alias("text_sha256"))

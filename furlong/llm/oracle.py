@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from furlong.llm.line_dedup import _BLOCKS, _TAGS, _UNSEEN, MIN_PAGES, RATIO
 from furlong.llm.queries import PATTERN_RULES, SITE_RULES
 from furlong.llm.url_filter import Rule
 
@@ -49,3 +50,33 @@ SELECT n.doc_id, g.keep_id, g.group_size,
        n.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(n.norm) AS text_sha256
 FROM n JOIN g USING (norm)
 """
+
+ORACLE["op5_line_dedup"] = f"""
+WITH p AS (
+  SELECT page_id, row_number() OVER () AS rn,
+         translate(regexp_extract(regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1), '^([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_split_to_array(
+           regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+             {_quoted(_UNSEEN)}, ' ', 'g'), {_quoted(_BLOCKS)}, chr(10), 'g'), {_quoted(_TAGS)}, '', 'g'),
+           '[\\x20\\x09]*[\\r\\n]+[\\x20\\x09\\r\\n]*') AS raw
+  FROM pages),
+lines AS (
+  SELECT rn, host, generate_subscripts(raw, 1) AS pos, trim(unnest(raw)) AS line FROM p),
+kept AS (SELECT * FROM lines WHERE line <> ''),
+share AS (
+  SELECT k.host, k.line, count(DISTINCT k.rn) AS n, any_value(t.pages) AS pages
+  FROM kept k JOIN (SELECT host, count(*) AS pages FROM p GROUP BY host) t ON k.host = t.host
+  GROUP BY k.host, k.line),
+boiler AS (SELECT host, line FROM share WHERE n >= {MIN_PAGES} AND n > CAST({RATIO} AS DOUBLE) * pages),
+judged AS (
+  SELECT k.*, b.line IS NOT NULL AS gone
+  FROM kept k LEFT JOIN boiler b ON k.host = b.host AND k.line = b.line),
+pages_of AS (
+  SELECT rn, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+         string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS text
+  FROM judged GROUP BY rn)
+SELECT p.page_id, p.host, coalesce(o.n_lines, 0) AS n_lines, coalesce(o.n_dropped, 0) AS n_dropped,
+       coalesce(o.text, '') AS text
+FROM p LEFT JOIN pages_of o ON p.rn = o.rn
+"""
