@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furlong.llm import exact_dedup, line_dedup, mixing, quality, secrets, url_filter
+from furlong.llm import exact_dedup, jaccard_join, line_dedup, mixing, quality, secrets, url_filter
 from furlong.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -76,3 +76,8 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
