@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furlong.llm import keyfilter
 from furlong.llm.components import connected
 from furlong.scale.storage import lay_down
 
@@ -27,8 +28,6 @@ FRAGMENTS = 8
 # doubles until at most MOST_COMMON are, as those are broadcast.
 COMMON = 8
 MOST_COMMON = 1 << 20
-# Bits of the filter of sets that have a candidate: 16 MB, whatever their number.
-FILTER_BITS = 27
 _KNOWN_WORDS = 400_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -227,32 +226,11 @@ def _groups(texts: DataFrame, common, words: int, least: int, bits: int) -> Data
     return lay_down(rare.distinct(), "prefix-groups")
 
 
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A bit per hashed key, built in blocks; its size is fixed."""
-    bits, block = FILTER_BITS, 15
-
-    def fill(found: pa.Table) -> pa.Table:
-        at = found.column("at").to_numpy()
-        mask = np.zeros(1 << block, np.uint8)
-        mask[at & ((1 << block) - 1)] = 1
-        return pa.table({"block": [int(at[0]) >> block], "mask": [np.packbits(mask).tobytes()]})
-
-    at = keys.select(F.pmod("k", F.lit(1 << bits)).alias("at")).distinct()
-    rows = at.groupBy(F.shiftright("at", block).alias("b")).applyInArrow(
-        lambda t: fill(t), "block long, mask binary"
-    )
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in rows.collect():  # at most 2 ** (bits - block) rows
-        out[r["block"] << (block - 3) : (r["block"] + 1) << (block - 3)] = np.frombuffer(r["mask"], np.uint8)
-    return out
-
-
 def _overlaps(texts: DataFrame, pairs: DataFrame, words: int, fragments: int, least: int) -> DataFrame:
     """The (u, v) of ``pairs`` (u, v, n_u, n_v) whose sets are similar enough."""
     spark = texts.sparkSession
-    wanted = spark.sparkContext.broadcast(
-        _filter_of(pairs.select(F.col("u").alias("k")).unionByName(pairs.select(F.col("v").alias("k"))))
-    )
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("k")).select(keyfilter.slot(F.col("k")).alias("at"))
+    wanted = spark.sparkContext.broadcast(keyfilter.build(ends))
     cut_bits = (fragments - 1).bit_length()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +239,7 @@ def _overlaps(texts: DataFrame, pairs: DataFrame, words: int, fragments: int, le
             done, keys, parts, blobs = set(), [], [], []
             for grams in _sets(batch, known, words):
                 key = set_key(grams)
-                at = key % (1 << FILTER_BITS)
-                if key in done or not mask[at >> 3] & (128 >> (at & 7)):
+                if key in done or not keyfilter.passes(mask, key % (1 << keyfilter.BITS)):
                     continue
                 done.add(key)
                 for part, s in _in_buckets(grams, cut_bits) if cut_bits else [(0, slice(None))]:
