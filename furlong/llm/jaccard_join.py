@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from furlong.llm import keyfilter
 from furlong.llm.components import connected
+from furlong.llm.wordhash import hashed_words, scramble
 from furlong.scale.storage import lay_down
 
 WORDS = 5
@@ -28,42 +29,22 @@ FRAGMENTS = 8
 # doubles until at most MOST_COMMON are, as those are broadcast.
 COMMON = 8
 MOST_COMMON = 1 << 20
-_KNOWN_WORDS = 400_000
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+def shingle_set(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``words``-grams of a text's word hashes.
 
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: bytes | None, known: dict, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``words``-grams; A-Z in lower case.
-
-    Words are runs outside ASCII white space. A text of fewer words is one
-    n-gram, one without words an empty set.
+    A text of fewer words is one n-gram, one without words an empty set.
     """
-    found = (text or b"").lower().split()
-    if not found:
+    if not len(hashes):
         return np.empty(0, np.uint64)
-    if len(found) < words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found))], np.uint64)
-    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    n = len(h) - words + 1
+    n = max(1, len(hashes) - words + 1)
     with np.errstate(over="ignore"):
-        mixed = h[:n]
-        for i in range(1, words):
-            mixed = mixed * _MIX[0] + h[i : i + n]
-        return np.unique(_scramble(mixed))
+        mixed = hashes[:n]
+        for i in range(1, min(words, len(hashes))):
+            mixed = mixed * _MIX + hashes[i : i + n]
+        return np.unique(scramble(mixed + np.uint64(min(words, len(hashes)))))
 
 
 def set_key(grams: np.ndarray) -> int:
@@ -81,15 +62,16 @@ def _prefix(grams: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarr
     size = prefix_size(len(grams), least)
     if not len(common):
         return grams[:size], grams[:0]
-    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-    is_common = common[at] == grams
+    short = grams >> np.uint64(16)
+    at = np.minimum(np.searchsorted(common, short), len(common) - 1)
+    is_common = common[at] == short
     rare = grams[~is_common][:size]
     return rare, grams[is_common][: size - len(rare)]
 
 
-def _sets(batch: pa.RecordBatch, known: dict, words: int) -> Iterator[np.ndarray]:
-    for text in batch.column(0):
-        yield shingle_set(text.as_py(), known, words)
+def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
+    for hashes in hashed_words(batch.column(0)):
+        yield shingle_set(hashes, words)
 
 
 def _in_buckets(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
@@ -100,130 +82,169 @@ def _in_buckets(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(bucket[a]), slice(int(a), int(b))
 
 
+def _packed(buckets: Iterator[tuple[int, slice]], **arrays: np.ndarray) -> pa.RecordBatch:
+    """A row per bucket with its slice of each array as bytes."""
+    rows = [(b, *(v[s].tobytes() for v in arrays.values())) for b, s in buckets]
+    columns = list(map(list, zip(*rows, strict=True))) if rows else [[]] * (1 + len(arrays))
+    schema = pa.schema([("bucket", pa.int64())] + [(n, pa.binary()) for n in arrays])
+    return pa.RecordBatch.from_pydict(dict(zip(schema.names, columns, strict=True)), schema=schema)
+
+
+def _unpacked(found: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(found.column(column).to_pylist()), kind)
+
+
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])[: len(sorted_values)])
+
+
+_TAG = np.uint64(0xFFFF)
+
+
 def _common_ngrams(texts: DataFrame, words: int, least: int, bits: int, common: int, most: int) -> np.ndarray:
-    """Sorted hashes of the n-grams that at least ``common`` prefixes hold.
+    """Sorted first 48 bits of the n-grams that at least ``common`` prefixes hold.
 
-    Each task ships its n-grams packed by hash range, with a tag of their set, so
-    that copies count once; of an n-gram that is common in the task itself it
-    ships no more tags than that takes.
+    Each task ships these bits with a 16-bit tag of the set, packed by hash
+    range; copies share their tag and count once. Of an n-gram that is common in
+    the task itself it ships no more tags than that takes. A wrong count moves
+    an n-gram in the order, the same way in all sets, and changes no result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHash()
         for batch in batches:
-            seen: dict[int, np.ndarray] = {}
-            for grams in _sets(batch, known, words):
-                seen[set_key(grams)] = grams[: prefix_size(len(grams), least)]
-            h = np.concatenate([*seen.values(), np.empty(0, np.uint64)])
-            tags = (np.fromiter(seen, np.int64, len(seen)) & 0xFFFFFFFF).astype(np.uint32)
-            tags = np.repeat(tags, [len(g) for g in seen.values()])
-            order = np.argsort(h, kind="stable")
-            h, tags = h[order], tags[order]
-            # the place of each entry among those of its n-gram; more than ``common`` prove nothing new
-            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, int)
-            place = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
-            h, tags = h[place < common], tags[place < common]
-            rows = [(b, h[s].tobytes(), tags[s].tobytes()) for b, s in _in_buckets(h, bits)]
-            columns = list(map(list, zip(*rows, strict=True))) if rows else [[]] * 3
-            yield pa.RecordBatch.from_pydict(
-                dict(zip(("bucket", "hashes", "tags"), columns, strict=True)),
-                schema=pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("tags", pa.binary())]),
-            )
+            seen = []
+            for grams in _sets(batch, words):
+                tag = np.uint64(set_key(grams) & 0xFFFF)
+                seen.append(grams[: prefix_size(len(grams), least)] & ~_TAG | tag)
+            entries = np.unique(np.concatenate([*seen, np.empty(0, np.uint64)]))
+            starts = _starts(entries >> np.uint64(16))
+            place = np.arange(len(entries)) - np.repeat(starts, np.diff(np.append(starts, len(entries))))
+            entries = entries[place < common]
+            yield _packed(_in_buckets(entries, bits), entries=entries)
 
     def merge(found: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(found.column("hashes").to_pylist()), np.uint64)
-        tags = np.frombuffer(b"".join(found.column("tags").to_pylist()), np.uint32)
-        order = np.lexsort((tags, h))
-        h, tags = h[order], tags[order]
-        fresh = np.append(True, (h[1:] != h[:-1]) | (tags[1:] != tags[:-1]))[: len(h)]
-        unique, n = np.unique(h[fresh], return_counts=True)
-        return pa.table({"gram": unique[n >= common].view(np.int64), "n": n[n >= common].astype(np.int64)})
-
-    packed = texts.mapInArrow(count, "bucket long, hashes binary, tags binary")
+        entries = np.unique(_unpacked(found, "entries", np.uint64))
+        grams = entries >> np.uint64(16)
+        starts = _starts(grams)
+        n = np.diff(np.append(starts, len(entries)))
+        many = n >= common
+        return pa.table({"gram": grams[starts[many]].astype(np.int64), "n": n[many].astype(np.int64)})
+
+    packed = texts.mapInArrow(count, "bucket long, entries binary")
     heavy = lay_down(packed.groupBy("bucket").applyInArrow(merge, "gram long, n long"), "common-ngrams")
     at_least = common
     while heavy.where(F.col("n") >= at_least).count() > most:
         at_least *= 2
     grams = heavy.where(F.col("n") >= at_least).select("gram").toArrow().column("gram").to_numpy()
-    return np.sort(grams.view(np.uint64))
+    return np.sort(grams.astype(np.uint64))
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, common, words: int, least: int) -> DataFrame:
+    """Stored (_id, k, n, last) of every row: the set's name, size, and where its prefix ends."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, ends = [], [], []
+            for grams in _sets(batch, words):
+                rare, usual = _prefix(grams, common.value, least)
+                keys.append(set_key(grams))
+                sizes.append(len(grams))
+                # rounding keeps the order, but for equal ends
+                ends.append(1.0 + float(usual[-1]) / 2.0**64 if len(usual) else float(rare[-1]) / 2.0**64 if len(rare) else 0.0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ends, pa.float64())],
+                ["_id", "k", "n", "last"],
+            )
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(text_col).cast("binary").alias("_text"), F.col(id_col).alias("_id"))
+    return lay_down(rows.mapInArrow(name, f"_id {id_type}, k long, n long, last double"), "named-sets")
 
 
 def _groups(texts: DataFrame, common, words: int, least: int, bits: int) -> DataFrame:
-    """Distinct (grp, k, n): sets whose prefixes share an n-gram, two at least.
+    """Stored (grp, usual, k, w): sets whose prefixes share an n-gram, two at least.
 
-    Rare n-grams are gathered in packed buckets and their groups named by their
-    members, so that groups met many times are stored once; no rare group is
-    larger than what made an n-gram common. Common ones stay rows.
+    Rare n-grams are gathered in packed buckets, and those with the same sets
+    are one group of weight ``w``; no such group is larger than what makes an
+    n-gram common. Common n-grams stay rows, one group each.
     """
-    rare_row = pa.schema(
-        [("bucket", pa.int64()), ("hashes", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()),
-         ("gram", pa.int64()), ("k", pa.int64()), ("n", pa.int32())]
-    )
+    packed_type = [("bucket", pa.int64()), ("hashes", pa.binary()), ("keys", pa.binary())]
+    schema = pa.schema([*packed_type, ("gram", pa.int64()), ("k", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = _WordHash(), common.value
+        last = common.value
         for batch in batches:
-            parts: list[tuple[np.ndarray, int, int]] = []
-            rows: list[tuple] = []
+            rares, usuals, keys = [], [], []
             done = set()
-            for grams in _sets(batch, known, words):
+            for grams in _sets(batch, words):
                 key = set_key(grams)
                 if not len(grams) or key in done:
                     continue
                 done.add(key)
                 rare, usual = _prefix(grams, last, least)
-                parts.append((rare, key, len(grams)))
-                rows += [(None, None, None, None, g, key, len(grams)) for g in usual.view(np.int64).tolist()]
-            if parts:
-                lengths = [len(p[0]) for p in parts]
-                h = np.concatenate([p[0] for p in parts])
-                k = np.repeat(np.array([p[1] for p in parts], np.int64), lengths)
-                n = np.repeat(np.array([p[2] for p in parts], np.uint32), lengths)
-                order = np.argsort(h, kind="stable")
-                h, k, n = h[order], k[order], n[order]
-                rows += [
-                    (b, h[s].tobytes(), k[s].tobytes(), n[s].tobytes(), None, None, None)
-                    for b, s in _in_buckets(h, bits)
-                ]
-            columns = list(map(list, zip(*rows, strict=True))) if rows else [[]] * 7
-            yield pa.RecordBatch.from_pydict(dict(zip(rare_row.names, columns, strict=True)), schema=rare_row)
+                rares.append(rare)
+                usuals.append(usual)
+                keys.append(key)
+            names = np.array(keys, np.int64)
+            h = np.concatenate([*rares, np.empty(0, np.uint64)])
+            k = np.repeat(names, [len(r) for r in rares])
+            order = np.argsort(h)
+            h, k = h[order], k[order]
+            packed = _packed(_in_buckets(h, bits), hashes=h, keys=k)
+            empty = packed.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*packed.columns, pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64())], schema=schema
+            )
+            gram = np.concatenate([*usuals, np.empty(0, np.uint64)]).view(np.int64)
+            of = np.repeat(names, [len(u) for u in usuals])
+            if len(gram):
+                blank = [pa.nulls(len(gram), t) for _, t in packed_type]
+                yield pa.RecordBatch.from_arrays([*blank, pa.array(gram), pa.array(of)], schema=schema)
 
     def gather(found: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(found.column("hashes").to_pylist()), np.uint64)
-        k = np.frombuffer(b"".join(found.column("keys").to_pylist()), np.int64)
-        n = np.frombuffer(b"".join(found.column("sizes").to_pylist()), np.uint32)
-        _, back, many = np.unique(h, return_inverse=True, return_counts=True)
-        shared = many[back] > 1
-        h, k, n = h[shared], k[shared], n[shared]
+        h, k = _unpacked(found, "hashes", np.uint64), _unpacked(found, "keys", np.int64)
+        order = np.argsort(h)
+        h, k = h[order], k[order]
+        starts = _starts(h)
+        shared = np.repeat(np.diff(np.append(starts, len(h))) > 1, np.diff(np.append(starts, len(h))))
+        h, k = h[shared], k[shared]
         order = np.lexsort((k, h))
-        h, k, n = h[order], k[order], n[order]
-        fresh = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])) if len(h) else np.empty(0, bool)
-        h, k, n = h[fresh], k[fresh], n[fresh]
-        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, int)
-        out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for a, b in zip(starts, np.append(starts, len(h))[1:], strict=True):
-            if b - a > 1:
-                out[xxhash.xxh3_64_intdigest(k[a:b].tobytes()) - (1 << 63)] = (k[a:b], n[a:b])
-        sizes = [len(v[0]) for v in out.values()]
+        h, k = h[order], k[order]
+        fresh = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))[: len(h)]
+        h, k = h[fresh], k[fresh]
+        starts = _starts(h)
+        sizes = np.diff(np.append(starts, len(h)))
+        with np.errstate(over="ignore"):
+            mixed = scramble(k.view(np.uint64))
+            sums = np.add.reduceat(mixed, starts) if len(starts) else np.empty(0, np.uint64)
+            groups = scramble(sums + sizes.astype(np.uint64)).view(np.int64)
+        groups = np.where(sizes > 1, groups, 0)
+        unique, first, weight = np.unique(groups, return_index=True, return_counts=True)
+        real = sizes[first] > 1
+        unique, first, weight = unique[real], first[real], weight[real]
+        take = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in first] or [np.empty(0, int)])
         return pa.table(
             {
-                "grp": np.repeat(np.array(list(out), np.int64), sizes) if out else np.empty(0, np.int64),
-                "k": np.concatenate([v[0] for v in out.values()]) if out else np.empty(0, np.int64),
-                "n": (np.concatenate([v[1] for v in out.values()]) if out else np.empty(0)).astype(np.int32),
+                "grp": np.repeat(unique, sizes[first]),
+                "k": k[take.astype(int)],
+                "w": np.repeat(weight, sizes[first]).astype(np.int64),
             }
         )
 
-    kind = "bucket long, hashes binary, keys binary, sizes binary, gram long, k long, n int"
-    emitted = texts.mapInArrow(emit, kind)
+    emitted = texts.mapInArrow(emit, "bucket long, hashes binary, keys binary, gram long, k long")
     rare = (
         emitted.where("bucket IS NOT NULL")
-        .select("bucket", "hashes", "keys", "sizes")
+        .select("bucket", "hashes", "keys")
         .groupBy("bucket")
-        .applyInArrow(gather, "grp long, k long, n int")
+        .applyInArrow(gather, "grp long, k long, w long")
+        .groupBy("grp", "k")
+        .agg(F.sum("w").alias("w"))
+        .select("grp", F.lit(False).alias("usual"), "k", "w")
     )
     if len(common.value):
-        rare = rare.unionByName(emitted.where("bucket IS NULL").select(F.col("gram").alias("grp"), "k", "n"))
-    return lay_down(rare.distinct(), "prefix-groups")
+        usual = emitted.where("bucket IS NULL").select(F.col("gram").alias("grp"), "k").distinct()
+        rare = rare.unionByName(usual.select("grp", F.lit(True).alias("usual"), "k", F.lit(1).cast("bigint").alias("w")))
+    return lay_down(rare, "prefix-groups")
 
 
 def _overlaps(texts: DataFrame, pairs: DataFrame, words: int, fragments: int, least: int) -> DataFrame:
@@ -234,10 +255,10 @@ def _overlaps(texts: DataFrame, pairs: DataFrame, words: int, fragments: int, le
     cut_bits = (fragments - 1).bit_length()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, mask = _WordHash(), wanted.value
+        mask = wanted.value
         for batch in batches:
             done, keys, parts, blobs = set(), [], [], []
-            for grams in _sets(batch, known, words):
+            for grams in _sets(batch, words):
                 key = set_key(grams)
                 if key in done or not keyfilter.passes(mask, key % (1 << keyfilter.BITS)):
                     continue
@@ -276,17 +297,26 @@ def _overlaps(texts: DataFrame, pairs: DataFrame, words: int, fragments: int, le
     return overlap.join(pairs, ["u", "v"]).where(enough).select("u", "v")
 
 
-def _sized(pairs: DataFrame, least: int) -> DataFrame:
-    """Pairs in one direction, once, whose sizes allow the similarity."""
-    flip = F.col("a") > F.col("b")
-    one_way = pairs.select(
-        F.least("a", "b").alias("u"),
-        F.greatest("a", "b").alias("v"),
-        F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_u"),
-        F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_v"),
-    )
-    fits = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * least
-    return one_way.where((F.col("u") != F.col("v")) & fits).distinct()
+def _possible(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """(u, v, n_u, n_v) of pairs (u, v[, s]) that sizes and prefixes do not rule out.
+
+    ``s`` counts the n-grams both prefixes hold. The set whose prefix ends first
+    shares no others but those behind it, so with them the overlap must reach
+    what the similarity asks for.
+    """
+    u = sets.select(F.col("k").alias("u"), F.col("n").alias("n_u"), F.col("last").alias("l_u"))
+    v = sets.select(F.col("k").alias("v"), F.col("n").alias("n_v"), F.col("last").alias("l_v"))
+    sized = pairs.join(u, "u").join(v, "v")
+    sized = sized.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * least)
+    if "s" in pairs.columns:
+        behind = lambda n: F.ceil(F.col(n) * least / F.lit(100)) - 1
+        most = (
+            F.when(F.col("l_u") < F.col("l_v"), behind("n_u"))
+            .when(F.col("l_u") > F.col("l_v"), behind("n_v"))
+            .otherwise(F.greatest(behind("n_u"), behind("n_v")))
+        )
+        sized = sized.where((100 + least) * (F.col("s") + most) >= least * (F.col("n_u") + F.col("n_v")))
+    return sized.select("u", "v", "n_u", "n_v")
 
 
 def similar_components(
@@ -304,11 +334,12 @@ def similar_components(
     Documents link when the Jaccard similarity of their n-gram sets is ``least``
     hundredths or more; component_id is the smallest id reachable by links.
 
-    Equal sets are one node, whatever their number. Of each group of sets that
-    share a prefix n-gram, all meet one hub first; then every set outside the
-    hub's component meets the sets of the other components. So each link is
-    either found or inside a component already, and a large group of near copies
-    costs its size, not its square.
+    Equal sets are one node, whatever their number. Sets that share a common
+    n-gram meet one hub of its group first; then, in every group, the sets
+    outside the hub's component meet those of other components, and the n-grams
+    they share in their prefixes are counted. So each link is either found or
+    inside a component already, and a large group of near copies costs its size,
+    not its square.
 
     Null and empty texts have an empty set and link with nothing: component_id is
     their own id. Null ids never are the smallest unless a component has no
@@ -319,56 +350,51 @@ def similar_components(
     texts = docs.select(F.col(text_col).cast("binary").alias("_text"))
     bits = min(16, max(6, (8 * texts.rdd.getNumPartitions()).bit_length()))
     last = spark.sparkContext.broadcast(_common_ngrams(texts, words, least, bits, common, most_common))
+    named = _named(docs, id_col, text_col, last, words, least)
+    full = named.where("n > 0")
+    sets = lay_down(
+        full.groupBy("k").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.min("_id").alias("_least")), "sets"
+    )
     groups = _groups(texts, last, words, least, bits)
 
-    hubs = lay_down(groups.groupBy(F.col("grp").alias("_grp")).agg(F.min(F.struct("k", "n")).alias("hub")), "hubs")
-    star = groups.join(hubs, F.col("grp") == F.col("_grp"))
-    first = lay_down(
-        _sized(star.select(F.col("hub.k").alias("a"), F.col("k").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")), least),
-        "hub-pairs",
-    )
+    hubs = lay_down(groups.groupBy(F.col("grp").alias("_grp")).agg(F.min("k").alias("hub")), "hubs")
+    star = groups.where("usual").join(hubs, F.col("grp") == F.col("_grp")).where("k <> hub")
+    star = star.select(F.col("hub").alias("u"), F.col("k").alias("v")).distinct()
+    first = lay_down(_possible(star, sets, least), "hub-pairs")
     links = lay_down(_overlaps(texts, first, words, fragments, least), "hub-links")
     roots = connected(links)
 
     label = lambda col: F.coalesce(F.col("root"), F.col(col))
-    marked = groups.join(roots, F.col("k") == F.col("node"), "left").select("grp", "k", "n", label("k").alias("c"))
+    marked = groups.join(roots, F.col("k") == F.col("node"), "left").select("grp", "k", "w", label("k").alias("c"))
     marked = lay_down(marked, "marked-groups")
-    hub_c = hubs.join(roots, F.col("hub.k") == F.col("node"), "left").select("_grp", label("hub.k").alias("hub_c"))
-    outside = (
+    hub_c = hubs.join(roots, F.col("hub") == F.col("node"), "left").select("_grp", label("hub").alias("hub_c"))
+    outside = lay_down(
         marked.join(hub_c, F.col("grp") == F.col("_grp"))
         .where("c <> hub_c")
-        .select(F.col("grp").alias("_grp"), F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+        .select(F.col("grp").alias("_grp"), F.col("k").alias("a"), F.col("c").alias("c_a"), F.lit(True).alias("_out")),
+        "outside-hubs",
     )
-    outside = lay_down(outside, "outside-hubs")
-    cross = marked.join(outside, (F.col("grp") == F.col("_grp")) & (F.col("c") != F.col("c_a")))
-    second = _sized(cross.select("a", F.col("k").alias("b"), "n_a", F.col("n").alias("n_b")), least)
+    # both ends outside: the smaller one asks; one end outside: that one asks
+    both = marked.join(
+        outside.select("_grp", F.col("a").alias("_a"), "_out"), (F.col("grp") == F.col("_grp")) & (F.col("k") == F.col("_a")), "left"
+    ).select("grp", "k", "w", "c", F.col("_out").isNotNull().alias("out"))
+    cross = both.join(outside, (F.col("grp") == F.col("_grp")) & (F.col("c") != F.col("c_a")))
+    cross = cross.where("NOT out OR a < k").groupBy(F.least("a", "k").alias("u"), F.greatest("a", "k").alias("v"))
+    second = _possible(cross.agg(F.sum("w").alias("s")), sets, least)
     second = lay_down(second.join(first.select("u", "v"), ["u", "v"], "left_anti"), "cross-pairs")
     more = lay_down(_overlaps(texts, second, words, fragments, least), "cross-links")
     if more.limit(1).count():
         roots = connected(links.unionByName(more))
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHash()
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), known, words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                ["_id", "k", "n_shingles"],
-            )
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    named = lay_down(named.mapInArrow(name, f"_id {id_type}, k long, n_shingles long"), "named-sets")
-    full = named.where("n_shingles > 0")
-    classes = full.groupBy("k").agg(F.min("_id").alias("_least"))
-    rooted = classes.join(roots, F.col("k") == F.col("node"), "left").select("k", "_least", label("k").alias("c"))
+    rooted = sets.join(roots, F.col("k") == F.col("node"), "left").select("k", "_least", label("k").alias("c"))
     smallest = rooted.groupBy(F.col("c").alias("_c")).agg(F.min("_least").alias("component_id"))
     found = lay_down(
         rooted.join(smallest, F.col("c") == F.col("_c")).select(F.col("k").alias("_k"), "component_id"), "components"
     )
-    linked = full.join(found, F.col("k") == F.col("_k")).select("_id", "n_shingles", "component_id")
-    alone = named.where("n_shingles = 0").select("_id", "n_shingles", F.col("_id").alias("component_id"))
-    return linked.unionByName(alone).withColumnRenamed("_id", id_col)
+    linked = full.join(found, F.col("k") == F.col("_k")).select("_id", "n", "component_id")
+    alone = named.where("n = 0").select("_id", "n", F.col("_id").alias("component_id"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
