@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ FRAGMENTS = 8
 # doubles until at most MOST_COMMON are, as those are broadcast.
 COMMON = 8
 MOST_COMMON = 1 << 20
+# One of so many sets is counted whole, to know what is common behind the prefixes.
+WHOLE_SHARE = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,32 +109,43 @@ def _common_ngrams(texts: DataFrame, words: int, least: int, bits: int, common:
 
     Each task ships these bits with a 16-bit tag of the set, packed by hash
     range; copies share their tag and count once. Of an n-gram that is common in
-    the task itself it ships no more tags than that takes. A wrong count moves
-    an n-gram in the order, the same way in all sets, and changes no result.
+    the task itself it ships no more tags than that takes. What goes last makes
+    room for n-grams behind the prefix, so one of ``WHOLE_SHARE`` sets ships all
+    of its own; no bucket gathers a group much larger than ``common * WHOLE_SHARE``. A wrong count moves an n-gram in the order, the same way in all
+    sets, and changes no result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = []
+            seen: tuple[list, list] = ([], [])
             for grams in _sets(batch, words):
-                tag = np.uint64(set_key(grams) & 0xFFFF)
-                seen.append(grams[: prefix_size(len(grams), least)] & ~_TAG | tag)
-            entries = np.unique(np.concatenate([*seen, np.empty(0, np.uint64)]))
-            starts = _starts(entries >> np.uint64(16))
-            place = np.arange(len(entries)) - np.repeat(starts, np.diff(np.append(starts, len(entries))))
-            entries = entries[place < common]
-            yield _packed(_in_buckets(entries, bits), entries=entries)
+                key = set_key(grams)
+                tagged = grams & ~_TAG | np.uint64(key & 0xFFFF)
+                seen[0].append(tagged[: prefix_size(len(grams), least)])
+                if (key >> 16) % WHOLE_SHARE == 0:
+                    seen[1].append(tagged)
+            for whole, parts in enumerate(seen):
+                entries = np.unique(np.concatenate([*parts, np.empty(0, np.uint64)]))
+                starts = _starts(entries >> np.uint64(16))
+                place = np.arange(len(entries)) - np.repeat(starts, np.diff(np.append(starts, len(entries))))
+                entries = entries[place < common]
+                out = _packed(_in_buckets(entries, bits), entries=entries)
+                yield out.append_column("whole", pa.array([bool(whole)] * out.num_rows, pa.bool_()))
 
     def merge(found: pa.Table) -> pa.Table:
-        entries = np.unique(_unpacked(found, "entries", np.uint64))
-        grams = entries >> np.uint64(16)
-        starts = _starts(grams)
-        n = np.diff(np.append(starts, len(entries)))
-        many = n >= common
-        return pa.table({"gram": grams[starts[many]].astype(np.int64), "n": n[many].astype(np.int64)})
-
-    packed = texts.mapInArrow(count, "bucket long, entries binary")
-    heavy = lay_down(packed.groupBy("bucket").applyInArrow(merge, "gram long, n long"), "common-ngrams")
+        counted = []
+        for whole in (False, True):
+            entries = np.unique(_unpacked(found.filter(pc.equal(found["whole"], whole)), "entries", np.uint64))
+            grams = entries >> np.uint64(16)
+            starts = _starts(grams)
+            n = np.diff(np.append(starts, len(entries)))
+            counted.append((grams[starts[n >= common]], n[n >= common] * (WHOLE_SHARE if whole else 1)))
+        grams = np.concatenate([c[0] for c in counted]).astype(np.int64)
+        return pa.table({"gram": grams, "n": np.concatenate([c[1] for c in counted]).astype(np.int64)})
+
+    packed = texts.mapInArrow(count, "bucket long, entries binary, whole boolean")
+    heavy = packed.groupBy("bucket").applyInArrow(merge, "gram long, n long")
+    heavy = lay_down(heavy.groupBy("gram").agg(F.max("n").alias("n")), "common-ngrams")
     at_least = common
     while heavy.where(F.col("n") >= at_least).count() > most:
         at_least *= 2
@@ -161,12 +175,12 @@ def _named(docs: DataFrame, id_col: str, text_col: str, common, words: int, leas
     return lay_down(rows.mapInArrow(name, f"_id {id_type}, k long, n long, last double"), "named-sets")
 
 
-def _groups(texts: DataFrame, common, words: int, least: int, bits: int) -> DataFrame:
+def _groups(texts: DataFrame, common, words: int, least: int, bits: int, large: int) -> DataFrame:
     """Stored (grp, usual, k, w): sets whose prefixes share an n-gram, two at least.
 
     Rare n-grams are gathered in packed buckets, and those with the same sets
-    are one group of weight ``w``; no such group is larger than what makes an
-    n-gram common. Common n-grams stay rows, one group each.
+    are one group of weight ``w``. Common n-grams stay rows, one group each; they
+    and the rare groups of ``large`` sets or more are ``usual``.
     """
     packed_type = [("bucket", pa.int64()), ("hashes", pa.binary()), ("keys", pa.binary())]
     schema = pa.schema([*packed_type, ("gram", pa.int64()), ("k", pa.int64())])
@@ -228,6 +242,7 @@ def _groups(texts: DataFrame, common, words: int, least: int, bits: int) -> Data
                 "grp": np.repeat(unique, sizes[first]),
                 "k": k[take.astype(int)],
                 "w": np.repeat(weight, sizes[first]).astype(np.int64),
+                "usual": np.repeat(sizes[first] >= large, sizes[first]),
             }
         )
 
@@ -236,10 +251,10 @@ def _groups(texts: DataFrame, common, words: int, least: int, bits: int) -> Data
         emitted.where("bucket IS NOT NULL")
         .select("bucket", "hashes", "keys")
         .groupBy("bucket")
-        .applyInArrow(gather, "grp long, k long, w long")
+        .applyInArrow(gather, "grp long, k long, w long, usual boolean")
         .groupBy("grp", "k")
-        .agg(F.sum("w").alias("w"))
-        .select("grp", F.lit(False).alias("usual"), "k", "w")
+        .agg(F.max("usual").alias("usual"), F.sum("w").alias("w"))
+        .select("grp", "usual", "k", "w")
     )
     if len(common.value):
         usual = emitted.where("bucket IS NULL").select(F.col("gram").alias("grp"), "k").distinct()
@@ -335,7 +350,7 @@ def similar_components(
     hundredths or more; component_id is the smallest id reachable by links.
 
     Equal sets are one node, whatever their number. Sets that share a common
-    n-gram meet one hub of its group first; then, in every group, the sets
+    n-gram, or any large group, meet one hub of the group first; then, in every group, the sets
     outside the hub's component meet those of other components, and the n-grams
     they share in their prefixes are counted. So each link is either found or
     inside a component already, and a large group of near copies costs its size,
@@ -355,7 +370,7 @@ def similar_components(
     sets = lay_down(
         full.groupBy("k").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.min("_id").alias("_least")), "sets"
     )
-    groups = _groups(texts, last, words, least, bits)
+    groups = _groups(texts, last, words, least, bits, common)
 
     hubs = lay_down(groups.groupBy(F.col("grp").alias("_grp")).agg(F.min("k").alias("hub")), "hubs")
     star = groups.where("usual").join(hubs, F.col("grp") == F.col("_grp")).where("k <> hub")
