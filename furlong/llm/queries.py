@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furlong.llm import exact_dedup, jaccard_join, line_dedup, mixing, quality, secrets, toxicity, url_filter
+from furlong.llm import exact_dedup, jaccard_join, line_dedup, mixing, neighbours, quality, secrets, toxicity, url_filter
 from furlong.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -73,6 +73,11 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
