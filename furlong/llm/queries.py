@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furlong.llm import exact_dedup, jaccard_join, line_dedup, mixing, neighbours, quality, secrets, toxicity, url_filter
+from furlong.llm import exact_dedup, jaccard_join, line_dedup, mixing, neighbours, pieces, quality, secrets, toxicity, url_filter
 from furlong.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -44,6 +44,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
