@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _local: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +34,28 @@ def _app_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/furlong-{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def made() -> tuple[str, ...]:
+    """Paths of the intermediate tables stored so far and not dropped."""
+    return tuple(_made)
+
+
+def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove some intermediate tables; results that read them end with it."""
+    for path in paths:
+        if path in _made:
+            _made.remove(path)
+            _delete(spark, path)
+
+
 def drop_laid_down(spark: SparkSession) -> None:
     """Remove this application's intermediate tables; results that read them end with it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _made.clear()
+    _delete(spark, _app_dir(spark))
 
 
 def lay_down(df: DataFrame, tag: str) -> DataFrame:
@@ -47,5 +66,6 @@ def lay_down(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_app_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
