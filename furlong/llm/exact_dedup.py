@@ -97,6 +97,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = stay.select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha"), "n")
     here = docs.withColumn("_text_sha", sha256(normalised(F.col(text_col))))
     same = F.col("_text_sha").eqNullSafe(F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_keep"))
-    once = here.join(stay.where("n = 1"), same, "left_semi")
-    ties = here.join(stay.where("n > 1"), same, "left_semi").dropDuplicates([id_col, "_text_sha"])
-    return once.unionByName(ties).drop("_text_sha")
+    out = here.join(stay.where("n = 1"), same, "left_semi")
+    if stay.where("n > 1").limit(1).count():
+        ties = here.join(stay.where("n > 1"), same, "left_semi")
+        out = out.unionByName(ties.dropDuplicates([id_col, "_text_sha"]))
+    return out.drop("_text_sha")

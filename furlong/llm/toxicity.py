@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furlong.llm import keyfilter
 from furlong.llm.labels import held_out, learnable
@@ -210,39 +211,26 @@ def fit_curve(features: np.ndarray, label: np.ndarray, ridge: float = 1e-3) -> n
     return w
 
 
-def _measure(model, others: list, types: list):
-    """Task code: the columns ``others`` beside the evidence and words of the first column's texts."""
+def _measure(model, schema: T.StructType):
+    """Task code and its schema: the columns of ``schema`` beside evidence and words of the first column's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lm = _WordHash(), model.value
         for batch in batches:
             words = [word_hashes(t.as_py(), known) for t in batch.column(0)]
             found = np.array([lm.evidence(w) for w in words]).reshape(-1, 2)
+            n = pa.array([len(w) for w in words], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array([len(w) for w in words], pa.int64())],
-                [*others, "_mean", "_strong", "_n"],
+                [*batch.columns[1:], pa.array(found[:, 0]), pa.array(found[:, 1]), n],
+                [*schema.names, "_mean", "_strong", "_n"],
             )
 
-    schema = ", ".join([f"{c} {t}" for c, t in zip(others, types, strict=True)])
-    return run, f"{schema}, _mean double, _strong double, _n long"
+    out = T.StructType(list(schema.fields))
+    return run, out.add("_mean", "double").add("_strong", "double").add("_n", "long")
 
 
-def toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "toxic",
-    threshold: float = THRESHOLD,
-) -> DataFrame:
-    """(id_col, held_out, score, predicted) for every row of ``docs``.
-
-    ``score`` is the probability of label 1. Only ids outside the held-out fold
-    teach; null ids are scored and teach nothing. Null and empty texts have no
-    evidence and the score that goes with it. Repeated rows are scored alike; an
-    empty table gives an empty result; without labels each score is 0.5. Other
-    columns are ignored.
-    """
+def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
+    """(broadcast model, weights of the curve)."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(text_col).cast("binary").alias("_text"), F.col(id_col).alias("_id"))
@@ -267,21 +255,62 @@ def toxicity(
         "toxic-taught",
     )
     model = spark.sparkContext.broadcast(train(taught.where("NOT _curve").select("_text", "_label")))
-
-    run, schema = _measure(model, ["_label"], ["int"])
     sample = taught.where("_curve").orderBy(F.xxhash64("_label_id", F.lit("sample")), "_label_id").limit(CURVE_TEXTS)
-    known = sample.select("_text", "_label").mapInArrow(run, schema).toPandas()
+    sample = sample.select("_text", "_label")
+    known = sample.mapInArrow(*_measure(model, sample.select("_label").schema)).toPandas()
     weights = fit_curve(
         curve_features(known[["_mean", "_strong"]].to_numpy(), known["_n"].to_numpy()), known["_label"].to_numpy()
     )
-    run, schema = _measure(model, ["_id"], [id_type])
-    measured = rows.mapInArrow(run, schema)
-    terms = [F.lit(1.0), F.col("_mean"), F.col("_strong"), F.col("_strong") * F.sqrt("_n")]
-    logit = sum((t * F.lit(float(w)) for t, w in zip(terms[1:], weights[1:], strict=True)), F.lit(float(weights[0])))
+    return model, weights
+
+
+def _scored(rows: DataFrame, model, weights: np.ndarray) -> DataFrame:
+    """(_kept, score) of rows (_text, _kept)."""
+    measured = rows.mapInArrow(*_measure(model, rows.select("_kept").schema))
+    terms = [F.col("_mean"), F.col("_strong"), F.col("_strong") * F.sqrt("_n")]
+    logit = F.lit(float(weights[0]))
+    for term, w in zip(terms, weights[1:], strict=True):
+        logit = logit + term * F.lit(float(w))
     score = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
-    return measured.select(F.col("_id"), score.alias("score")).select(
-        F.col("_id").alias(id_col),
-        held_out(F.col("_id")).alias("held_out"),
+    return measured.select("_kept", score.alias("score"))
+
+
+def toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """(id_col, held_out, score, predicted) for every row of ``docs``.
+
+    ``score`` is the probability of label 1. Only ids outside the held-out fold
+    teach; null ids are scored and teach nothing. Null and empty texts have no
+    evidence and the score that goes with it. Repeated rows are scored alike; an
+    empty table gives an empty result; without labels each score is 0.5. Other
+    columns are ignored.
+    """
+    learned = _learn(docs, labels, id_col, text_col, label_col)
+    rows = docs.select(F.col(text_col).cast("binary").alias("_text"), F.col(id_col).alias("_kept"))
+    return _scored(rows, *learned).select(
+        F.col("_kept").alias(id_col),
+        held_out(F.col("_kept")).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def drop_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``docs`` that ``toxicity`` scores below ``threshold``, all columns as they are."""
+    learned = _learn(docs, labels, id_col, text_col, label_col)
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(text_col).cast("binary").alias("_text"), columns.alias("_kept"))
+    return _scored(rows, *learned).where(F.col("score") < threshold).select("_kept.*")
