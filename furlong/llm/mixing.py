@@ -21,7 +21,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3.0
 TOLERANCE = 1e-9
 ITERATIONS = 60
-# Documents behind the cut that may fill what the cut leaves of a target.
+# Documents on either side of the cut that may be exchanged to meet a target.
 FILLERS = 256
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -148,9 +148,8 @@ def mix(
 
     One row per input row; ``_taken = _copies * _size``, ``_copies`` is the rate
     rounded down or up. Within a source, documents are rounded up in the order
-    of hash(id) / fraction until the target is met; of the next documents those
-    that still fit are taken too, so a target is missed by less than one small
-    document. ``cap`` is a whole number, so no copies exceed it. Empty texts keep
+    of hash(id) / fraction until the target is met; then a few around that cut
+    are exchanged by size, so a target is missed by less than a small document. ``cap`` is a whole number, so no copies exceed it. Empty texts keep
     one copy of no words. Null sources are one source; null ids hash alike, and
     rows that tie keep the order Spark gives them once. An empty table gives an
     empty result. Input columns named as the added ones are replaced.
@@ -220,29 +219,38 @@ def mix(
     )
     run = lay_down(run.select("_serial", "_mix_source", "_could", "_run", "_room"), "mix-run")
     below = run.where("_run <= _room").select("_serial")
-    # what fits behind the cut: a bounded number of documents per source
+    # what fits on either side of the cut: a bounded number of documents per source
     cut = run.groupBy("_mix_source").agg(
         F.min(F.when(F.col("_run") > F.col("_room"), F.col("_serial"))).alias("_cut"),
         F.coalesce(F.max(F.when(F.col("_run") <= F.col("_room"), F.col("_run"))), F.lit(0)).alias("_used"),
     )
     cut = cut.withColumnRenamed("_mix_source", "_c_source")
-    behind = run.join(
+    near = run.join(
         cut,
         F.col("_mix_source").eqNullSafe(F.col("_c_source"))
-        & (F.col("_serial") >= F.col("_cut"))
+        & (F.col("_serial") >= F.col("_cut") - FILLERS)
         & (F.col("_serial") < F.col("_cut") + FILLERS),
     )
-    filled = behind.groupBy("_mix_source").agg(
-        F.array_sort(F.collect_list(F.struct("_serial", "_could"))).alias("_next"),
+    one = F.struct("_serial", "_could")
+    near = near.groupBy("_mix_source").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_serial") >= F.col("_cut"), one))).alias("_next"),
+        F.reverse(F.array_sort(F.collect_list(F.when(F.col("_serial") < F.col("_cut"), one)))).alias("_last"),
         F.min(F.col("_room") - F.col("_used")).alias("_left"),
     )
-    # first fit: a document is taken if that brings the sum nearer to the target
-    fit = F.expr(
-        "aggregate(_next, struct(_left AS room, cast(array() AS array<bigint>) AS took),"
+    # first fit, where a document is moved if that brings the sum nearer to the
+    # target: take from behind the cut, or take the next one and leave others out
+    fit = (
+        "aggregate({0}, struct({1} AS room, cast(array() AS array<bigint>) AS moved),"
         " (a, d) -> IF(d._could < 2 * a.room,"
-        " struct(a.room - d._could AS room, concat(a.took, array(d._serial)) AS took), a)).took"
+        " struct(a.room - d._could AS room, concat(a.moved, array(d._serial)) AS moved), a))"
     )
-    extra = below.unionByName(filled.select(F.explode(fit).alias("_serial")))
+    near = near.withColumn("_more", F.expr(fit.format("_next", "_left"))).withColumn(
+        "_less", F.expr(fit.format("_last", "_next[0]._could - _left"))
+    )
+    swap = F.abs("_less.room") < F.abs("_more.room")
+    added = near.select(F.explode(F.when(swap, F.array(F.col("_next")[0]["_serial"])).otherwise(F.col("_more.moved"))).alias("_serial"))
+    left_out = near.where(swap).select(F.explode("_less.moved").alias("_serial"))
+    extra = below.join(left_out, "_serial", "left_anti").unionByName(added)
     extra = extra.select(F.col("_serial").alias("_e_serial"))
     copies = F.col("_floor") + F.col("_e_serial").isNotNull().cast("bigint")
     return (

@@ -23,7 +23,7 @@ from furlong.scale.storage import lay_down
 NEAREST = 10
 TREES = 8
 # Vectors in a leaf, on average, and the bound of the sample that makes the trees.
-LEAF = 256
+LEAF = 1024
 SAMPLE = 100_000
 # A query opens leaves until they hold this share of the vectors and this many;
 # it is what recall asks for where vectors have little structure.

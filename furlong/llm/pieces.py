@@ -12,12 +12,11 @@ No piece goes on after a space, so words never interact: only the words that a
 cut goes through are searched for paths, those inside a chunk are looked up.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -480,9 +479,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", into: str = "text", model_p
         model = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("string")
-    def text_of(ids: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def text_of(ids: pd.Series) -> pd.Series:
         p = Pieces(model.value)
         plain = lambda x: p.decode(x).replace(SPACE, " ").removeprefix(" ")
         return pd.Series([None if x is None else plain(list(x)) for x in ids], dtype=object)
