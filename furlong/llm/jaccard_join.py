@@ -34,7 +34,9 @@ MOST_COMMON = 1 << 20
 WHOLE_SHARE = 64
 # Hubs that the sets of a large group meet, one after another, before the rest is
 # compared; each joins components, which saves comparisons and changes no result.
-ROUNDS = 5
+ROUNDS = 3
+# Words of a set's parity sketch, 64 bits each.
+SKETCH = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,25 +159,34 @@ def _common_ngrams(texts: DataFrame, words: int, least: int, bits: int, common:
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, common, words: int, least: int) -> DataFrame:
-    """Stored (_id, k, n, last) of every row: the set's name, size, and where its prefix ends."""
+    """Stored (_id, k, n, last, sketch) of every row: the set's name, size, and where its prefix ends.
+
+    The sketch has a bit for each hash class of n-grams, set where their number
+    is odd: an n-gram that one of two sets lacks changes one bit at most.
+    """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, ends = [], [], []
+            keys, sizes, ends, sketches = [], [], [], []
             for grams in _sets(batch, words):
                 rare, usual = _prefix(grams, common.value, least)
                 keys.append(set_key(grams))
                 sizes.append(len(grams))
                 # rounding keeps the order, but for equal ends
                 ends.append(1.0 + float(usual[-1]) / 2.0**64 if len(usual) else float(rare[-1]) / 2.0**64 if len(rare) else 0.0)
+                odd = np.bincount((grams & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            flat = pa.array(np.concatenate([*sketches, np.empty(0, np.int64)]))
+            at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * SKETCH)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ends, pa.float64())],
-                ["_id", "k", "n", "last"],
-            )
+                [batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ends, pa.float64()),
+                 pa.ListArray.from_arrays(at, flat)],
+                ["_id", "k", "n", "last", "sketch"],
+            )
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(text_col).cast("binary").alias("_text"), F.col(id_col).alias("_id"))
-    return lay_down(rows.mapInArrow(name, f"_id {id_type}, k long, n long, last double"), "named-sets")
+    return lay_down(rows.mapInArrow(name, f"_id {id_type}, k long, n long, last double, sketch array<long>"), "named-sets")
 
 
 def _groups(texts: DataFrame, common, words: int, least: int, bits: int, large: int) -> DataFrame:
@@ -324,12 +335,17 @@ def _possible(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
     ``s`` counts the n-grams both prefixes hold. The set whose prefix ends first
     shares no others but those behind it, so with them the overlap must reach
-    what the similarity asks for.
+    what the similarity asks for. Bits in which the sketches differ are n-grams
+    that one of the sets lacks, so they must leave as much.
     """
-    u = sets.select(F.col("k").alias("u"), F.col("n").alias("n_u"), F.col("last").alias("l_u"))
-    v = sets.select(F.col("k").alias("v"), F.col("n").alias("n_v"), F.col("last").alias("l_v"))
-    sized = pairs.join(u, "u").join(v, "v")
+    side = lambda end: sets.select(
+        F.col("k").alias(end), F.col("n").alias(f"n_{end}"), F.col("last").alias(f"l_{end}"), F.col("sketch").alias(f"b_{end}")
+    )
+    sized = pairs.join(side("u"), "u").join(side("v"), "v")
     sized = sized.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * least)
+    both = F.col("n_u") + F.col("n_v")
+    apart = sum((F.bit_count(F.col("b_u")[i].bitwiseXOR(F.col("b_v")[i])) for i in range(1, SKETCH)), F.bit_count(F.col("b_u")[0].bitwiseXOR(F.col("b_v")[0])))
+    sized = sized.where((100 + least) * (both - apart) >= 2 * least * both)
     if "s" in pairs.columns:
         behind = lambda n: F.ceil(F.col(n) * least / F.lit(100)) - 1
         most = (
@@ -375,7 +391,7 @@ def similar_components(
     named = _named(docs, id_col, text_col, last, words, least)
     full = named.where("n > 0")
     sets = lay_down(
-        full.groupBy("k").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.min("_id").alias("_least")), "sets"
+        full.groupBy("k").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.first("sketch").alias("sketch"), F.min("_id").alias("_least")), "sets"
     )
     groups = _groups(texts, last, words, least, bits, common)
 

@@ -248,9 +248,10 @@ def mix(
         "_less", F.expr(fit.format("_last", "_next[0]._could - _left"))
     )
     swap = F.abs("_less.room") < F.abs("_more.room")
-    added = near.select(F.explode(F.when(swap, F.array(F.col("_next")[0]["_serial"])).otherwise(F.col("_more.moved"))).alias("_serial"))
+    taken = F.when(swap, F.array(F.col("_next")[0]["_serial"])).otherwise(F.col("_more.moved"))
+    fillers = near.select(F.explode(taken).alias("_serial"))
     left_out = near.where(swap).select(F.explode("_less.moved").alias("_serial"))
-    extra = below.join(left_out, "_serial", "left_anti").unionByName(added)
+    extra = below.join(left_out, "_serial", "left_anti").unionByName(fillers)
     extra = extra.select(F.col("_serial").alias("_e_serial"))
     copies = F.col("_floor") + F.col("_e_serial").isNotNull().cast("bigint")
     return (
