@@ -66,7 +66,7 @@ def _pair_counter() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 
 def roc_auc(df: DataFrame, score: str, y: str = "win") -> DataFrame:
-    """Exact ROC-AUC (Mann-Whitney, tied scores count half).
+    """Exact ROC-AUC (Mann-Whitney, tied scores count half) of rows with a score and a label.
 
     Equal scores are combined before the shuffle, the distinct scores are
     range-partitioned, every partition reports one row, and only those rows
@@ -74,7 +74,7 @@ def roc_auc(df: DataFrame, score: str, y: str = "win") -> DataFrame:
     """
     label = F.col(y).cast("double")
     per_score = (
-        df.where(F.col(score).isNotNull())
+        df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(F.sum(label).alias("pos"), F.sum(1 - label).alias("neg"))
     )

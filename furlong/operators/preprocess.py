@@ -91,19 +91,44 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def correlation(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Pearson correlation matrix; the executors send back p x p sums, no rows."""
-    assembled = VectorAssembler(inputCols=list(cols), outputCol="v", handleInvalid="skip").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    )
-    return Correlation.corr(assembled, "v").first()[0].toArray()
+    """Pearson correlation matrix of all rows; the executors send back p x p sums, no rows.
+
+    A missing value counts as its column's mean. A constant column correlates
+    with nothing: its entries are NaN.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    known = rows.agg(
+        *[F.avg(c).alias(f"a{i}") for i, c in enumerate(cols)],
+        *[(F.min(c) < F.max(c)).alias(f"v{i}") for i, c in enumerate(cols)],
+    ).first()
+    filled = rows.na.fill({c: known[f"a{i}"] or 0.0 for i, c in enumerate(cols)})
+    assembled = VectorAssembler(inputCols=list(cols), outputCol="v").transform(filled)
+    matrix = Correlation.corr(assembled, "v").first()[0].toArray()
+    for i in range(len(cols)):
+        if not known[f"v{i}"]:
+            matrix[i, :] = matrix[:, i] = np.nan
+    return matrix
+
+
+# Eigenvalues of a correlation matrix from here down are dependencies.
+_DEPENDENT = 1e-9
 
 
 def vif_of(matrix: np.ndarray) -> np.ndarray:
-    """Variance inflation from a correlation matrix: the diagonal of its inverse."""
-    try:
-        return np.diag(np.linalg.inv(matrix))
-    except np.linalg.LinAlgError:
-        return np.full(len(matrix), np.inf)
+    """Variance inflation from a correlation matrix: the diagonal of its inverse.
+
+    Columns of a linear dependency have an infinite one, the others that of the
+    matrix without the dependencies. Constant columns (NaN) have NaN.
+    """
+    out = np.full(len(matrix), np.nan)
+    live = np.flatnonzero(~np.isnan(np.diag(matrix)))
+    part = matrix[np.ix_(live, live)]
+    values, vectors = np.linalg.eigh(part)
+    null = vectors[:, values <= _DEPENDENT]
+    bound = (np.abs(null) > 1e-6).any(axis=1)
+    inverse = np.diag(np.linalg.pinv(part, hermitian=True, rcond=_DEPENDENT))
+    out[live] = np.where(bound, np.inf, inverse)
+    return out
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -115,13 +140,17 @@ def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def drop_collinear(df: DataFrame, cols: Sequence[str], max_vif: float = 10.0) -> list[str]:
     """Drop the column with the largest VIF until all are within ``max_vif``.
 
-    One pass over the data: the correlation of a subset is a part of the matrix.
+    Constant columns go first; of equally large ones, as in a dependency, the
+    last goes. One pass over the data: the correlation of a subset is a part of
+    the matrix.
     """
     kept = list(cols)
     matrix = correlation(df, kept)
+    varies = np.flatnonzero(~np.isnan(np.diag(matrix)))
+    kept, matrix = [kept[i] for i in varies], matrix[np.ix_(varies, varies)]
     while len(kept) > 1:
         values = vif_of(matrix)
-        worst = int(np.argmax(values))
+        worst = len(values) - 1 - int(np.argmax(values[::-1]))
         if values[worst] <= max_vif:
             break
         kept.pop(worst)

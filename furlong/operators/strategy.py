@@ -78,8 +78,9 @@ def upset_label(
     y: str = "win",
     name: str = "upset",
 ) -> DataFrame:
-    """1 for a win at long odds, else 0."""
-    return df.withColumn(name, F.when((F.col(y) == 1) & (F.col(odds) >= min_odds), 1).otherwise(0))
+    """1 for a win at long odds, else 0 (D11); null where label or odds leave it open."""
+    upset = (F.col(y) == 1) & (F.col(odds) >= min_odds)
+    return df.withColumn(name, F.when(upset, 1).when(~upset, 0))
 
 
 # The upset types, in the order the rules are tried.

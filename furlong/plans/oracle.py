@@ -56,7 +56,7 @@ PARTS = {
     "gap": """
         SELECT dat.* REPLACE (CASE WHEN gate <> 3 THEN tax END AS tax), split
         FROM dat JOIN spl USING (race_date)""",
-    "two": "SELECT *, round(model, 9) AS score FROM mod WHERE runners >= 2",
+    "two": "SELECT *, round(model, 9) AS score FROM mod",
     "cho": """
         SELECT * FROM two WHERE odds BETWEEN 10 AND 50
         QUALIFY row_number() OVER (ORDER BY score DESC, race_id, price)
@@ -71,7 +71,7 @@ PARTS = {
         FROM cal GROUP BY race_id HAVING count(*) >= 2 AND sum(win) = 1""",
     "ups": """
         SELECT *, CASE WHEN win = 1 AND odds >= 10 THEN 1 ELSE 0 END AS upset
-        FROM ent WHERE runners >= 2""",
+        FROM ent""",
     "ven": """
         SELECT run.*, CAST(o_orderdate AS DATE) AS race_date, r_name AS venue
         FROM run JOIN orders ON race_id = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -253,10 +253,10 @@ ORACLE = {
         f"""SELECT round({_auc('p', 'win', 'e')}, 6) AS auc,
             CAST(sum(win) AS BIGINT) AS positives, CAST(count(*) - sum(win) AS BIGINT) AS negatives
             FROM e""",
-        "e AS (SELECT * FROM mkt WHERE runners >= 2)",
+        "e AS (SELECT * FROM mkt)",
     ),
     "base_rate": _with(
-        "ent", "SELECT round(avg(win), 6) AS base_rate, count(*) AS entries FROM ent WHERE runners >= 2"
+        "ent", "SELECT round(avg(win), 6) AS base_rate, count(*) AS entries FROM ent"
     ),
     "lift_top10": _with(
         "two",
@@ -267,7 +267,7 @@ ORACLE = {
     ),
     "top_fraction": _with(
         "mkt",
-        """SELECT race_id, price FROM mkt WHERE runners >= 2
+        """SELECT race_id, price FROM mkt
            QUALIFY row_number() OVER (ORDER BY round(p, 9) DESC, race_id, price)
                    <= ceil(round(0.1E0 * count(*) OVER (), 9))""",
     ),
@@ -360,7 +360,7 @@ ORACLE = {
         f"""SELECT feature, round(score, 6) AS score FROM
             ({_corr_rows(('gate', 'discount', 'tax', 'runners'), 'win', 'e')})
             ORDER BY abs(score) DESC, feature LIMIT 2""",
-        "e AS (SELECT * FROM ent WHERE runners >= 2)",
+        "e AS (SELECT * FROM ent)",
     ),
     "temperature": _with(
         "mkt",
@@ -405,7 +405,7 @@ ORACLE = {
     "bootstrap_ci": _with(
         "gain",
         f"SELECT round(avg(gain), 6) AS value, {_interval('gain / one')} FROM u",
-        "u AS (SELECT race_id, gain, 1.0E0 AS one FROM gain), " + _replicates("u", "gain one", 200),
+        "u AS (SELECT race_id, gain, 1.0E0 AS one FROM gain), " + _replicates("u", "gain one", 1000),
     ),
     "prob_profit": _with(
         "cho",
@@ -419,7 +419,7 @@ ORACLE = {
         f"""SELECT round(sum(back) / sum(stake) - 1, 6) AS value,
             {_interval('back / nullif(stake, 0) - 1')} FROM u""",
         """u AS (SELECT race_id, sum(win * odds) AS back, count(*) AS stake FROM cho GROUP BY race_id), """
-        + _replicates("u", "back stake", 200),
+        + _replicates("u", "back stake", 1000),
     ),
     "lift_ci": _with(
         "two",
@@ -429,7 +429,7 @@ ORACLE = {
                  <= ceil(round(0.1E0 * count(*) OVER (), 9)) THEN 1 ELSE 0 END AS chosen FROM two),
            u AS (SELECT race_id, sum(chosen * win) AS top_hits, sum(chosen) AS top, sum(win) AS hits,
                  count(*) AS n FROM f GROUP BY race_id), """
-        + _replicates("u", "top_hits top hits n", 200),
+        + _replicates("u", "top_hits top hits n", 1000),
     ),
     "odds_band_roi": _with(
         "ent",

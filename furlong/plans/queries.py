@@ -32,8 +32,6 @@ WEIGHTS = (0.0, 0.1, 0.3)
 TEMPERATURES = (0.8, 1.0, 1.5)
 # The blend the registered comparisons use.
 BLEND = calibration.Choice(0.3, 1.5, 0.0)
-# Replicates of intervals whose count is not published; the ROI uses 1,000.
-GAIN_REPLICATES = 200
 # Edges of the registered odds bands.
 BANDS = (2.0, 5.0, 10.0, 20.0, 50.0)
 
@@ -57,10 +55,6 @@ def day(c: str = "race_date") -> Column:
     return F.col(c).cast("string").alias(c)
 
 
-def two_up(df: DataFrame) -> DataFrame:
-    return df.where(F.col("runners") >= 2)
-
-
 def ranked_score(c: str) -> Column:
     """A score to order by, freed from the noise of summation order."""
     return r9(c)
@@ -112,19 +106,19 @@ def race_favourites(spark, sf):
 
 @query
 def roc_auc(spark, sf):
-    return metrics.roc_auc(two_up(t.priced(spark, sf)), "p").select(
+    return metrics.roc_auc(t.priced(spark, sf), "p").select(
         r6("auc"), "positives", "negatives"
     )
 
 
 @query
 def base_rate(spark, sf):
-    return metrics.base_rate(two_up(t.entries(spark, sf))).select(r6("base_rate"), "entries")
+    return metrics.base_rate(t.entries(spark, sf)).select(r6("base_rate"), "entries")
 
 
 def _scored(spark, sf):
     """Entries with the model score, stored: selections read them more than once."""
-    rows = two_up(t.modelled(spark, sf)).withColumn("score", ranked_score("model"))
+    rows = t.modelled(spark, sf).withColumn("score", ranked_score("model"))
     return lay_down(rows.select(*t.KEYS, "odds", "win", "score"), "scored")
 
 
@@ -138,7 +132,7 @@ def lift_top10(spark, sf):
 
 @query
 def top_fraction(spark, sf):
-    rows = two_up(t.priced(spark, sf)).withColumn("score", ranked_score("p"))
+    rows = t.priced(spark, sf).withColumn("score", ranked_score("p"))
     scored = lay_down(rows.select(*t.KEYS, "score"), "scored")
     return select.top_fraction(scored, "score", t.KEYS).select(*t.KEYS)
 
@@ -329,7 +323,7 @@ SELECTABLE = ("gate", "discount", "tax", "runners")
 
 @query
 def feature_subset(spark, sf):
-    scores = strategy.feature_correlation(two_up(t.entries(spark, sf)), SELECTABLE, "win")
+    scores = strategy.feature_correlation(t.entries(spark, sf), SELECTABLE, "win")
     return select.top_features(scores, 2).select("feature", r6("score"))
 
 
@@ -420,7 +414,7 @@ def paired_join(spark, sf):
 @query
 def bootstrap_ci(spark, sf):
     gains = bootstrap.gains_in(_calibrated(spark, sf), "market", "p")
-    return bootstrap.gain_ci(gains, count=GAIN_REPLICATES).select(r6("value"), r6("lo"), r6("hi"))
+    return bootstrap.gain_ci(gains, count=settings.REPLICATES).select(r6("value"), r6("lo"), r6("hi"))
 
 
 def _chosen(spark, sf):
@@ -436,7 +430,7 @@ def prob_profit(spark, sf):
 
 @query
 def roi_ci(spark, sf):
-    return bootstrap.roi_ci(_chosen(spark, sf), count=GAIN_REPLICATES).select(
+    return bootstrap.roi_ci(_chosen(spark, sf), count=settings.REPLICATES).select(
         r6("value"), r6("lo"), r6("hi")
     )
 
@@ -444,7 +438,7 @@ def roi_ci(spark, sf):
 @query
 def lift_ci(spark, sf):
     flagged = select.top_flag(_scored(spark, sf), "score", t.KEYS, name="chosen")
-    return bootstrap.lift_ci(flagged, "chosen", count=GAIN_REPLICATES).select(
+    return bootstrap.lift_ci(flagged, "chosen", count=settings.REPLICATES).select(
         r6("value"), r6("lo"), r6("hi")
     )
 
@@ -506,7 +500,7 @@ def compare_strategies(spark, sf):
 
 @query
 def allocate(spark, sf):
-    out = strategy.allocate(two_up(t.modelled(spark, sf)), 0.05, "model")
+    out = strategy.allocate(t.modelled(spark, sf), 0.05, "model")
     return out.select(*t.KEYS, r6("stake"))
 
 
@@ -515,12 +509,12 @@ def allocate(spark, sf):
 
 @query
 def upset_label(spark, sf):
-    rows = strategy.upset_label(two_up(t.entries(spark, sf)))
+    rows = strategy.upset_label(t.entries(spark, sf))
     return rows.select(*t.KEYS, F.col("upset").cast("bigint").alias("upset"))
 
 
 def _typed_upsets(spark, sf):
-    rows = strategy.upset_type(strategy.upset_label(two_up(t.with_form(spark, sf))))
+    rows = strategy.upset_type(strategy.upset_label(t.with_form(spark, sf)))
     won = rows.where(F.col("upset") == 1)
     return lay_down(won.select("type", "odds", "rest_days", "prior_starts"), "upsets")
 
@@ -536,14 +530,14 @@ def upset_type_profile(spark, sf):
 
 @query
 def feature_effect(spark, sf):
-    rows = strategy.upset_label(two_up(t.entries(spark, sf)))
+    rows = strategy.upset_label(t.entries(spark, sf))
     out = strategy.feature_effect(rows, ["price", "discount", "tax"], "upset")
     return out.select("feature", "bin", "n", r6("rate"))
 
 
 @query
 def feature_correlation(spark, sf):
-    rows = strategy.upset_label(two_up(t.entries(spark, sf)))
+    rows = strategy.upset_label(t.entries(spark, sf))
     return strategy.feature_correlation(rows, [*SELECTABLE, "price"], "upset").select(
         "feature", r6("score")
     )
@@ -554,7 +548,7 @@ def feature_correlation(spark, sf):
 
 @query
 def market_gap(spark, sf):
-    rows = two_up(t.modelled(spark, sf)).select(*t.KEYS, "win", "model", "market")
+    rows = t.modelled(spark, sf).select(*t.KEYS, "win", "model", "market")
     out = metrics.market_gap(lay_down(rows, "scored"), "model", "market", ["price"])
     return out.select(*[r6(c) for c in out.columns])
 
@@ -579,7 +573,7 @@ def align(spark, sf):
 
 @query
 def leaderboard(spark, sf):
-    rows = two_up(t.modelled(spark, sf, _small_blend))
+    rows = t.modelled(spark, sf, _small_blend)
     rows = lay_down(rows.select(*t.KEYS, "win", "market", "model", "p_blend"), "scored")
     parts = [
         models.evaluate(rows, name, ["price"], col)
@@ -608,7 +602,7 @@ def _model_table(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _prepared:
         cuts = split.split_cuts(t.dated_runners(spark, sf).select("race_date"))
-        rows = split.label_split(two_up(t.features(spark, sf)), cuts)
+        rows = split.label_split(t.features(spark, sf), cuts)
         rows = strategy.upset_label(rows)
         cols = [*t.KEYS, "race_date", "split", "win", "upset", *t.FORM_FEATURES, *t.MARKET_FEATURES]
         _prepared[key] = lay_down(rows.select(*cols), "features")

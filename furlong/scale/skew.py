@@ -161,20 +161,21 @@ def join_lookup(
 ) -> DataFrame:
     """Join ``left`` to a table with one row per key.
 
-    Spark picks broadcast or sort-merge for the bulk. Rows of a hot key meet a
-    broadcast of the matching lookup rows; those are as few as there are hot
-    keys, and the count is checked before the broadcast is asked for.
+    A lookup that repeats a key is refused, whether the key is hot or not. Spark
+    picks broadcast or sort-merge for the bulk. Rows of a hot key meet a
+    broadcast of the matching lookup rows, which are as few as there are hot keys.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"a lookup joins left or inner, not {how!r}")
     keys = [keys] if isinstance(keys, str) else list(keys)
+    repeated = right.dropna("any", subset=keys).groupBy(*keys).count().where(F.col("count") > 1)
+    if repeated.limit(1).count():
+        raise ValueError(f"the lookup table repeats its key {keys}")
     if hot is None:
         hot = hot_keys(left, keys)
     if not hot:
         return left.join(right, keys, how)
     few = right.where(is_hot(keys, hot))
-    if few.limit(len(hot) * 2 + 1).count() > len(hot) * 2:
-        raise ValueError(f"the lookup table repeats its key {keys}")
     flag = is_hot(keys, hot)
     return left.where(~flag).join(right, keys, how).unionByName(
         left.where(flag).join(F.broadcast(few), keys, how)

@@ -24,7 +24,8 @@ def read_entries(
 ) -> DataFrame:
     """Read a (gzip) CSV entry table with a fixed schema.
 
-    Columns are matched by name; those the schema does not know are read as
+    A value that does not parse as its type fails the read. Columns are matched
+    by name; those the schema does not know are read as
     strings, never guessed. One gzip file is one task: give ``partitions`` to
     spread its rows before further work, or store them once with ``store_entries``.
     """
@@ -36,6 +37,7 @@ def read_entries(
         .option("header", True)
         .option("encoding", "UTF-8")
         .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
         .csv(path)
     )
     assert_string_ids(df, [c for c in settings.ID_COLUMNS if c in header])
@@ -77,13 +79,12 @@ def write_version(df: DataFrame, base: str, version: str, split: str = "split")
 def read_split(
     spark: SparkSession, base: str, version: str, split: str, purpose: str = "inspect"
 ) -> DataFrame:
-    """Read one version and split; only its folder is listed into the scan."""
+    """Read one version and split from its folder, with the columns that version has."""
     guard_version(version, purpose)
     if split not in ("train", "valid", "test"):
         raise ValueError(f"unknown split {split!r}")
-    df = spark.read.parquet(base).where(
-        (F.col("version") == version) & (F.col("split") == split)
-    )
+    folder = f"{base}/version={version}/split={split}"
+    df = spark.read.option("basePath", base).parquet(folder)
     return assert_string_ids(df, [c for c in settings.ID_COLUMNS if c in df.columns])
 
 
@@ -99,8 +100,8 @@ def read_split_csv(
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType | str, form: str = "json") -> DataFrame:
-    """Read collected files as they landed, with a fixed schema."""
-    reader = spark.read.schema(schema)
+    """Read collected files as they landed, with a fixed schema; a record that breaks it fails the read."""
+    reader = spark.read.schema(schema).option("mode", "FAILFAST")
     if form == "csv":
         return reader.option("header", True).csv(path)
     if form == "json":
