@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furlong.llm import keyfilter
@@ -37,6 +37,8 @@ WHOLE_SHARE = 64
 ROUNDS = 3
 # Words of a set's parity sketch, 64 bits each.
 SKETCH = 8
+# A pair must share one n-gram in its prefixes, and one more for each so many of the overlap it needs.
+STEP = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,8 +160,8 @@ def _common_ngrams(texts: DataFrame, words: int, least: int, bits: int, common:
     return np.sort(grams.astype(np.uint64))
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str, common, words: int, least: int) -> DataFrame:
-    """Stored (_id, k, n, last, sketch) of every row: the set's name, size, and where its prefix ends.
+def _named(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """Stored (_id, k, n, sketch) of every row, with the set's name and size.
 
     The sketch has a bit for each hash class of n-grams, set where their number
     is odd: an n-gram that one of two sets lacks changes one bit at most.
@@ -167,42 +169,46 @@ def _named(docs: DataFrame, id_col: str, text_col: str, common, words: int, leas
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, ends, sketches = [], [], [], []
+            keys, sizes, sketches = [], [], []
             for grams in _sets(batch, words):
-                rare, usual = _prefix(grams, common.value, least)
                 keys.append(set_key(grams))
                 sizes.append(len(grams))
-                # rounding keeps the order, but for equal ends
-                ends.append(1.0 + float(usual[-1]) / 2.0**64 if len(usual) else float(rare[-1]) / 2.0**64 if len(rare) else 0.0)
                 odd = np.bincount((grams & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
                 sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             flat = pa.array(np.concatenate([*sketches, np.empty(0, np.int64)]))
             at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * SKETCH)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ends, pa.float64()),
-                 pa.ListArray.from_arrays(at, flat)],
-                ["_id", "k", "n", "last", "sketch"],
-            )
+                [batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(at, flat)],
+                ["_id", "k", "n", "sketch"],
+            )
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(text_col).cast("binary").alias("_text"), F.col(id_col).alias("_id"))
-    return lay_down(rows.mapInArrow(name, f"_id {id_type}, k long, n long, last double, sketch array<long>"), "named-sets")
+    return lay_down(rows.mapInArrow(name, f"_id {id_type}, k long, n long, sketch array<long>"), "named-sets")
+
+
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each of ``sizes``, one after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def _groups(texts: DataFrame, common, words: int, least: int, bits: int, large: int) -> DataFrame:
-    """Stored (grp, usual, k, w): sets whose prefixes share an n-gram, two at least.
+    """Stored (grp, usual, k, n, rest, w): sets whose prefixes share an n-gram, two at least.
 
+    ``rest`` counts the set's n-grams from this one on in the global order.
     Rare n-grams are gathered in packed buckets, and those with the same sets
-    are one group of weight ``w``. Common n-grams stay rows, one group each; they
-    and the rare groups of ``large`` sets or more are ``usual``.
+    are one group of weight ``w``, placed where its first is. Common n-grams stay
+    rows, one group each; they and the rare groups of ``large`` sets or more are
+    ``usual``.
     """
-    packed_type = [("bucket", pa.int64()), ("hashes", pa.binary()), ("keys", pa.binary())]
-    schema = pa.schema([*packed_type, ("gram", pa.int64()), ("k", pa.int64())])
+    packed_type = [("bucket", pa.int64()), ("hashes", pa.binary()), ("keys", pa.binary()), ("places", pa.binary())]
+    schema = pa.schema([*packed_type, ("gram", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("rest", pa.int64())])
+    of_size, low = np.uint64(32), np.uint64((1 << 32) - 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
         for batch in batches:
-            rares, usuals, keys = [], [], []
+            rares, usuals, keys, sizes = [], [], [], []
             done = set()
             for grams in _sets(batch, words):
                 key = set_key(grams)
@@ -213,33 +219,38 @@ def _groups(texts: DataFrame, common, words: int, least: int, bits: int, large:
                 rares.append(rare)
                 usuals.append(usual)
                 keys.append(key)
-            names = np.array(keys, np.int64)
+                sizes.append(len(grams))
+            names, n = np.array(keys, np.int64), np.array(sizes, np.int64)
+            n_rare = np.array([len(r) for r in rares], np.int64)
+            n_usual = np.array([len(u) for u in usuals], np.int64)
             h = np.concatenate([*rares, np.empty(0, np.uint64)])
-            k = np.repeat(names, [len(r) for r in rares])
+            k = np.repeat(names, n_rare)
+            rest = np.repeat(n, n_rare) - _counted(n_rare)
+            places = np.repeat(n, n_rare).astype(np.uint64) << of_size | rest.astype(np.uint64)
             order = np.argsort(h)
-            h, k = h[order], k[order]
-            packed = _packed(_in_buckets(h, bits), hashes=h, keys=k)
-            empty = packed.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*packed.columns, pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64())], schema=schema
-            )
+            h, k, places = h[order], k[order], places[order]
+            packed = _packed(_in_buckets(h, bits), hashes=h, keys=k, places=places)
+            blank = [pa.nulls(packed.num_rows, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*packed.columns, *blank], schema=schema)
             gram = np.concatenate([*usuals, np.empty(0, np.uint64)]).view(np.int64)
-            of = np.repeat(names, [len(u) for u in usuals])
             if len(gram):
+                rest = np.repeat(n - n_rare, n_usual) - _counted(n_usual)
                 blank = [pa.nulls(len(gram), t) for _, t in packed_type]
-                yield pa.RecordBatch.from_arrays([*blank, pa.array(gram), pa.array(of)], schema=schema)
+                row = (gram, np.repeat(names, n_usual), np.repeat(n, n_usual), rest)
+                yield pa.RecordBatch.from_arrays([*blank, *map(pa.array, row)], schema=schema)
 
     def gather(found: pa.Table) -> pa.Table:
         h, k = _unpacked(found, "hashes", np.uint64), _unpacked(found, "keys", np.int64)
+        at = _unpacked(found, "places", np.uint64)
         order = np.argsort(h)
-        h, k = h[order], k[order]
+        h, k, at = h[order], k[order], at[order]
         starts = _starts(h)
         shared = np.repeat(np.diff(np.append(starts, len(h))) > 1, np.diff(np.append(starts, len(h))))
-        h, k = h[shared], k[shared]
+        h, k, at = h[shared], k[shared], at[shared]
         order = np.lexsort((k, h))
-        h, k = h[order], k[order]
+        h, k, at = h[order], k[order], at[order]
         fresh = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))[: len(h)]
-        h, k = h[fresh], k[fresh]
+        h, k, at = h[fresh], k[fresh], at[fresh]
         starts = _starts(h)
         sizes = np.diff(np.append(starts, len(h)))
         with np.errstate(over="ignore"):
@@ -250,29 +261,31 @@ def _groups(texts: DataFrame, common, words: int, least: int, bits: int, large:
         unique, first, weight = np.unique(groups, return_index=True, return_counts=True)
         real = sizes[first] > 1
         unique, first, weight = unique[real], first[real], weight[real]
-        take = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in first] or [np.empty(0, int)])
+        take = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in first] or [np.empty(0, int)]).astype(int)
         return pa.table(
             {
                 "grp": np.repeat(unique, sizes[first]),
-                "k": k[take.astype(int)],
+                "k": k[take],
+                "n": (at[take] >> of_size).astype(np.int64),
+                "rest": (at[take] & low).astype(np.int64),
                 "w": np.repeat(weight, sizes[first]).astype(np.int64),
                 "usual": np.repeat(sizes[first] >= large, sizes[first]),
             }
         )
 
-    emitted = texts.mapInArrow(emit, "bucket long, hashes binary, keys binary, gram long, k long")
+    emitted = texts.mapInArrow(emit, "bucket long, hashes binary, keys binary, places binary, gram long, k long, n long, rest long")
     rare = (
         emitted.where("bucket IS NOT NULL")
-        .select("bucket", "hashes", "keys")
+        .select("bucket", "hashes", "keys", "places")
         .groupBy("bucket")
-        .applyInArrow(gather, "grp long, k long, w long, usual boolean")
-        .groupBy("grp", "k")
-        .agg(F.max("usual").alias("usual"), F.sum("w").alias("w"))
-        .select("grp", "usual", "k", "w")
+        .applyInArrow(gather, "grp long, k long, n long, rest long, w long, usual boolean")
+        .groupBy("grp", "k", "n")
+        .agg(F.max("usual").alias("usual"), F.max("rest").alias("rest"), F.sum("w").alias("w"))
+        .select("grp", "usual", "k", "n", "rest", "w")
     )
     if len(common.value):
-        usual = emitted.where("bucket IS NULL").select(F.col("gram").alias("grp"), "k").distinct()
-        rare = rare.unionByName(usual.select("grp", F.lit(True).alias("usual"), "k", F.lit(1).cast("bigint").alias("w")))
+        usual = emitted.where("bucket IS NULL").select(F.col("gram").alias("grp"), "k", "n", "rest").distinct()
+        rare = rare.unionByName(usual.withColumns({"usual": F.lit(True), "w": F.lit(1).cast("bigint")}))
     return lay_down(rare, "prefix-groups")
 
 
@@ -330,31 +343,50 @@ def _overlaps(parts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     return overlap.join(pairs, ["u", "v"]).where(enough).select("u", "v")
 
 
+def _needed(n_a: Column, n_b: Column, least: int) -> tuple[Column, Column]:
+    """The overlap that similar sets of these sizes have, and how much of it their prefixes hold.
+
+    Each set's first n - overlap + shared n-grams, in the global order, hold
+    ``shared`` common ones at least: of the set whose prefix ends first, overlap -
+    shared n-grams are behind it. No such prefix is longer than the one of the set alone.
+    """
+    overlap = _hundredths((n_a + n_b) * least, 100 + least)
+    alone = _hundredths(F.greatest(n_a, n_b) * least, 100)
+    return overlap, F.least(F.lit(1) + F.floor(overlap / STEP), overlap - alone + 1)
+
+
+def _hundredths(x: Column, by: int) -> Column:
+    """x / by of whole numbers, rounded up."""
+    return F.ceil(x / F.lit(by))
+
+
+def _near(a: str, b: str, least: int) -> Column:
+    """Whether sizes allow the similarity and a shared n-gram is in both prefixes of the pair."""
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    overlap, shared = _needed(n_a, n_b, least)
+    alike = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * least
+    return alike & (F.least(f"rest_{a}", f"rest_{b}") > overlap - shared)
+
+
+def _ordered(a: str, b: str, n_a: str, n_b: str) -> list[Column]:
+    """(u, v, n_u, n_v) of a pair, the smaller name first."""
+    first = F.col(a) < F.col(b)
+    ends = [(a, b, "u"), (b, a, "v"), (n_a, n_b, "n_u"), (n_b, n_a, "n_v")]
+    return [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in ends]
+
+
 def _possible(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """(u, v, n_u, n_v) of pairs (u, v[, s]) that sizes and prefixes do not rule out.
+    """The (u, v, n_u, n_v) of such pairs that sketches do not rule out.
 
-    ``s`` counts the n-grams both prefixes hold. The set whose prefix ends first
-    shares no others but those behind it, so with them the overlap must reach
-    what the similarity asks for. Bits in which the sketches differ are n-grams
-    that one of the sets lacks, so they must leave as much.
+    Bits in which the sketches differ are n-grams that one of the sets lacks, so
+    they must leave the overlap that the similarity asks for.
     """
-    side = lambda end: sets.select(
-        F.col("k").alias(end), F.col("n").alias(f"n_{end}"), F.col("last").alias(f"l_{end}"), F.col("sketch").alias(f"b_{end}")
-    )
-    sized = pairs.join(side("u"), "u").join(side("v"), "v")
-    sized = sized.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * least)
+    side = lambda end: sets.select(F.col("k").alias(end), F.col("sketch").alias(f"b_{end}"))
+    drawn = pairs.join(side("u"), "u").join(side("v"), "v")
     both = F.col("n_u") + F.col("n_v")
-    apart = sum((F.bit_count(F.col("b_u")[i].bitwiseXOR(F.col("b_v")[i])) for i in range(1, SKETCH)), F.bit_count(F.col("b_u")[0].bitwiseXOR(F.col("b_v")[0])))
-    sized = sized.where((100 + least) * (both - apart) >= 2 * least * both)
-    if "s" in pairs.columns:
-        behind = lambda n: F.ceil(F.col(n) * least / F.lit(100)) - 1
-        most = (
-            F.when(F.col("l_u") < F.col("l_v"), behind("n_u"))
-            .when(F.col("l_u") > F.col("l_v"), behind("n_v"))
-            .otherwise(F.greatest(behind("n_u"), behind("n_v")))
-        )
-        sized = sized.where((100 + least) * (F.col("s") + most) >= least * (F.col("n_u") + F.col("n_v")))
-    return sized.select("u", "v", "n_u", "n_v")
+    differing = [F.bit_count(F.col("b_u")[i].bitwiseXOR(F.col("b_v")[i])) for i in range(SKETCH)]
+    apart = sum(differing[1:], differing[0])
+    return drawn.where((100 + least) * (both - apart) >= 2 * least * both).select("u", "v", "n_u", "n_v")
 
 
 def similar_components(
@@ -374,8 +406,8 @@ def similar_components(
 
     Equal sets are one node, whatever their number. Sets that share a common
     n-gram, or any large group, meet some hubs of the group first; then, in every group, the sets
-    outside the hub's component meet those of other components, and the n-grams
-    they share in their prefixes are counted. So each link is either found or
+    outside the hub's component meet those of other components, and the n-grams that the
+    prefixes of the two share are counted. So each link is either found or
     inside a component already, and a large group of near copies costs its size,
     not its square.
 
@@ -388,25 +420,27 @@ def similar_components(
     texts = docs.select(F.col(text_col).cast("binary").alias("_text"))
     bits = min(16, max(6, (8 * texts.rdd.getNumPartitions()).bit_length()))
     last = spark.sparkContext.broadcast(_common_ngrams(texts, words, least, bits, common, most_common))
-    named = _named(docs, id_col, text_col, last, words, least)
+    named = _named(docs, id_col, text_col, words)
     full = named.where("n > 0")
     sets = lay_down(
-        full.groupBy("k").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.first("sketch").alias("sketch"), F.min("_id").alias("_least")), "sets"
+        full.groupBy("k").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("_id").alias("_least")), "sets"
     )
     groups = _groups(texts, last, words, least, bits, common)
 
     label = lambda col: F.coalesce(F.col("root"), F.col(col))
-    large = lay_down(groups.where("usual").select("grp", "k"), "large-groups")
+    large = lay_down(groups.where("usual").select("grp", "k", "n", "rest"), "large-groups")
     parts = _fragments(texts, large, words, fragments)
     no_pairs = sets.where("false").select(F.col("k").alias("u"), F.col("k").alias("v"))
     met, links, roots = no_pairs, no_pairs, no_pairs.toDF("node", "root")
     for turn in range(ROUNDS):
-        placed = large.join(roots, F.col("k") == F.col("node"), "left").select("grp", "k", label("k").alias("c"))
+        placed = large.join(roots, F.col("k") == F.col("node"), "left").select("grp", "k", "n", "rest", label("k").alias("c"))
         hub = placed.groupBy(F.col("grp").alias("_grp")).agg(
-            F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("turn"), "k", "c")).alias("hub")
+            F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("turn"), "k", "c", "n", "rest")).alias("hub")
         )
-        star = placed.join(hub, F.col("grp") == F.col("_grp")).where("c <> hub.c")
-        star = star.select(F.least("hub.k", "k").alias("u"), F.greatest("hub.k", "k").alias("v")).distinct()
+        hub = hub.select("_grp", *(F.col(f"hub.{x}").alias(f"{x}_h") for x in ("k", "c", "n", "rest")))
+        star = placed.toDF("grp", "k", "n_k", "rest_k", "c").join(hub, F.col("grp") == F.col("_grp"))
+        star = star.where(F.col("c") != F.col("c_h")).where(_near("k", "h", least))
+        star = star.select(*_ordered("k_h", "k", "n_h", "n_k")).distinct()
         star = lay_down(_possible(star.join(met, ["u", "v"], "left_anti"), sets, least), "hub-pairs")
         found = lay_down(_overlaps(parts, star, least), "hub-links")
         if not found.limit(1).count():
@@ -415,22 +449,26 @@ def similar_components(
         roots = connected(links)
 
     hubs = lay_down(groups.groupBy(F.col("grp").alias("_grp")).agg(F.min("k").alias("hub")), "hubs")
-    marked = groups.join(roots, F.col("k") == F.col("node"), "left").select("grp", "k", "w", label("k").alias("c"))
+    marked = groups.join(roots, F.col("k") == F.col("node"), "left").select("grp", "k", "n", "rest", "w", label("k").alias("c"))
     marked = lay_down(marked, "marked-groups")
     hub_c = hubs.join(roots, F.col("hub") == F.col("node"), "left").select("_grp", label("hub").alias("hub_c"))
     outside = lay_down(
         marked.join(hub_c, F.col("grp") == F.col("_grp"))
         .where("c <> hub_c")
-        .select(F.col("grp").alias("_grp"), F.col("k").alias("a"), F.col("c").alias("c_a"), F.lit(True).alias("_out")),
+        .select(
+            F.col("grp").alias("_grp"), F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"),
+            F.col("c").alias("c_a"), F.lit(True).alias("_out"),
+        ),
         "outside-hubs",
     )
     # both ends outside: the smaller one asks; one end outside: that one asks
     both = marked.join(
         outside.select("_grp", F.col("a").alias("_a"), "_out"), (F.col("grp") == F.col("_grp")) & (F.col("k") == F.col("_a")), "left"
-    ).select("grp", "k", "w", "c", F.col("_out").isNotNull().alias("out"))
+    ).select("grp", "k", F.col("n").alias("n_k"), F.col("rest").alias("rest_k"), "w", "c", F.col("_out").isNotNull().alias("out"))
     cross = both.join(outside, (F.col("grp") == F.col("_grp")) & (F.col("c") != F.col("c_a")))
-    cross = cross.where("NOT out OR a < k").groupBy(F.least("a", "k").alias("u"), F.greatest("a", "k").alias("v"))
-    second = _possible(cross.agg(F.sum("w").alias("s")), sets, least)
+    cross = cross.where("NOT out OR a < k").where(_near("a", "k", least))
+    cross = cross.groupBy(*_ordered("a", "k", "n_a", "n_k")).agg(F.sum("w").alias("s"))
+    second = _possible(cross.where(F.col("s") >= _needed(F.col("n_u"), F.col("n_v"), least)[1]), sets, least)
     second = lay_down(second.join(met, ["u", "v"], "left_anti"), "cross-pairs")
     ends = second.select(F.explode(F.array("u", "v")).alias("k"))
     more = lay_down(_overlaps(_fragments(texts, ends, words, fragments), second, least), "cross-links")
