@@ -44,13 +44,14 @@ def project_model_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def check_features(
     features: Sequence[str], roles: Mapping[str, str], allow_market: bool = False
 ) -> list[str]:
-    """Refuse a feature list that leaks the result or, by default, the odds."""
-    banned = set(columns_with(roles, "post_race", "label", "id", "time"))
-    if not allow_market:
-        banned |= set(columns_with(roles, "market"))
-    leaking = [f for f in features if f in banned]
-    if leaking:
-        raise ValueError(f"not usable as features: {leaking}")
+    """Refuse what is not known to be a feature or, where allowed, a market column.
+
+    Columns without a role are refused: nobody said that they are known before the race.
+    """
+    usable = set(columns_with(roles, "feature", *(["market"] if allow_market else [])))
+    refused = [f for f in features if f not in usable]
+    if refused:
+        raise ValueError(f"not usable as features: {refused}")
     return list(features)
 
 

@@ -64,6 +64,9 @@ def test_market_result_and_label_are_refused_as_features(spark):
     for bad in ("odds", "qty", "win", "hrNo"):
         with pytest.raises(ValueError, match=bad):
             select.check_features(["tax", bad], t.ROLES)
+    for allow in (False, True):
+        with pytest.raises(ValueError, match="plcOdds"):
+            select.check_features(["tax", "plcOdds"], t.ROLES, allow)
     assert select.check_features(["tax", "odds"], t.ROLES, allow_market=True) == ["tax", "odds"]
     with pytest.raises(ValueError):
         select.check_features(["tax", "qty"], t.ROLES, allow_market=True)
