@@ -7,7 +7,7 @@ the difference of its length-normalised log-likelihoods, which a logistic curve
 fitted on other labelled texts turns into a probability.
 
 The history of a word is the hash class of the word before it. Counts cover all
-teaching texts. The table that scores is of fixed size: each cell keeps its most
+teaching texts but those that fit the curve, at most ``CURVE_TEXTS`` ids. The table that scores is of fixed size: each cell keeps its most
 counted word with a fingerprint, and a word that lost its cell backs off as an
 unseen one does.
 """
@@ -39,8 +39,8 @@ RANGE_BITS = 6  # and words in this many
 DISCOUNT = 0.9
 # Log-ratios up to here say no more than which languages a class is made of.
 DEAD_ZONE = 2.0
-# One of so many teaching texts may fit the curve and is not counted; the curve
-# takes at most this many of them, those of the smallest hash.
+# One of so many teaching texts may fit the curve; it takes at most this many ids,
+# those of the smallest hash, and what it does not take is counted.
 CURVE_SHARE = 5
 CURVE_TEXTS = 50_000
 _KNOWN_WORDS = 400_000
@@ -250,14 +250,23 @@ def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     digest = F.pmod(F.xxhash64(F.col("_label_id"), F.lit("curve")), F.lit(CURVE_SHARE))
     taught = lay_down(
         few.join(taught_ids, F.col("_id") == F.col("_label_id")).select(
-            "_text", "_label", (digest == 0).alias("_curve"), "_label_id"
+            "_text",
+            "_label",
+            "_label_id",
+            F.when(digest == 0, F.xxhash64(F.col("_label_id"), F.lit("sample"))).alias("_place"),
         ),
         "toxic-taught",
     )
-    model = spark.sparkContext.broadcast(train(taught.where("NOT _curve").select("_text", "_label")))
-    sample = taught.where("_curve").orderBy(F.xxhash64("_label_id", F.lit("sample")), "_label_id").limit(CURVE_TEXTS)
-    sample = sample.select("_text", "_label")
-    known = sample.mapInArrow(*_measure(model, sample.select("_label").schema)).toPandas()
+    # the curve takes whole ids, up to the largest hash it has room for; all others are counted
+    places = taught.where("_place IS NOT NULL").select("_place").distinct()
+    last = places.orderBy("_place").limit(CURVE_TEXTS).agg(F.max("_place")).first()[0]
+    curve = F.coalesce(F.col("_place") <= F.lit(last).cast("long"), F.lit(False))
+    model = spark.sparkContext.broadcast(train(taught.where(~curve).select("_text", "_label")))
+    sample = taught.where(curve).select("_text", "_label", "_place")
+    measured = sample.mapInArrow(*_measure(model, sample.select("_label", "_place").schema))
+    # repeated rows of an id are one text to the curve
+    known = measured.groupBy("_place", "_label").agg(*[F.avg(c).alias(c) for c in ("_mean", "_strong", "_n")])
+    known = known.toPandas().sort_values("_place")
     weights = fit_curve(
         curve_features(known[["_mean", "_strong"]].to_numpy(), known["_n"].to_numpy()), known["_label"].to_numpy()
     )

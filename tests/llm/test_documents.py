@@ -165,6 +165,22 @@ def test_classifiers_score_every_row(spark, awkward, label_table, operator, colu
         assert all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in got)
 
 
+def test_all_texts_the_curve_does_not_take_are_counted(spark, monkeypatch):
+    rows = [(i, f"word{i} {'vile' if i % 2 else 'kind'} talk", i % 2) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    taught, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "CURVE_TEXTS", 8)
+    monkeypatch.setattr(toxicity, "train", lambda df: taught.append(df.count()) or train(df))
+    assert toxicity.toxicity(docs, docs).count() == 300
+    assert taught == [labels_of(docs).count() - 8]
+
+
+def labels_of(docs):
+    from furlong.llm.labels import learnable
+
+    return learnable(docs, "toxic")
+
+
 def test_drop_toxic_keeps_columns(awkward, label_table):
     kept = toxicity.drop_toxic(awkward, label_table.limit(0))
     assert kept.columns == awkward.columns and kept.count() == awkward.count()
