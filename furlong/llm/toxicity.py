@@ -6,10 +6,10 @@ many different histories a word follows in either class. A text's evidence is
 the difference of its length-normalised log-likelihoods, which a logistic curve
 fitted on other labelled texts turns into a probability.
 
-The history of a word is the hash class of the word before it. Counts cover all
-teaching texts but those that fit the curve, at most ``CURVE_TEXTS`` ids. The table that scores is of fixed size: each cell keeps its most
-counted word with a fingerprint, and a word that lost its cell backs off as an
-unseen one does.
+The history of a word is the word before it. Counts cover all teaching texts but
+those that fit the curve, at most ``CURVE_TEXTS`` ids. Every counted word is kept,
+in a stored table. Tasks hold its most counted words; what a text has of the others
+is joined to the table, once for each distinct text.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,8 @@ from furlong.llm.labels import held_out, learnable
 from furlong.scale.storage import lay_down
 
 THRESHOLD = 0.7
-CELL_BITS = 20
-HISTORY_BITS = 12
+# Words that tasks hold in memory, a matter of speed only: the others are joined.
+HEAD_WORDS = 1 << 20
 SALT_BITS = 3  # a frequent word's bigrams meet in this many places (as a power)
 RANGE_BITS = 6  # and words in this many
 # Absolute discount of the class of fewer words. The other class discounts as
@@ -45,152 +46,163 @@ CURVE_SHARE = 5
 CURVE_TEXTS = 50_000
 _KNOWN_WORDS = 400_000
 _EDGES = b".,;:!?\"'()[]{}<>|*#%&$-_"
-_WORD_BITS = 31
+# Steps of a word count's logarithm, by which the most counted words are told.
+_LEVELS = 64
 
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _KNOWN_WORDS:
             self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word.strip(_EDGES)) >> (64 - _WORD_BITS)
+        self[word] = found = xxhash.xxh3_64_intdigest(word.strip(_EDGES))
         return found
 
 
 def word_hashes(text: bytes | None, known: dict) -> np.ndarray:
-    """31-bit hashes of the words, A-Z in lower case, outer punctuation left off."""
+    """64-bit hashes of the words, A-Z in lower case, outer punctuation left off."""
     words = (text or b"").lower().split()
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)).view(np.int64)
 
 
-def bigrams(words: np.ndarray) -> np.ndarray:
-    """Distinct word << HISTORY_BITS | history of a text; the first word has history 0.
+def bigrams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, 64-bit hash of history and word) of each distinct bigram; the first word has history 0.
 
     Once a text, in counts as in scores, so that what a text repeats is not frequent.
     """
-    before = np.concatenate([[0], words[:-1]])[: len(words)] & ((1 << HISTORY_BITS) - 1)
-    return np.unique(words << HISTORY_BITS | before)
-
-
-def _cell(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, fingerprint) of each key."""
+    after = words.view(np.uint64)
+    before = np.concatenate([np.zeros(1, np.uint64), after[:-1]])[: len(words)]
     with np.errstate(over="ignore"):
-        x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (before ^ (before >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + after
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
-    return (x >> np.uint64(64 - CELL_BITS)).astype(np.int64), (x & np.uint64(0xFFFF)).astype(np.uint16)
+    pairs, at = np.unique(x, return_index=True)
+    return words[at], pairs.view(np.int64)
 
 
-def _sums(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    unique, back = np.unique(keys, return_inverse=True)
-    return (unique, *(np.bincount(back, w, len(unique)) for w in weights))
+@dataclass
+class Head:
+    """The most counted words with their log p(word | toxic) - log p(word | ordinary)."""
+
+    words: np.ndarray  # ascending
+    ratios: np.ndarray
+    unseen: float  # the same of a word that no text has
+
+    def ratio(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log-ratio, whether it is here) of each word; one that is not here has that of an unseen word."""
+        if not len(self.words):
+            return np.full(len(words), self.unseen), np.zeros(len(words), bool)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        here = self.words[at] == words
+        return np.where(here, self.ratios[at], self.unseen), here
 
 
 @dataclass
 class Model:
-    """A table of fixed size; class columns are (toxic, ordinary)."""
-
-    marks: np.ndarray
-    own: np.ndarray  # cell x 2: discounted share of the class
-    shared: np.ndarray  # cell: backoff probability from the histories it follows
-    left: np.ndarray  # 2: backoff weight of each class
-    unseen: float  # backoff probability of a word without a cell
-
-    def evidence(self, words: np.ndarray) -> np.ndarray:
-        """Length-normalised log p(word | toxic) - log p(word | ordinary); zeros without words.
-
-        The mean, and the mean of what exceeds ``DEAD_ZONE`` on either side.
-        """
-        if not len(words):
-            return np.zeros(2)
-        cell, mark = _cell(bigrams(words) >> HISTORY_BITS)
-        known = self.marks[cell] == mark
-        shared = np.where(known, self.shared[cell], self.unseen)
-        p = self.own[cell] * known[:, None] + self.left * shared[:, None]
-        ratio = np.log(p[:, 0] / p[:, 1])
-        strong = np.sign(ratio) * np.maximum(np.abs(ratio) - DEAD_ZONE, 0)
-        return np.array([ratio.mean(), strong.mean()])
-
-
-def model_of(marks: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> Model:
-    """From cells (toxic, ordinary, histories) and the totals of these and of words."""
-    total = np.maximum(totals[:2], 1)
-    own = np.maximum(counts[:, :2] - DISCOUNT * total / total.min(), 0) / total
-    base = totals[2] + 0.5 * totals[3] + 1
-    left = 1 - own.sum(axis=0)  # words that lost their cell are part of the backoff
-    return Model(marks, own.astype(np.float32), ((counts[:, 2] + 0.5) / base).astype(np.float32), left, 0.5 / base)
+    head: Broadcast  # of a Head
+    tail: DataFrame | None  # (word, _more, _stronger) of all other words: what they add to an unseen one's terms
+
+
+def _strong(ratio: np.ndarray) -> np.ndarray:
+    """What exceeds ``DEAD_ZONE`` on either side."""
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - DEAD_ZONE, 0)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each label with a bigram, packed by word range and history salt."""
+    """Bigrams of the texts and the texts of either label with them by word, packed by word range and history salt."""
     known = _WordHash()
-    schema = pa.schema([("bucket", pa.int64()), ("label", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    names = ("words", "follows", "toxic", "ordinary", "pairs")
+    schema = pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in names)])
     for batch in batches:
         rows: dict[str, list] = {name: [] for name in schema.names}
-        parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            parts[label].append(bigrams(word_hashes(text.as_py(), known)))
-        for label, found in parts.items():
-            keys, n = np.unique(np.concatenate([*found, np.empty(0, np.int64)]), return_counts=True)
-            bucket = (keys >> (_WORD_BITS + HISTORY_BITS - RANGE_BITS)) << SALT_BITS | keys & ((1 << SALT_BITS) - 1)
-            order = np.argsort(bucket, kind="stable")
-            keys, n, bucket = keys[order], n[order], bucket[order]
-            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(starts, np.append(starts, len(bucket))[1:], strict=True):
-                rows["bucket"].append(int(bucket[a]))
-                rows["label"].append(label)
-                rows["keys"].append(keys[a:b].tobytes())
-                rows["counts"].append(n[a:b].astype(np.uint32).tobytes())
+        found = [bigrams(word_hashes(text.as_py(), known)) for text in batch.column(0)]
+        label = np.repeat(np.array(batch.column(1).to_pylist(), float), [len(f[0]) for f in found])
+        none = np.empty(0, np.int64)
+        pairs, first, back = np.unique(
+            np.concatenate([*(f[1] for f in found), none]), return_index=True, return_inverse=True
+        )
+        words = np.concatenate([*(f[0] for f in found), none])[first]
+        toxic = np.bincount(back, label, len(pairs))
+        every = np.bincount(back, minlength=len(pairs))
+        bucket = (words.view(np.uint64) >> np.uint64(64 - RANGE_BITS)).astype(np.int64) << SALT_BITS
+        bucket |= pairs & ((1 << SALT_BITS) - 1)
+        order = np.lexsort((words, bucket))
+        bucket, words, pairs, toxic, every = (x[order] for x in (bucket, words, pairs, toxic, every))
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(starts, np.append(starts, len(bucket))[1:], strict=True):
+            w, at = np.unique(words[a:b], return_index=True)
+            t, n = np.add.reduceat(toxic[a:b], at), np.add.reduceat(every[a:b], at)
+            follows = np.diff(np.append(at, b - a))
+            rows["bucket"].append(int(bucket[a]))
+            rows["words"].append(w.tobytes())
+            rows["pairs"].append(pairs[a:b].tobytes())
+            for name, x in (("follows", follows), ("toxic", t), ("ordinary", n - t)):
+                rows[name].append(x.astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
 
 def _merge_bigrams(found: pa.Table) -> pa.Table:
     """One bucket: its words with texts of either label, and the histories they follow there."""
-    keys = [np.frombuffer(k, np.int64) for k in found.column("keys").to_pylist()]
-    toxic = np.repeat(np.array(found.column("label").to_pylist(), float), [len(k) for k in keys])
-    n = np.concatenate([np.frombuffer(c, np.uint32) for c in found.column("counts").to_pylist()]).astype(float)
-    pairs, t, o = _sums(np.concatenate(keys), n * toxic, n * (1 - toxic))
-    words, t, o, follows = _sums(pairs >> HISTORY_BITS, t, o, np.ones(len(pairs)))
-    values = np.stack([t, o, follows], 1)
-    at = int(words[0] >> (_WORD_BITS - RANGE_BITS))
-    return pa.table({"range": [at], "words": [words.tobytes()], "values": [values.tobytes()]})
-
-
-def _merge_words(found: pa.Table) -> pa.Table:
-    """One range of words: totals, and of each cell the most counted word, ties to the smaller."""
-    keys = np.frombuffer(b"".join(found.column("words").to_pylist()), np.int64)
-    values = np.frombuffer(b"".join(found.column("values").to_pylist()), np.float64).reshape(-1, 3)
-    words, *sums = _sums(keys, *values.T)
-    value = np.stack(sums, 1)
-    cell, mark = _cell(words)
-    order = np.lexsort((words, -value[:, 0] - value[:, 1], cell))
-    first = order[np.flatnonzero(np.diff(cell[order], prepend=-1))]
-    return pa.table(
-        {
-            "cells": [cell[first].astype(np.uint32).tobytes()],
-            "marks": [mark[first].tobytes()],
-            "values": [value[first].astype(np.float32).tobytes()],
-            "totals": [[*value.sum(axis=0).tolist(), float(len(words))]],
-        }
+    read = lambda name, kind: np.frombuffer(b"".join(found.column(name).to_pylist()), kind)
+    each, n = read("words", np.int64), read("follows", np.uint32)
+    words, back = np.unique(each, return_inverse=True)
+    _, first = np.unique(read("pairs", np.int64), return_index=True)
+    follows = np.bincount(np.repeat(back, n)[first], minlength=len(words))
+    toxic, ordinary = (np.bincount(back, read(c, np.uint32), len(words)) for c in ("toxic", "ordinary"))
+    return pa.table({"word": words, "toxic": toxic, "ordinary": ordinary, "follows": follows.astype(float)})
+
+
+def count_words(taught: DataFrame) -> DataFrame:
+    """(word, toxic, ordinary, follows): every word of (text binary, label) rows, stored.
+
+    ``follows`` is the number of different words it follows in either class.
+    """
+    packed = taught.mapInArrow(
+        _count, "bucket long, words binary, follows binary, toxic binary, ordinary binary, pairs binary"
+    )
+    merged = packed.groupBy("bucket").applyInArrow(
+        _merge_bigrams, "word long, toxic double, ordinary double, follows double"
     )
+    sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary", "follows")]
+    return lay_down(merged.groupBy("word").agg(*sums), "toxic-words")
 
 
 def train(taught: DataFrame) -> Model:
     """The model of (text binary, label) rows. What reaches the driver has a fixed size."""
-    packed = taught.mapInArrow(_count, "bucket long, label int, keys binary, counts binary")
-    words = packed.groupBy("bucket").applyInArrow(_merge_bigrams, "range long, words binary, values binary")
-    merged = words.groupBy("range").applyInArrow(
-        _merge_words, "cells binary, marks binary, values binary, totals array<double>"
+    counted = count_words(taught)
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)) for c in ("toxic", "ordinary", "follows")]
+    *texts, follows, n = counted.agg(*sums, F.count(F.lit(1))).first()
+    total = np.maximum(texts, 1.0)
+    own = [
+        F.greatest(F.col(c) - F.lit(float(DISCOUNT * t / total.min())), F.lit(0.0)) / F.lit(float(t))
+        for c, t in zip(("toxic", "ordinary"), total, strict=True)
+    ]
+    left = [1 - x for x in counted.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in own]).first()]
+    shared = (F.col("follows") + 0.5) / F.lit(follows + 0.5 * n + 1)
+    p = [x + shared * F.lit(y) for x, y in zip(own, left, strict=True)]
+    level = F.floor(F.log(F.col("toxic") + F.col("ordinary")) * _LEVELS)
+    words = counted.select("word", F.log(p[0] / p[1]).alias("ratio"), level.alias("level"))
+    unseen = float(np.log(left[0] / left[1]))
+
+    room, lowest, rest = HEAD_WORDS, None, 0  # whole levels, the most counted first
+    for r in words.groupBy("level").count().orderBy(F.desc("level")).collect():
+        if rest or r["count"] > room:
+            rest += r["count"]
+        else:
+            room, lowest = room - r["count"], r["level"]
+    here = F.lit(False) if lowest is None else F.col("level") >= lowest
+    top = words.where(here).select("word", "ratio").toArrow()
+    top_words, ratios = top.column("word").to_numpy(), top.column("ratio").to_numpy()
+    order = np.argsort(top_words)
+    head = taught.sparkSession.sparkContext.broadcast(Head(top_words[order], ratios[order], unseen))
+    if not rest:
+        return Model(head, None)
+    strong = F.signum("ratio") * F.greatest(F.abs("ratio") - DEAD_ZONE, F.lit(0.0))
+    tail = words.where(~here).select(
+        "word",
+        (F.col("ratio") - unseen).alias("_more"),
+        (strong - F.lit(float(_strong(np.float64(unseen))))).alias("_stronger"),
     )
-    marks, counts = np.zeros(1 << CELL_BITS, np.uint16), np.zeros((1 << CELL_BITS, 3), np.float32)
-    totals = np.zeros(4)
-    for r in lay_down(merged, "toxic-words").toLocalIterator():  # a row per range of words
-        totals += r["totals"]
-        cell, mark = np.frombuffer(r["cells"], np.uint32), np.frombuffer(r["marks"], np.uint16)
-        value = np.frombuffer(r["values"], np.float32).reshape(-1, 3)
-        new, old = value[:, :2].sum(axis=1), counts[cell, :2].sum(axis=1)
-        better = (new > old) | ((new == old) & (mark < marks[cell]))
-        marks[cell[better]], counts[cell[better]] = mark[better], value[better]
-    return model_of(marks, counts, totals)
+    return Model(head, lay_down(tail, "toxic-tail"))
 
 
 def curve_features(evidence: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -211,26 +223,88 @@ def fit_curve(features: np.ndarray, label: np.ndarray, ridge: float = 1e-3) -> n
     return w
 
 
-def _measure(model, schema: T.StructType):
-    """Task code and its schema: the columns of ``schema`` beside evidence and words of the first column's texts."""
+def _terms(head: Broadcast):
+    """Task code: other columns beside bigrams, sums of both log-ratios, words and digest of the first column's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lm = _WordHash(), model.value
+        known = _WordHash()
         for batch in batches:
-            words = [word_hashes(t.as_py(), known) for t in batch.column(0)]
-            found = np.array([lm.evidence(w) for w in words]).reshape(-1, 2)
-            n = pa.array([len(w) for w in words], pa.int64())
+            sums, counts, digests = [], [], []
+            for text in batch.column(0):
+                text = text.as_py()
+                words = word_hashes(text, known)
+                ratio, _ = head.value.ratio(bigrams(words)[0])
+                sums.append((ratio.sum(), _strong(ratio).sum()))
+                counts.append((len(ratio), len(words)))
+                digests.append(xxhash.xxh3_128_digest(text or b""))
+            found, n = np.array(sums).reshape(-1, 2), np.array(counts, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(found[:, 0]), pa.array(found[:, 1]), n],
-                [*schema.names, "_mean", "_strong", "_n"],
+                [*batch.columns[1:], *map(pa.array, (n[:, 0], found[:, 0], found[:, 1], n[:, 1])), pa.array(digests, pa.binary())],
+                [*batch.schema.names[1:], "_bigrams", "_sum", "_strong_sum", "_n", "_digest"],
             )
 
-    out = T.StructType(list(schema.fields))
-    return run, out.add("_mean", "double").add("_strong", "double").add("_n", "long")
+    return run
+
+
+def _others(head: Broadcast):
+    """Task code: (digest, word, bigrams) of words that are not in the head, once for each distinct text of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHash()
+        for batch in batches:
+            rows: tuple[list, list, list] = [], [], []
+            for text in {t.as_py() or b"" for t in batch.column(0)}:
+                words, _ = bigrams(word_hashes(text, known))
+                words, n = np.unique(words[~head.value.ratio(words)[1]], return_counts=True)
+                rows[0].extend([xxhash.xxh3_128_digest(text)] * len(words))
+                rows[1].append(words)
+                rows[2].append(n)
+            none = [np.empty(0, np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[0], pa.binary()), *(pa.array(np.concatenate(x + none)) for x in rows[1:])],
+                ["_digest", "word", "_often"],
+            )
+
+    return run
+
+
+def _evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """Columns of ``rows`` but the first, ``_text``, beside evidence and words (_mean, _strong, _n).
+
+    Evidence is the mean log p(word | toxic) - log p(word | ordinary) and the mean
+    of what exceeds ``DEAD_ZONE`` on either side; zeros without words.
+    """
+    kept = rows.columns[1:]
+    schema = T.StructType(list(rows.schema.fields[1:]))
+    schema = schema.add("_bigrams", "long").add("_sum", "double").add("_strong_sum", "double").add("_n", "long")
+    found = rows.mapInArrow(_terms(model.head), schema.add("_digest", "binary"))
+    if model.tail is not None:
+        salts = 1 << SALT_BITS  # frequent words and texts meet in this many places
+        salted = F.explode(F.array(*map(F.lit, range(salts)))).alias("_salt")
+        others = rows.select("_text").mapInArrow(_others(model.head), "_digest binary, word long, _often long")
+        others = others.dropDuplicates(["_digest", "word"])
+        others = others.withColumn("_salt", F.pmod(F.xxhash64("_digest"), F.lit(salts)).cast("int"))
+        added = (
+            others.join(model.tail.select("*", salted), ["word", "_salt"])
+            .groupBy("_digest")
+            .agg(
+                F.sum(F.col("_often") * F.col("_more")).alias("_more"),
+                F.sum(F.col("_often") * F.col("_stronger")).alias("_stronger"),
+            )
+        )
+        found = found.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        found = found.join(added.select("*", salted), ["_digest", "_salt"], "left").withColumns(
+            {
+                "_sum": F.col("_sum") + F.coalesce("_more", F.lit(0.0)),
+                "_strong_sum": F.col("_strong_sum") + F.coalesce("_stronger", F.lit(0.0)),
+            }
+        )
+    mean = lambda c: F.when(F.col("_bigrams") > 0, F.col(c) / F.col("_bigrams")).otherwise(0.0)
+    return found.select(*kept, mean("_sum").alias("_mean"), mean("_strong_sum").alias("_strong"), "_n")
 
 
 def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
-    """(broadcast model, weights of the curve)."""
+    """(model, weights of the curve)."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(text_col).cast("binary").alias("_text"), F.col(id_col).alias("_id"))
@@ -261,9 +335,9 @@ def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     places = taught.where("_place IS NOT NULL").select("_place").distinct()
     last = places.orderBy("_place").limit(CURVE_TEXTS).agg(F.max("_place")).first()[0]
     curve = F.coalesce(F.col("_place") <= F.lit(last).cast("long"), F.lit(False))
-    model = spark.sparkContext.broadcast(train(taught.where(~curve).select("_text", "_label")))
+    model = train(taught.where(~curve).select("_text", "_label"))
     sample = taught.where(curve).select("_text", "_label", "_place")
-    measured = sample.mapInArrow(*_measure(model, sample.select("_label", "_place").schema))
+    measured = _evidence(sample, model)
     # repeated rows of an id are one text to the curve
     known = measured.groupBy("_place", "_label").agg(*[F.avg(c).alias(c) for c in ("_mean", "_strong", "_n")])
     known = known.toPandas().sort_values("_place")
@@ -273,9 +347,9 @@ def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return model, weights
 
 
-def _scored(rows: DataFrame, model, weights: np.ndarray) -> DataFrame:
+def _scored(rows: DataFrame, model: Model, weights: np.ndarray) -> DataFrame:
     """(_kept, score) of rows (_text, _kept)."""
-    measured = rows.mapInArrow(*_measure(model, rows.select("_kept").schema))
+    measured = _evidence(rows, model)
     terms = [F.col("_mean"), F.col("_strong"), F.col("_strong") * F.sqrt("_n")]
     logit = F.lit(float(weights[0]))
     for term, w in zip(terms, weights[1:], strict=True):

@@ -181,6 +181,30 @@ def labels_of(docs):
     return learnable(docs, "toxic")
 
 
+def test_words_that_tasks_do_not_hold_score_alike(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=30)) for _ in range(300)]
+    rows = [(i, t + (f" vile{i % 40}" if i % 3 == 0 else ""), int(i % 3 == 0)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:50] + [(None, None, 0), (400, "", 0)], "doc_id long, text string, toxic int")
+    scores = []
+    for words in (1 << 20, 16, 0):
+        monkeypatch.setattr(toxicity, "HEAD_WORDS", words, raising=False)
+        monkeypatch.setattr(toxicity, "CELL_BITS", max(1, words).bit_length() - 1, raising=False)
+        got = toxicity.toxicity(docs, docs).select("doc_id", "score").collect()
+        scores.append(sorted((r["doc_id"] or -1, r["score"]) for r in got))
+    assert len(scores[0]) == 352 and len({x for _, x in scores[0]}) > 100
+    for other in scores[1:]:
+        assert [i for i, _ in other] == [i for i, _ in scores[0]]
+        assert [x for _, x in other] == pytest.approx([x for _, x in scores[0]], abs=1e-9)
+
+
+def test_a_word_follows_any_number_of_histories(spark):
+    rows = [(f"h{i} often".encode(), i % 2) for i in range(6000)]
+    counted = toxicity.count_words(spark.createDataFrame(rows, "_text binary, _label int").repartition(3))
+    most = counted.orderBy(F.desc("follows")).first()
+    assert counted.count() == 6001 and tuple(most)[1:] == (3000, 3000, 6000)
+
+
 def test_drop_toxic_keeps_columns(awkward, label_table):
     kept = toxicity.drop_toxic(awkward, label_table.limit(0))
     assert kept.columns == awkward.columns and kept.count() == awkward.count()
