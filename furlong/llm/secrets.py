@@ -29,6 +29,10 @@ SENSITIVE = re.compile(
 )
 REACH = 64
 CANDIDATE = re.compile(r"(?a)[A-Za-z0-9+/_.=-]{16,}")
+# Names with '=' before a value that is long enough: the first, and as many as there are.
+# (A candidate never holds ':'.)
+_NAME, _LONG = r"[A-Za-z0-9_.-]+=+", r"(?=[A-Za-z0-9+/_.-][A-Za-z0-9+/_.=-]{15})"
+NAMED = (re.compile(f"(?a)(?:{_NAME})+{_LONG}"), re.compile(f"(?a){_NAME}{_LONG}"))
 # Code on either side that primes the compressor.
 AROUND = 256
 # A candidate is incompressible from this many marginal bytes a byte on.
@@ -50,18 +54,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Long strings in a sensitive context that no base span touches."""
+    """Long strings in a sensitive context that no base span touches.
+
+    Of NAME=value the value comes before the whole; the name belongs to its context.
+    """
     found, at = [], 0
     for m in CANDIDATE.finditer(text):
-        start, stop = m.span()
-        while at < len(spans) and spans[at][1] + AROUND * 64 < start:
+        first, stop = m.span()
+        while at < len(spans) and spans[at][1] + AROUND * 64 < first:
             at += 1
-        if any(s < stop and start < e for _, s, e in spans[at:]):
-            continue
-        if SENSITIVE.search(text, max(0, start - REACH), start) is None:
-            continue
-        before, after = text[max(0, start - AROUND) : start], text[stop : stop + AROUND]
-        found.append({"start": start, "stop": stop, "value": m.group(), "before": before, "after": after})
+        named = [n.end() for n in (p.match(text, first, stop) for p in NAMED) if n]
+        for start in dict.fromkeys([*named, first]):
+            if any(s < stop and start < e for _, s, e in spans[at:]):
+                continue
+            if SENSITIVE.search(text, max(0, first - REACH), start) is None:
+                continue
+            before, after = text[max(0, start - AROUND) : start], text[stop : stop + AROUND]
+            found.append({"start": start, "stop": stop, "value": text[start:stop], "before": before, "after": after})
     return found
 
 
@@ -129,7 +138,7 @@ def scan_secrets(
     Spans are ``kind:start:end`` in code points, by start and kind. Base kinds
     come from fixed patterns over the whole text; ``novel`` marks other long
     strings behind a sensitive word whose marginal compressed bytes reach
-    ``novelty`` a byte. Null and empty texts have none. Null ids and repeated
+    ``novelty`` a byte; of NAME=value the value, and the name may hold the word. Null and empty texts have none. Null ids and repeated
     rows are kept as they are; an empty table gives an empty result. Other
     columns are ignored.
     """
@@ -145,11 +154,11 @@ def scan_secrets(
             shas, texts = [], []
             for spans, near in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 base = [(s["kind"], s["start"], s["stop"]) for s in spans]
-                new = [
-                    (3, c["start"], c["stop"])
-                    for c in near
-                    if measure.ratio(c["value"], c["before"], c["after"]) >= novelty
-                ]
+                new: list[tuple[int, int, int]] = []
+                for c in near:
+                    told = new and new[-1][2] == c["stop"]  # its value is a span already
+                    if not told and measure.ratio(c["value"], c["before"], c["after"]) >= novelty:
+                        new.append((3, c["start"], c["stop"]))
                 for k in range(4):
                     counts[k].append(sum(s[0] == k for s in base + new))
                 shas.append(hashlib.sha256(_text(base).encode()).hexdigest())

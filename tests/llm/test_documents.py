@@ -133,6 +133,18 @@ def test_novel_strings_are_random_ones():
     assert "Zx81kQm02LpW7vT5rYd3" in [c["value"] for c in secrets.candidates(CASES[4], spans)]
 
 
+def test_values_behind_sensitive_names_are_measured(spark):
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ81kLm0"
+    names = ["AWS_SECRET_ACCESS_KEY=", "PRIVATE_KEY=", "JWT=", "GET /a?auth=", "x=CLIENT_ID=", "run --signing-salt="]
+    texts = [f"{n}{value} rest" for n in names]
+    texts += [f"colour={value}", "PRIVATE_KEY=short", 'auth "Zx81kQm02LpW7vT5rYd3=abc"']
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_novel"], r["spans"]) for r in secrets.scan_secrets(df).collect()}
+    for i, name in enumerate(names):
+        assert got[i] == (1, f"novel:{len(name)}:{len(name) + len(value)}")
+    assert [got[len(names) + i] for i in range(3)] == [(0, ""), (0, ""), (1, "novel:6:30")]
+
+
 # -- classifiers ---------------------------------------------------------------
 
 
