@@ -10,6 +10,7 @@ Newton iteration is one distributed aggregation, for all sources at once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3.0
 TOLERANCE = 1e-9
 ITERATIONS = 60
-# Documents on either side of the cut that may be exchanged to meet a target.
-FILLERS = 256
+# Rounds that fill a gap in the documents' order; later ones take large documents first,
+# which ends after two rounds for each power of two.
+ROUNDS_IN_ORDER = 6
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -136,6 +138,53 @@ def multipliers(sizes: DataFrame, targets: DataFrame, cap: float = CAP) -> DataF
     return state.select("source", F.col("lam").alias("lambda"), "unit")
 
 
+def _fill(pool: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of ``pool`` that fit into each source's gap, and what is left of the gaps.
+
+    ``pool`` has (_serial, _mix_source, _could), ``gaps`` (_g_source, _left). Each
+    round is a running sum in the order of ``_serial`` over the documents that
+    are not larger than what is left; it ends when no such document is there.
+    """
+    of_source = F.col("_mix_source").eqNullSafe(F.col("_g_source"))
+    columns = ("_serial", "_mix_source", "_could")
+    gaps, picked, turn = lay_down(gaps, "mix-gaps"), [], 0
+    pool = lay_down(pool.join(gaps, of_source).where("_could <= _left").select(*columns), "mix-pool")
+    while turn == 0 or pool.limit(1).count():
+        large_first = F.floor(F.log2("_could")) if turn >= ROUNDS_IN_ORDER else F.lit(0).cast("bigint")
+        rows = pool.withColumns({"_class": large_first, "_block": F.shiftright("_serial", 33)})
+        place = ("_mix_source", "_class", "_block")
+        before = Window.partitionBy("_mix_source").orderBy(F.desc("_class"), "_block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = rows.groupBy(*place).agg(F.sum("_could").alias("_words"))
+        blocks = blocks.select(
+            *[F.col(c).alias(f"_b{c}") for c in place], F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before")
+        )
+        inside = Window.partitionBy("_block", "_class", "_mix_source").orderBy("_serial")
+        run = (
+            rows.withColumn("_run", F.sum("_could").over(inside))
+            .join(
+                blocks,
+                F.col("_mix_source").eqNullSafe(F.col("_b_mix_source"))
+                & (F.col("_class") == F.col("_b_class"))
+                & (F.col("_block") == F.col("_b_block")),
+            )
+            .join(gaps, of_source)
+        )
+        run = lay_down(run.select(*columns, (F.col("_run") + F.col("_before")).alias("_run"), "_left"), "mix-round")
+        fits = run.where("_run <= _left")
+        picked.append(fits.select("_serial"))
+        used = fits.groupBy(F.col("_mix_source").alias("_u_source")).agg(F.max("_run").alias("_used"))
+        gaps = lay_down(
+            gaps.join(used, F.col("_g_source").eqNullSafe(F.col("_u_source")), "left").select(
+                "_g_source", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left")
+            ),
+            "mix-gaps",
+        )
+        rest = run.where("_run > _left").select(*columns).join(gaps, of_source)
+        pool = lay_down(rest.where("_could <= _left").select(*columns), "mix-pool")
+        turn += 1
+    return reduce(DataFrame.unionByName, picked), gaps
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -148,8 +197,10 @@ def mix(
 
     One row per input row; ``_taken = _copies * _size``, ``_copies`` is the rate
     rounded down or up. Within a source, documents are rounded up in the order
-    of hash(id) / fraction until the target is met; then a few around that cut
-    are exchanged by size, so a target is missed by less than a small document. ``cap`` is a whole number, so no copies exceed it. Empty texts keep
+    of hash(id) / fraction until the target is met; what is too large for the room
+    is passed over and the rest goes on, until the gap is smaller than any document
+    that is not rounded up. Where that leaves more, the smallest such document is
+    taken and others left out for it in the same way. ``cap`` is a whole number, so no copies exceed it. Empty texts keep
     one copy of no words. Null sources are one source; null ids hash alike, and
     rows that tie keep the order Spark gives them once. An empty table gives an
     empty result. Input columns named as the added ones are replaced.
@@ -218,40 +269,30 @@ def mix(
         .where("_could > 0")
     )
     run = lay_down(run.select("_serial", "_mix_source", "_could", "_run", "_room"), "mix-run")
-    below = run.where("_run <= _room").select("_serial")
-    # what fits on either side of the cut: a bounded number of documents per source
-    cut = run.groupBy("_mix_source").agg(
-        F.min(F.when(F.col("_run") > F.col("_room"), F.col("_serial"))).alias("_cut"),
-        F.coalesce(F.max(F.when(F.col("_run") <= F.col("_room"), F.col("_run"))), F.lit(0)).alias("_used"),
-    )
-    cut = cut.withColumnRenamed("_mix_source", "_c_source")
-    near = run.join(
-        cut,
-        F.col("_mix_source").eqNullSafe(F.col("_c_source"))
-        & (F.col("_serial") >= F.col("_cut") - FILLERS)
-        & (F.col("_serial") < F.col("_cut") + FILLERS),
-    )
-    one = F.struct("_serial", "_could")
-    near = near.groupBy("_mix_source").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_serial") >= F.col("_cut"), one))).alias("_next"),
-        F.reverse(F.array_sort(F.collect_list(F.when(F.col("_serial") < F.col("_cut"), one)))).alias("_last"),
-        F.min(F.col("_room") - F.col("_used")).alias("_left"),
-    )
-    # first fit, where a document is moved if that brings the sum nearer to the
-    # target: take from behind the cut, or take the next one and leave others out
-    fit = (
-        "aggregate({0}, struct({1} AS room, cast(array() AS array<bigint>) AS moved),"
-        " (a, d) -> IF(d._could < 2 * a.room,"
-        " struct(a.room - d._could AS room, concat(a.moved, array(d._serial)) AS moved), a))"
+    used = F.coalesce(F.max(F.when(F.col("_run") <= F.col("_room"), F.col("_run"))), F.lit(0))
+    gaps = run.groupBy(F.col("_mix_source").alias("_g_source")).agg((F.min("_room") - used).alias("_left"))
+    above = run.where("_run > _room").select("_serial", "_mix_source", "_could")
+    fillers, gaps = _fill(above, gaps)
+    fillers = lay_down(fillers, "mix-fillers")
+    # instead of a gap: the smallest document not taken, and others left out for it;
+    # words are whole, so a gap of half a word is the least there is
+    least = above.join(fillers, "_serial", "left_anti").groupBy("_mix_source")
+    least = least.agg(F.min(F.struct("_could", "_serial")).alias("_least"))
+    swaps = gaps.where("_left > 0.5").join(least, F.col("_g_source").eqNullSafe(F.col("_mix_source")))
+    swaps = lay_down(
+        swaps.select("_g_source", F.col("_left").alias("_gap"), "_least._serial", (F.col("_least._could") - F.col("_left")).alias("_left")),
+        "mix-swaps",
     )
-    near = near.withColumn("_more", F.expr(fit.format("_next", "_left"))).withColumn(
-        "_less", F.expr(fit.format("_last", "_next[0]._could - _left"))
+    taken = run.where("_run <= _room").select("_serial").unionByName(fillers)
+    pool = run.join(taken, "_serial", "left_semi").select((-F.col("_serial")).alias("_serial"), "_mix_source", "_could")
+    left_out, over = _fill(pool, swaps.select("_g_source", "_left"))
+    better = swaps.drop("_left").join(
+        over.withColumnRenamed("_g_source", "_o_source"), F.col("_g_source").eqNullSafe(F.col("_o_source"))
     )
-    swap = F.abs("_less.room") < F.abs("_more.room")
-    taken = F.when(swap, F.array(F.col("_next")[0]["_serial"])).otherwise(F.col("_more.moved"))
-    fillers = near.select(F.explode(taken).alias("_serial"))
-    left_out = near.where(swap).select(F.explode("_less.moved").alias("_serial"))
-    extra = below.join(left_out, "_serial", "left_anti").unionByName(fillers)
+    better = lay_down(better.where("_left < _gap").select("_g_source", F.col("_serial").alias("_new")), "mix-better")
+    out = run.join(left_out.select((-F.col("_serial")).alias("_serial")), "_serial", "left_semi")
+    out = out.join(better, F.col("_mix_source").eqNullSafe(F.col("_g_source"))).select("_serial")
+    extra = taken.join(out, "_serial", "left_anti").unionByName(better.select(F.col("_new").alias("_serial")))
     extra = extra.select(F.col("_serial").alias("_e_serial"))
     copies = F.col("_floor") + F.col("_e_serial").isNotNull().cast("bigint")
     return (

@@ -103,6 +103,25 @@ def test_mix_meets_targets_and_caps(spark):
     assert again == {(r["doc_id"], r["_taken"]) for r in got}
 
 
+def test_mix_fills_the_room_of_a_giant_document(spark):
+    rows = [(i, "w " * (7 + i % 5), "abcd"[i % 4]) for i in range(24_000)]
+    rows += [(i, "w " * 20_000, "abcd"[i % 4]) for i in range(24_000, 24_012)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).groupBy("source").agg(F.sum("_taken").alias("taken"), F.max("_target").alias("target")).collect()
+    assert len(got) == 4 and all(abs(r["taken"] - r["target"]) <= 12 for r in got), got
+
+
+def test_fill_goes_on_until_nothing_fits(spark):
+    sizes = [1, 1000, 1, 999, 1, 998, 1, 997, 1, 996, 1, 995, 1, 994, 1, 993, 1, 992, 1, 991] + [2000] * 5000 + [300, 3, 5]
+    pool = spark.createDataFrame([(i, None, n) for i, n in enumerate(sizes)], "_serial long, _mix_source string, _could long")
+    gaps = spark.createDataFrame([(None, 1000.5)], "_g_source string, _left double")
+    picked, left = mixing._fill(pool, gaps)
+    serials = [r[0] for r in picked.collect()]
+    used = sum(sizes[i] for i in serials)
+    assert len(serials) == len(set(serials)) and left.first()["_left"] == 1000.5 - used
+    assert all(i in serials or n > 1000.5 - used for i, n in enumerate(sizes))
+
+
 # -- secrets -----------------------------------------------------------------
 
 CASES = [
