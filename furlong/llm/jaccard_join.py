@@ -403,6 +403,7 @@ def similar_components(
 
     Documents link when the Jaccard similarity of their n-gram sets is ``least``
     hundredths or more; component_id is the smallest id reachable by links.
+    Components only: pairs inside one already are not compared, so links are not listed.
 
     Equal sets are one node, whatever their number. Sets that share a common
     n-gram, or any large group, meet some hubs of the group first; then, in every group, the sets
