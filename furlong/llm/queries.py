@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furlong.llm import exact_dedup, jaccard_join, line_dedup, mixing, neighbours, pieces, quality, secrets, toxicity, url_filter
+from furlong.llm import (
+    exact_dedup,
+    jaccard_join,
+    language,
+    line_dedup,
+    mixing,
+    neighbours,
+    pieces,
+    quality,
+    secrets,
+    toxicity,
+    url_filter,
+)
 from furlong.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -96,3 +108,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
