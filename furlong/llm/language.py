@@ -548,7 +548,7 @@ def identify(
             F.lit(True).alias("rejected"), F.lit(None).cast("double").alias("cross_entropy"),
         )
     curve = calibrate(rows.where(teaches & calibrates).select("_text", "_lang"), models)
-    measured = measure(judged, models).withColumn("_ce", F.transform("_sums", lambda x: -x / F.col("_n")))
+    measured = measure(judged, models).withColumn("_ce", F.transform("_sums", lambda x: -x / F.greatest("_n", F.lit(1))))
     ordered = measured.withColumns({"_best": F.array_min("_ce"), "_sorted": F.array_sort("_ce")})
     at = F.array_position("_ce", F.col("_best")).cast("int")
     margin = (F.col("_sorted")[min(1, len(langs) - 1)] - F.col("_best")) if len(langs) > 1 else F.lit(0.0)
