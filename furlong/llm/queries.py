@@ -14,6 +14,7 @@ from furlong.llm import (
     pieces,
     quality,
     secrets,
+    spelling,
     toxicity,
     url_filter,
 )
@@ -113,3 +114,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
