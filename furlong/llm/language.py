@@ -222,6 +222,25 @@ def _levels(counted: DataFrame) -> DataFrame:
     return counted.select("lang", "gram", "raw", F.col("raw").alias("n")).unionByName(shorter)
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, kind, hashes, values), packed, of (lang, kind, gram, value) rows."""
+    for batch in batches:
+        rows: dict[str, list] = {"lang": [], "kind": [], "hashes": [], "values": []}
+        frame = batch.to_pandas()
+        for (lang, kind), part in frame.groupby(["lang", "kind"]):
+            hashes, values = [], []
+            for k, alike in part.groupby(part["gram"].str.len()):
+                codes = np.frombuffer("".join(alike["gram"]).encode("utf-32-le"), np.uint32)
+                hashes.append(gram_hash(codes.reshape(len(alike), int(k)).astype(np.uint64), bool(kind)).tobytes())
+                values.append(alike["value"].to_numpy(np.float64).tobytes())
+            for column, x in zip(rows, (lang, int(kind), b"".join(hashes), b"".join(values)), strict=True):
+                rows[column].append(x)
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, kind) for x, kind in zip(rows.values(), kinds, strict=True)], list(rows)
+        )
+
+
 def train(taught: DataFrame, head_rows: int = HEAD_ROWS) -> Models:
     """Models of (_lang string, _text binary) rows; at most ``head_rows`` rows reach the driver."""
     spark = taught.sparkSession
@@ -279,21 +298,14 @@ def train(taught: DataFrame, head_rows: int = HEAD_ROWS) -> Models:
             whole = False
         else:
             room, lowest = room - r["count"], r["level"]
-    held = table.where(F.lit(False) if lowest is None else level >= lowest)
-    held = held.select("lang", "kind", F.length("gram").alias("k"), "gram", "value").toPandas()
+    held = table.where(F.lit(False) if lowest is None else level >= lowest).select("lang", "kind", "gram", "value")
+    packed = held.mapInArrow(_hashed, "lang string, kind int, hashes binary, values binary").collect()
     sets: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-    for kind in (0, 1):
-        of_kind = held[held["kind"] == kind]
-        for lang in langs:
-            mine = of_kind[of_kind["lang"] == lang]
-            hashes, values = [np.empty(0, np.uint64)], [np.empty(0)]
-            for k, part in mine.groupby("k"):
-                codes = np.frombuffer("".join(part["gram"]).encode("utf-32-le"), np.uint32)
-                hashes.append(gram_hash(codes.reshape(len(part), int(k)).astype(np.uint64), bool(kind)))
-                values.append(part["value"].to_numpy())
-            h, v = np.concatenate(hashes), np.concatenate(values)
-            order = np.argsort(h)
-            sets[kind].append((h[order], v[order]))
+    for kind, lang in ((kind, lang) for kind in (0, 1) for lang in langs):
+        mine = [r for r in packed if r["lang"] == lang and r["kind"] == kind]
+        h = np.frombuffer(b"".join(r["hashes"] for r in mine), np.uint64)
+        order = np.argsort(h)
+        sets[kind].append((h[order], np.frombuffer(b"".join(r["values"] for r in mine), np.float64)[order]))
     head = Head(langs, sets[0], sets[1], np.array([unseen[x] for x in langs]), whole)
     return Models(spark.sparkContext.broadcast(head), None if whole else table, symbols)
 
