@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,7 +48,7 @@ _WORDS = re.compile(r"[^\W\d_]{1,65536}")
 _BREAK = re.compile(r"[\W\d_]")
 _PIECE = 1 << 20  # characters taken apart at once
 _COUNTED = 1 << 24  # characters between two emissions of counts
-_KNOWN_VALUES = 1 << 21  # word scores a task remembers
+_KNOWN_VALUES = 1 << 19  # word scores a task remembers
 _SLAB = 1 << 16  # characters scored at once
 _LEVELS = 64  # steps of a count's logarithm, by which the most counted rows are told
 _SALTS = 8
@@ -89,7 +89,7 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rows = np.fromiter(map(len, words), np.int64, len(words)) + 1
     owner = np.repeat(np.arange(len(words)), rows)
     at = np.arange(len(owner)) + owner * (ORDER - 1)
-    return codes[at[:, None] + np.arange(ORDER)].astype(np.uint64), owner
+    return np.lib.stride_tricks.sliding_window_view(codes, ORDER)[at] if len(words) else np.zeros((0, ORDER), np.uint32), owner
 
 
 def gram_hash(codes: np.ndarray, context: bool) -> np.ndarray:
@@ -103,7 +103,7 @@ def gram_hash(codes: np.ndarray, context: bool) -> np.ndarray:
 
 def _strings(codes: np.ndarray) -> list[str]:
     width = codes.shape[1]
-    text = np.ascontiguousarray(codes.astype(np.uint32)).tobytes().decode("utf-32-le")
+    text = np.ascontiguousarray(codes).tobytes().decode("utf-32-le")
     return [text[i : i + width] for i in range(0, len(text), width)]
 
 
@@ -231,7 +231,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, values = [], []
             for k, alike in part.groupby(part["gram"].str.len()):
                 codes = np.frombuffer("".join(alike["gram"]).encode("utf-32-le"), np.uint32)
-                hashes.append(gram_hash(codes.reshape(len(alike), int(k)).astype(np.uint64), bool(kind)).tobytes())
+                hashes.append(gram_hash(codes.reshape(len(alike), int(k)), bool(kind)).tobytes())
                 values.append(alike["value"].to_numpy(np.float64).tobytes())
             for column, x in zip(rows, (lang, int(kind), b"".join(hashes), b"".join(values)), strict=True):
                 rows[column].append(x)
@@ -261,30 +261,30 @@ def train(taught: DataFrame, head_rows: int = HEAD_ROWS) -> Models:
         sums.join(discounts, ["lang", "k"]).withColumn("back", F.col("d") * F.col("types") / F.col("total")),
         "language-contexts",
     )
-    terms = levels.join(contexts.select("lang", "k", "context", "total", "d", "back"), ["lang", "k", "context"]).select(
-        "lang",
-        F.col("gram").alias("suffix"),
-        (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("own"),
-        "back",
+    terms = lay_down(
+        levels.join(contexts.select("lang", "k", "context", "total", "d", "back"), ["lang", "k", "context"]).select(
+            "lang", "k", "gram", "raw", "back", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("own")
+        ),
+        "language-terms",
     )
-    tails = levels.select(
-        "lang", "gram", "raw", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("j"), "k"
-    ).withColumn("suffix", F.expr("substring(gram, k - j + 1, j)"))
-    # p of order j = own share + weight * p of order j - 1, from the uniform one upwards
-    p = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("j", "own", "back"))),
-        F.lit(1.0 / symbols),
-        lambda below, x: x["own"] + x["back"] * below,
+    # p of an order = own share + weight * p of the next shorter one, from the uniform one upwards
+    shorter = None
+    table = contexts.select(
+        "lang", F.lit(1).alias("kind"), F.col("context").alias("gram"), F.log("back").alias("value"), "raw"
     )
-    grams = tails.join(lay_down(terms, "language-terms"), ["lang", "suffix"]).groupBy("lang", "gram").agg(
-        F.log(p).alias("value"), F.first("raw").alias("raw")
-    )
-    rows = grams.select("lang", F.lit(0).alias("kind"), "gram", "value", "raw").unionByName(
-        contexts.select(
-            "lang", F.lit(1).alias("kind"), F.col("context").alias("gram"), F.log("back").alias("value"), "raw"
+    for k in range(1, ORDER + 1):
+        of_order = terms.where(F.col("k") == k).withColumn("suffix", F.expr("substring(gram, 2)"))
+        if shorter is None:
+            of_order = of_order.withColumn("below", F.lit(1.0 / symbols))
+        else:
+            of_order = of_order.join(
+                shorter.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"]
+            )
+        p = (F.col("own") + F.col("back") * F.col("below")).alias("p")
+        shorter = lay_down(of_order.select("lang", "gram", "raw", p), "language-order")
+        table = table.unionByName(
+            shorter.select("lang", F.lit(0).alias("kind"), "gram", F.log("p").alias("value"), "raw")
         )
-    )
-    table = lay_down(rows, "language-model")
 
     unseen = {
         r["lang"]: r["value"] - float(np.log(symbols))
@@ -340,13 +340,13 @@ class _Known:
         return self.scores[at], self.open[at]
 
 
-def _runs(texts: list[bytes | None]) -> Iterator[tuple[list[str], np.ndarray]]:
+def _runs(texts: Sequence[pa.BinaryScalar]) -> Iterator[tuple[list[str], np.ndarray]]:
     """(words, the text each is from) of consecutive texts, some ``_PIECE`` characters at a time."""
     words: list[str] = []
     owner: list[int] = []
     size = 0
     for i, raw in enumerate(texts):
-        for found in words_of(raw):
+        for found in words_of(raw.as_py()):
             words += found
             owner += [i] * len(found)
             size += sum(map(len, found))
@@ -363,7 +363,7 @@ def _measure(head: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(head.value)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(0)
             sums = np.zeros((len(texts), len(head.value.langs)))
             n, letters = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
             for words, owner in _runs(texts):
@@ -375,7 +375,7 @@ def _measure(head: Broadcast):
                 n[rows] += np.add.reduceat(lengths, first)
                 for row, a, b in zip(rows, first, np.append(first, len(words))[1:], strict=True):
                     letters[row] = letters[row] or _has_letter(words[a:b])
-            digests = [None if head.value.whole else xxhash.xxh3_128_digest(t or b"") for t in texts]
+            digests = [None if head.value.whole else xxhash.xxh3_128_digest(t.as_py() or b"") for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(n),
                  pa.array(letters), pa.array(digests, pa.binary())],
@@ -391,10 +391,10 @@ def _open_words(head: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(head.value)
         for batch in batches:
-            texts = sorted({t or b"" for t in batch.column(0).to_pylist()})
+            texts = batch.column(0).unique()
 
-            def rows(found: Counter, texts: list[bytes] = texts) -> pa.RecordBatch:
-                digests = pa.array([xxhash.xxh3_128_digest(texts[i]) for i, _ in found], pa.binary())
+            def rows(found: Counter, texts: pa.Array = texts) -> pa.RecordBatch:
+                digests = pa.array([xxhash.xxh3_128_digest(texts[i].as_py() or b"") for i, _ in found], pa.binary())
                 words, often = pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())
                 return pa.RecordBatch.from_arrays([digests, words, often], ["_digest", "word", "_often"])
 
