@@ -48,7 +48,7 @@ _WORDS = re.compile(r"[^\W\d_]{1,65536}")
 _BREAK = re.compile(r"[\W\d_]")
 _PIECE = 1 << 20  # characters taken apart at once
 _COUNTED = 1 << 24  # characters between two emissions of counts
-_KNOWN_VALUES = 1 << 19  # word scores a task remembers
+_KNOWN_VALUES = 1 << 20  # word scores a task remembers
 _SLAB = 1 << 16  # characters scored at once
 _LEVELS = 64  # steps of a count's logarithm, by which the most counted rows are told
 _SALTS = 8
@@ -97,7 +97,7 @@ def gram_hash(codes: np.ndarray, context: bool) -> np.ndarray:
     h = np.full(len(codes), 2 * codes.shape[1] + context + 1, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(codes.shape[1]):
-            h = h * _BASE + codes[:, j]
+            h = h * _BASE + codes[:, j].astype(np.uint64)
         return scramble(h)
 
 
