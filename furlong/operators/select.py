@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from furlong import settings
 from furlong.functions.odds import expected_return
 from furlong.scale.ordering import cut_row
-from furlong.scale.storage import lay_down
+from furlong.scale.selection import order_statistics
 
 # Roles a column can have; features are what remains when the others are dropped.
 ROLES = ("id", "time", "feature", "market", "post_race", "label")
@@ -94,17 +94,29 @@ def top_count(n: int, share: float) -> int:
 
 
 def _cut(df: DataFrame, score: str, keys: Sequence[str], share: float) -> dict | None:
-    """Score and keys of the last row that is still among the top ``share``."""
-    # stored unsorted first: sorting samples its input before it moves it
-    narrow = lay_down(df.select(score, *keys).where(F.col(score).isNotNull()), "scores")
-    k = top_count(narrow.count(), share)
-    return cut_row(narrow, [F.col(score).desc(), *[F.col(c).asc() for c in keys]], k)
+    """Score and keys of the last row that is still among the top ``share``.
+
+    The score is selected, not sorted for. Only rows that tie at it are ordered, and
+    only where some of them stay out.
+    """
+    ((n, found),) = order_statistics(df, [score], lambda n: [n - top_count(n, share)] if top_count(n, share) else [])
+    if not found:
+        return None
+    (at,) = found.values()
+    above, ties = df.where(F.col(score) >= F.lit(at)).agg(
+        F.count(F.when(F.col(score) > F.lit(at), 1)), F.count(F.when(F.col(score) == F.lit(at), 1))
+    ).first()
+    left = top_count(n, share) - above
+    if left == ties:
+        return {score: at}
+    tied = df.where(F.col(score) == F.lit(at)).select(*keys)
+    return {score: at, **cut_row(tied, [F.col(c).asc() for c in keys], left)}
 
 
 def _up_to(cut: dict, score: str, keys: Sequence[str]) -> Column:
     """At or before the cut by score descending, then keys ascending."""
     keep = F.lit(True)
-    for c in reversed(keys):
+    for c in reversed([c for c in keys if c in cut]):
         keep = (F.col(c) < F.lit(cut[c])) | ((F.col(c) == F.lit(cut[c])) & keep)
     at = F.lit(cut[score])
     return (F.col(score) > at) | ((F.col(score) == at) & keep)
@@ -115,9 +127,9 @@ def top_fraction(
 ) -> DataFrame:
     """The best ``ceil(share * n)`` rows by score, ties by key ascending.
 
-    Only score and keys are sorted; the row at the cut then becomes an ordinary
-    filter on the full rows, which are not moved at all. ``df`` is read twice, so
-    store scores whose last digits may change when they are computed again.
+    The row at the cut becomes an ordinary filter on the full rows, which are not
+    moved at all. ``df`` is read several times, so store it when it is expensive or its
+    scores' last digits may change when they are computed again.
     """
     cut = _cut(df, score, keys, share)
     if cut is None:

@@ -8,6 +8,12 @@ from __future__ import annotations
 
 import math
 
+def _ranked(c: str) -> str:
+    """The first 33 binary digits of a column."""
+    spread = f"{c} * CAST(1048577 AS DOUBLE)"
+    return f"({spread} - ({spread} - {c}))"
+
+
 PARTS = {
     "run": """
         SELECT l_orderkey AS race_id, l_extendedprice AS price, l_quantity AS qty,
@@ -56,7 +62,7 @@ PARTS = {
     "gap": """
         SELECT dat.* REPLACE (CASE WHEN gate <> 3 THEN tax END AS tax), split
         FROM dat JOIN spl USING (race_date)""",
-    "two": "SELECT *, round(model, 9) AS score FROM mod",
+    "two": f"SELECT *, {_ranked('model')} AS score FROM mod",
     "cho": """
         SELECT * FROM two WHERE odds BETWEEN 10 AND 50
         QUALIFY row_number() OVER (ORDER BY score DESC, race_id, price)
@@ -267,8 +273,8 @@ ORACLE = {
     ),
     "top_fraction": _with(
         "mkt",
-        """SELECT race_id, price FROM mkt
-           QUALIFY row_number() OVER (ORDER BY round(p, 9) DESC, race_id, price)
+        f"""SELECT race_id, price FROM mkt
+           QUALIFY row_number() OVER (ORDER BY {_ranked('p')} DESC, race_id, price)
                    <= ceil(round(0.1E0 * count(*) OVER (), 9))""",
     ),
     "previous_result": _with("form", f"SELECT hrNo, {_day()}, prev_result FROM form"),

@@ -1,145 +1,32 @@
-"""Exact quantiles of many columns from aggregations alone.
-
-A sketch brackets each wanted order statistic, exact counts place the bracket
-in the ordering, and only the values inside are counted one by one. No column
-is sorted as a whole, and the counted values of a bracket are few: a bracket
-with more than ``HELD`` distinct values is narrowed again first.
-"""
+"""Exact quantiles of many columns."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-ACCURACY = 10_000
-HELD = 200_000
-
 
-@dataclass
-class _Search:
-    """Where the order statistics ``first`` and ``last`` (0-based) of a column lie."""
+from pyspark.sql import DataFrame
 
-    col: str
-    first: int
-    last: int
-    lo: float
-    hi: float
-    below: int
-    inside: int
-    distinct: int
-
-    def within(self) -> Column:
-        c = F.col(self.col)
-        return F.when((c >= F.lit(self.lo)) & (c <= F.lit(self.hi)), c)
+from furlong.scale.selection import HELD, order_statistics
 
 
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], held: int = HELD
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of the non-null values of each column.
+    """Linear-interpolated quantiles of the values of each column, nulls and NaN left out.
 
-    Two passes while a column has at most ``held`` distinct values, two more for
-    each narrowing beyond. ``df`` is read anew by every pass: store it first when
-    it is expensive.
+    All columns and probabilities share the passes over ``df``, see
+    ``order_statistics``; store ``df`` first when it is expensive.
     """
-    work = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    aggs = []
-    for c in cols:
-        aggs += [
-            F.count(c).alias(f"n_{c}"),
-            F.min(c).alias(f"lo_{c}"),
-            F.max(c).alias(f"hi_{c}"),
-            F.approx_count_distinct(c).alias(f"d_{c}"),
-        ]
-    span = work.agg(*aggs).first()
-    search: dict[tuple[str, int], _Search] = {}
-    share: dict[tuple[str, int], float] = {}
-    for c in cols:
-        n = span[f"n_{c}"]
-        for i, p in enumerate(probs if n else ()):
-            at = p * (n - 1)
-            share[c, i] = at - math.floor(at)
-            search[c, i] = _Search(
-                c, math.floor(at), math.ceil(at),
-                span[f"lo_{c}"], span[f"hi_{c}"], 0, n, span[f"d_{c}"],
-            )
-    found: dict[tuple[str, int], tuple[float, float]] = {}
-    while search:
-        ready = {k: s for k, s in search.items() if s.distinct <= held}
-        wide = {k: s for k, s in search.items() if s.distinct > held}
-        if wide:
-            wide, stuck = _narrow(work, wide)
-            ready |= stuck
-        if ready:
-            found |= _pick(work, ready)
-        search = wide
-    out = {}
-    for c in cols:
-        ends = [found.get((c, i)) for i in range(len(probs))]
-        out[c] = [e and e[0] + (e[1] - e[0]) * share[c, i] for i, e in enumerate(ends)]
-    return out
 
+    def ranks(n: int) -> set[int]:
+        return {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)}
 
-def _narrow(work: DataFrame, wide: dict) -> tuple[dict, dict]:
-    """Sketch a smaller bracket for each search and prove it by exact counts.
-
-    Returns the searches with their new brackets, and those no bracket helps.
-    """
-    eps = 4.0 / ACCURACY
-    marks = []
-    for j, s in enumerate(wide.values()):
-        lo_p = max(0.0, (s.first - s.below) / s.inside - eps)
-        hi_p = min(1.0, (s.last - s.below + 1) / s.inside + eps)
-        marks.append(F.percentile_approx(s.within(), [lo_p, hi_p], F.lit(ACCURACY)).alias(f"q{j}"))
-    sketch = work.agg(*marks).first()
-    new = {}
-    checks = []
-    for j, (k, s) in enumerate(wide.items()):
-        new[k] = _Search(s.col, s.first, s.last, *sketch[f"q{j}"], 0, 0, 0)
-        checks += [
-            F.count(F.when(F.col(s.col) < F.lit(new[k].lo), 1)).alias(f"below{j}"),
-            F.count(new[k].within()).alias(f"in{j}"),
-            F.approx_count_distinct(new[k].within()).alias(f"d{j}"),
-        ]
-    placed = work.agg(*checks).first()
-    narrowed, stuck = {}, {}
-    for j, (k, s) in enumerate(wide.items()):
-        n = new[k]
-        n.below, n.inside, n.distinct = placed[f"below{j}"], placed[f"in{j}"], placed[f"d{j}"]
-        holds = n.below <= n.first and n.last < n.below + n.inside
-        if holds and (n.lo, n.hi) != (s.lo, s.hi):
-            narrowed[k] = n
-        else:
-            stuck[k] = s
-    return narrowed, stuck
-
-
-def _pick(work: DataFrame, ready: dict) -> dict:
-    """Count the values inside the brackets and read off the order statistics."""
-    inside = [s.within() for s in ready.values()]
-    some = reduce(lambda a, b: a | b, [c.isNotNull() for c in inside])
-    pairs = F.array(
-        *[F.struct(F.lit(j).alias("id"), c.alias("value")) for j, c in enumerate(inside)]
-    )
-    counted = (
-        work.where(some)
-        .select(F.explode(pairs).alias("s"))
-        .select("s.id", "s.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("id", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("id").orderBy("value")
-    running = counted.withColumn("upto", F.sum("n").over(upto))
-    picks = []
-    for j, s in enumerate(ready.values()):
-        for end, at in (("a", s.first), ("b", s.last)):
-            hit = (F.col("id") == j) & (F.col("upto") > at - s.below)
-            picks.append(F.min(F.when(hit, F.col("value"))).alias(f"{end}{j}"))
-    got = running.agg(*picks).first()
-    return {k: (got[f"a{j}"], got[f"b{j}"]) for j, k in enumerate(ready)}
+    out: dict[str, list[float | None]] = {}
+    for c, (n, found) in zip(cols, order_statistics(df, cols, ranks, held), strict=True):
+        out[c] = []
+        for p in probs:
+            at = p * (n - 1)
+            low = math.floor(at)
+            out[c].append(found[low] + (found[math.ceil(at)] - found[low]) * (at - low) if n else None)
+    return out
