@@ -287,7 +287,7 @@ def drop_collinear(spark, sf):
 
 @query
 def venue_entries(spark, sf):
-    return select.filter_venue(t.venue_entries(spark, sf), "ASIA").select(*t.KEYS, "venue", day())
+    return select.filter_venue(t.venue_entries(spark, sf, "ASIA"), "ASIA").select(*t.KEYS, "venue", day())
 
 
 @query

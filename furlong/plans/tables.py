@@ -247,14 +247,16 @@ FEATURE_ROLES = {
 }
 
 
-def venues(spark: SparkSession, sf: str) -> DataFrame:
-    """Venue name of every race: region of the customer of the order."""
+def venues(spark: SparkSession, sf: str, venue: str | None = None) -> DataFrame:
+    """Venue name of every race, or of one venue's: region of the customer of the order."""
     nation = table(spark, sf, "nation").select(
         F.col("n_nationkey").alias("nationkey"), F.col("n_regionkey").alias("regionkey")
     )
     region = table(spark, sf, "region").select(
         F.col("r_regionkey").alias("regionkey"), F.col("r_name").alias("venue")
     )
+    if venue is not None:
+        region = region.where(F.col("venue") == venue)
     customer = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nationkey")
     )
@@ -265,10 +267,7 @@ def venues(spark: SparkSession, sf: str) -> DataFrame:
 
 def venue_entries(spark: SparkSession, sf: str, venue: str | None = None) -> DataFrame:
     """Runners with date and venue, of all venues or of one."""
-    where = venues(spark, sf)
-    if venue is not None:
-        where = where.where(F.col("venue") == venue)
-    return join_lookup(runners(spark, sf), where, "race_id", "inner", hot_races(spark, sf))
+    return join_lookup(runners(spark, sf), venues(spark, sf, venue), "race_id", "inner", hot_races(spark, sf))
 
 
 def training_log(spark: SparkSession, sf: str) -> DataFrame:

@@ -152,6 +152,23 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, cond, how).drop(*[f"{k}__g" for k in keys])
 
 
+def once_per_key(lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``lookup`` with a whole key; reading a key that it repeats fails.
+
+    The count is a window on the key, so a sort-merge join on that key shares its
+    shuffle and its sort, and nothing runs before the join does. Filters on other
+    columns do not pass the check: filter the lookup first.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    name = "_n"
+    while name in lookup.columns:
+        name += "_"
+    single = F.when(F.col(name) == 1, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"the lookup table repeats its key {list(keys)}")).cast("boolean")
+    )
+    return lookup.dropna("any", subset=list(keys)).withColumn(name, n).where(single).drop(name)
+
+
 def join_lookup(
     left: DataFrame,
     right: DataFrame,
@@ -161,16 +178,14 @@ def join_lookup(
 ) -> DataFrame:
     """Join ``left`` to a table with one row per key.
 
-    A lookup that repeats a key is refused, whether the key is hot or not. Spark
-    picks broadcast or sort-merge for the bulk. Rows of a hot key meet a
-    broadcast of the matching lookup rows, which are as few as there are hot keys.
+    A lookup that repeats a key is refused when the result is computed, whether the key
+    is hot or not. Spark picks broadcast or sort-merge for the bulk. Rows of a hot key
+    meet a broadcast of the matching lookup rows, which are as few as there are hot keys.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"a lookup joins left or inner, not {how!r}")
     keys = [keys] if isinstance(keys, str) else list(keys)
-    repeated = right.dropna("any", subset=keys).groupBy(*keys).count().where(F.col("count") > 1)
-    if repeated.limit(1).count():
-        raise ValueError(f"the lookup table repeats its key {keys}")
+    right = once_per_key(right, keys)
     if hot is None:
         hot = hot_keys(left, keys)
     if not hot:

@@ -5,6 +5,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from furlong.operators import joins, metrics, preprocess, strategy
+from furlong.scale import skew
 from furlong.sources import entries as io
 
 
@@ -12,12 +13,30 @@ from furlong.sources import entries as io
 def test_a_lookup_that_repeats_its_key_is_refused_at_any_size(spark, all_hot, rows):
     runners = spark.createDataFrame([("a", i) for i in range(rows)], "hrNo string, i int")
     lookup = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "hrNo string, x int")
-    with pytest.raises(ValueError, match="repeats its key"):
-        joins.join_entity(runners, lookup, "hrNo")
+    with pytest.raises(PySparkException, match="repeats its key"):
+        joins.join_entity(runners, lookup, "hrNo").collect()
     alone = lookup.where("x <> 2").unionByName(spark.createDataFrame([(None, 1), (None, 2)], "hrNo string, x int"))
     assert joins.join_entity(runners, alone, "hrNo").count() == rows
 
 
+def test_a_lookup_is_checked_in_the_join_itself(spark):
+    """Nothing runs before the result is asked for, and the check shares the join's shuffle."""
+    runners = spark.range(1000).selectExpr("cast(id % 50 as string) AS hrNo", "id")
+    lookup = spark.range(50).selectExpr("cast(id as string) AS hrNo", "id AS _n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        skew.hot_keys(runners, "hrNo")  # remembered by plan
+        spark.sparkContext.setJobGroup("lookup", "")
+        joined = joins.join_entity(runners, lookup, "hrNo")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lookup")
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in text
+        assert joined.columns == ["hrNo", "id", "_n"] and joined.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_a_version_is_read_with_its_own_columns(spark, tmp_path):
     base = str(tmp_path / "versions")
     for version, column in (("v1_base", "a"), ("v2_standard", "zz")):
