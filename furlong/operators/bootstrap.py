@@ -2,15 +2,18 @@
 
 Every race draws a Poisson(1) weight per replicate from an md5 digest (D10).
 The draws need no shared random state, so tasks can be rerun anywhere and give
-the same replicates. One digest serves four replicates, and replicate sums are
-combined before the shuffle: what moves is one row per task and block.
+the same replicates. One digest serves four replicates. A race's weights are a
+vector; a task sums vectors and moves one row per replicate.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from furlong.operators.metrics import beside, race_table
 from furlong.scale.storage import lay_down
 
 DRAWS = 4
-_HEX = 8
+_SLAB = 64  # units whose weights are held at once
 
 
 def poisson_limits() -> list[str]:
@@ -35,14 +38,33 @@ def poisson_limits() -> list[str]:
         mass /= k
 
 
-def _weight(digest: Column, draw: int) -> Column:
-    """Poisson(1) weight of one draw; fixed-width hex compares like the number."""
-    part = F.substring(digest, 1 + draw * _HEX, _HEX)
-    limits = poisson_limits()
-    out = F.lit(len(limits))
-    for weight, limit in reversed(list(enumerate(limits))):
-        out = F.when(part < F.lit(limit), F.lit(weight)).otherwise(out)
-    return out
+def _weighted_sums(names: Sequence[str], count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task code: the sums of all replicates over a task's units, as ``count`` rows.
+
+    Returned from a function so that Spark ships it whole: executors need numpy and
+    pyarrow, but not this package.
+    """
+    blocks = math.ceil(count / DRAWS)
+    limits = np.array([int(x, 16) for x in poisson_limits()], np.uint32)
+    slab, names = _SLAB, list(names)
+
+    def run(batches):
+        suffixes = [str(b).encode() for b in range(blocks)]
+        total, seen = np.zeros((len(names), blocks * DRAWS)), False
+        for batch in batches:
+            units = batch.column(0).to_pylist()
+            values = [c.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            for start in range(0, len(units), slab):
+                seen = True
+                prefixes = [b"" if u is None else f"{u}:".encode() for u in units[start : start + slab]]
+                drawn = b"".join([md5(u + x).digest() for u in prefixes for x in suffixes])
+                weights = np.searchsorted(limits, np.frombuffer(drawn, ">u4").reshape(len(prefixes), -1), side="right")
+                total += np.stack([v[start : start + slab] for v in values]) @ weights
+        if seen:
+            columns = [pa.array(np.arange(count)), *(pa.array(row[:count]) for row in total)]
+            yield pa.RecordBatch.from_arrays(columns, ["replicate", *names])
+
+    return run
 
 
 def replicates(
@@ -51,36 +73,13 @@ def replicates(
     """Weighted sums of ``sums`` per replicate, from one row per unit.
 
     Replicate ``b`` of a unit uses draw ``b % 4`` of the digest of
-    ``"<unit>:<b // 4>"``.
+    ``"<unit>:<b // 4>"``. Units are not moved and make no rows: a task hands on
+    ``count`` sums of each column.
     """
-    blocks = math.ceil(count / DRAWS)
-    # units are few bytes but much work: keep adaptive execution from merging them
-    width = int(per_unit.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = per_unit.repartition(width, unit).select(
-        unit, *sums, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    ).withColumn("_digest", F.md5(F.concat_ws(":", F.col(unit).cast("string"), F.col("block"))))
-    weighted = drawn.select(
-        "block", *sums, *[_weight(F.col("_digest"), j).alias(f"_w{j}") for j in range(DRAWS)]
-    )
-    wide = weighted.groupBy("block").agg(
-        *[
-            F.sum(F.col(f"_w{j}") * F.col(c)).alias(f"{c}_{j}")
-            for j in range(DRAWS)
-            for c in sums
-        ]
-    )
-    rows = [
-        F.struct(
-            (F.col("block") * DRAWS + j).cast("bigint").alias("replicate"),
-            *[F.col(f"{c}_{j}").alias(c) for c in sums],
-        )
-        for j in range(DRAWS)
-    ]
-    return (
-        wide.select(F.explode(F.array(*rows)).alias("r"))
-        .select("r.*")
-        .where(F.col("replicate") < count)
-    )
+    rows = per_unit.select(F.col(unit).cast("string").alias("_unit"), *sums)
+    schema = "replicate long, " + ", ".join(f"`{c}` double" for c in sums)
+    drawn = rows.mapInArrow(_weighted_sums(sums, count), schema)
+    return drawn.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def bootstrap_ci(

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from furlong import settings
 from furlong.operators.metrics import metric_rows, race_table, roc_auc
-from furlong.operators.select import check_features
-from furlong.operators.split import assert_unweighted, kfold
+from furlong.operators.select import check_features, roles_of, top_features, with_roles
+from furlong.operators.split import assert_unweighted, check_base_rate, kfold
+from furlong.operators.strategy import feature_correlation
 from furlong.scale.storage import lay_down
 
 SEED = 7
@@ -84,17 +85,28 @@ def fit(
     roles: Mapping[str, str] | None = None,
     allow_market: bool = False,
 ) -> PipelineModel:
-    """Fit one learner; leaking features and class weights are refused."""
-    if roles is not None:
-        check_features(features, roles, allow_market)
+    """Fit one learner.
+
+    Refused are columns that nobody called a feature, by ``roles`` or by the role the
+    column carries; class weights; and training sets that were resampled since their
+    base rate was recorded. Rows without a label do not train; the model's
+    ``null_labels`` says how many there were.
+    """
+    check_features(features, {**roles_of(train), **(roles or {})}, allow_market)
     stages = LEARNERS[learner](label)
     for stage in stages:
         assert_unweighted(stage)
-    data = train.select(
+    check_base_rate(train)
+    rows, labelled = train.agg(F.count(F.lit(1)), F.count(label)).first()
+    if not labelled:
+        raise ValueError(f"no row has a label in {label}")
+    data = train.where(F.col(label).isNotNull()).select(
         *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label)
     )
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[assembler, *stages]).fit(data)
+    model = Pipeline(stages=[assembler, *stages]).fit(data)
+    model.null_labels = rows - labelled
+    return model
 
 
 def score(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
@@ -140,15 +152,17 @@ def out_of_fold(
     name: str,
     folds: int = settings.FOLDS,
     race: str = "race_id",
+    roles: Mapping[str, str] | None = None,
+    allow_market: bool = False,
 ) -> DataFrame:
-    """``train`` plus a score from models that never saw the row's race."""
+    """``train`` plus a score from models that never saw the row's race; the score is a feature."""
     parts = kfold(train, folds, race, "_fold")
     out = None
     for fold in range(folds):
-        model = fit(parts.where(F.col("_fold") != fold), features, label, learner)
+        model = fit(parts.where(F.col("_fold") != fold), features, label, learner, roles, allow_market)
         scored = score(model, parts.where(F.col("_fold") == fold), name)
         out = scored if out is None else out.unionByName(scored)
-    return out.drop("_fold")
+    return with_roles(out.drop("_fold"), {name: "feature"})
 
 
 def cross_validate(
@@ -158,12 +172,14 @@ def cross_validate(
     learner: str,
     folds: int = settings.FOLDS,
     race: str = "race_id",
+    roles: Mapping[str, str] | None = None,
+    allow_market: bool = False,
 ) -> DataFrame:
     """AUC of every fold; for tuning only, the folds are not ordered in time."""
     parts = kfold(train, folds, race, "_fold")
     out = None
     for fold in range(folds):
-        model = fit(parts.where(F.col("_fold") != fold), features, label, learner)
+        model = fit(parts.where(F.col("_fold") != fold), features, label, learner, roles, allow_market)
         held = score(model, parts.where(F.col("_fold") == fold), "_p")
         row = roc_auc(held, "_p", label).select(F.lit(fold).alias("fold"), "auc")
         out = row if out is None else out.unionByName(row)
@@ -178,9 +194,38 @@ def two_stage(
     first: str = "random_forest",
     second: str = "logistic",
     folds: int = settings.FOLDS,
+    roles: Mapping[str, str] | None = None,
+    allow_market: bool = False,
 ) -> DataFrame:
     """A first model's out-of-fold score becomes a feature of a second model."""
-    inner = lay_down(out_of_fold(train, features, label, first, "stage1", folds), "stage1")
-    combined = fit(inner, [*features, "stage1"], label, second)
-    whole = fit(train, features, label, first)
+    guard = (roles, allow_market)
+    inner = out_of_fold(train, features, label, first, "stage1", folds, roles=roles, allow_market=allow_market)
+    combined = fit(lay_down(inner, "stage1"), [*features, "stage1"], label, second, *guard)
+    whole = fit(train, features, label, first, *guard)
     return score(combined, score(whole, df, "stage1"), "p")
+
+
+def feature_counts(
+    train: DataFrame,
+    test: DataFrame,
+    features: Sequence[str],
+    counts: Sequence[int],
+    label: str = "win",
+    learner: str = "logistic",
+    roles: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """(k, features, auc): models of the ``k`` best features, scored on ``test``.
+
+    Features are ranked by their correlation with the label in ``train`` alone, so the
+    sets are nested and ``test`` has no say in them.
+    """
+    ranked = feature_correlation(train, features, label).where(F.col("score").isNotNull())
+    order = [r["feature"] for r in top_features(ranked, len(features)).collect()]
+    out = None
+    for k in counts:
+        scored = lay_down(score(fit(train, order[:k], label, learner, roles), test).select(label, "p"), "feature-count")
+        row = roc_auc(scored, "p", label).select(
+            F.lit(len(order[:k])).cast("long").alias("k"), F.lit(" ".join(sorted(order[:k]))).alias("features"), "auc"
+        )
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -6,9 +6,10 @@ driver and go into the plan as literals, so applying them is a projection.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -79,15 +80,52 @@ def standardize(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFra
 # -- collinearity ----------------------------------------------------------
 
 
+def _co_moments(names: Sequence[str], centre: Sequence[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task code: co-moments of every pair over the rows that have both, from masked matrix products."""
+    names, centre = list(names), np.array(centre)
+    first, second = np.triu_indices(len(names), 1)
+
+    def run(batches):
+        p = len(names)
+        both, own, squares, cross = (np.zeros((p, p)) for _ in range(4))
+        for batch in batches:
+            x = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - centre
+            known = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float)
+            x = np.where(known > 0, x, 0.0)
+            both += known.T @ known
+            own += x.T @ known  # sum of a where b is known
+            squares += (x * x).T @ known
+            cross += x.T @ x
+        parts = {"n": both, "sa": own, "sb": own.T, "saa": squares, "sbb": squares.T, "sab": cross}
+        columns = {"a": first.astype(np.int32), "b": second.astype(np.int32)}
+        yield pa.RecordBatch.from_pydict(columns | {k: m[first, second] for k, m in parts.items()})
+
+    return run
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair, as rows, from one pass over the data."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    wide = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    """Pearson correlation of every pair, as rows, each over the rows that have both values.
+
+    One pass for the means, against which sums are taken, and one for the co-moments:
+    a task hands on one short row a pair, whatever its rows. Null where a pair has
+    no two values or one of them does not vary.
+    """
+    cols = list(cols)
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    means = values.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    sums = ("n", "sa", "sb", "saa", "sbb", "sab")
+    parts = values.mapInArrow(
+        _co_moments(cols, list(means)), "a int, b int, " + ", ".join(f"{c} double" for c in sums)
+    )
+    total = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums])
+    spread = [F.col(f"s{x}{x}") - F.try_divide(F.col(f"s{x}") * F.col(f"s{x}"), F.col("n")) for x in "ab"]
+    # what is left of a constant's squares is rounding
+    varies = [v > 1e-14 * F.col(f"s{x}{x}") for v, x in zip(spread, "ab", strict=True)]
+    r = (F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), F.col("n"))) / F.sqrt(spread[0] * spread[1])
+    names = F.array(*[F.lit(c) for c in cols])
+    return total.select(
+        names[F.col("a")].alias("col_a"), names[F.col("b")].alias("col_b"), F.when(varies[0] & varies[1], r).alias("r")
+    )
 
 
 def correlation(df: DataFrame, cols: Sequence[str]) -> np.ndarray:

@@ -24,6 +24,26 @@ def columns_with(roles: Mapping[str, str], *wanted: str) -> list[str]:
     return [c for c, r in roles.items() if r in wanted]
 
 
+# Where a column's role is kept in its metadata; it outlives projections, joins and parquet files.
+_ROLE = "furlong.role"
+
+
+def with_roles(df: DataFrame, roles: Mapping[str, str]) -> DataFrame:
+    """``df`` whose columns carry their roles; columns computed from others carry none."""
+    columns_with(roles)
+    return df.select(
+        *[
+            F.col(f"`{f.name}`").alias(f.name, metadata={**f.metadata, _ROLE: roles[f.name]}) if f.name in roles else F.col(f"`{f.name}`")
+            for f in df.schema
+        ]
+    )
+
+
+def roles_of(df: DataFrame) -> dict[str, str]:
+    """The roles that columns carry."""
+    return {f.name: f.metadata[_ROLE] for f in df.schema if _ROLE in f.metadata}
+
+
 def drop_post_race(df: DataFrame, roles: Mapping[str, str]) -> DataFrame:
     """Drop results and everything else known only after the race."""
     return df.drop(*columns_with(roles, "post_race"))

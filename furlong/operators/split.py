@@ -89,6 +89,45 @@ def assert_unweighted(estimator=None, train: DataFrame | None = None, source: Da
             raise ValueError(f"base rate {a} of the training set differs from {b} of its source")
 
 
+_RATE, _ROWS = "furlong.base_rate", "furlong.rows"
+# How many standard deviations a part may be off the base rate of the set it is from.
+_RATE_SLACK = 5.0
+
+
+def record_base_rate(df: DataFrame, y: str = "win", of: DataFrame | None = None) -> DataFrame:
+    """``df`` whose label carries its base rate and number of rows, those of ``of`` where given.
+
+    ``fit`` holds every training set that has the column against them.
+    """
+    rate, n = (df if of is None else of).agg(F.avg(y), F.count(y)).first()
+    if not n:
+        return df
+    field = df.schema[y]
+    return df.withMetadata(y, {**field.metadata, _RATE: float(rate), _ROWS: int(n)})
+
+
+def check_base_rate(df: DataFrame) -> None:
+    """Refuse a table whose recorded base rates it does not have: it was resampled.
+
+    Parts of the recorded set may differ as random parts do; more rows than the set may not be.
+    """
+    labels = [f for f in df.schema if _RATE in f.metadata]
+    if not labels:
+        return
+    seen = df.agg(*[e for f in labels for e in (F.avg(f.name), F.count(f.name))]).first()
+    for i, f in enumerate(labels):
+        rate, n = seen[2 * i : 2 * i + 2]
+        base, rows = f.metadata[_RATE], f.metadata[_ROWS]
+        if not n:
+            continue
+        left_out = max(0.0, 1 - n / rows)
+        slack = _RATE_SLACK * (base * (1 - base) / n * left_out) ** 0.5 + 1e-9
+        if n > rows or abs(rate - base) > slack:
+            raise ValueError(
+                f"{n} rows with a base rate of {rate} in {f.name}, but its source has {rows} rows and {base}: resampled"
+            )
+
+
 def score_once(
     ledger: str, holdout_id: str, model: str, holdout: DataFrame, evaluate
 ) -> DataFrame:

@@ -133,9 +133,17 @@ def profile_by_type(
 # -- what drives a label ---------------------------------------------------
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows with both values; null where one of them does not vary."""
+    a, b = a.cast("double"), b.cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def feature_correlation(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
     """Correlation of each feature with the label, one row per feature, one pass."""
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(y).cast("double")).alias(c) for c in cols])
+    wide = df.agg(*[_corr(F.col(c), F.col(y)).alias(c) for c in cols])
     rows = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("score")) for c in cols]
     return wide.select(F.explode(F.array(*rows)).alias("f")).select("f.*")
 

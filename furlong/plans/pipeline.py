@@ -16,6 +16,7 @@ from furlong import settings
 from furlong.operators import (
     bootstrap,
     calibration,
+    joins,
     metrics,
     models,
     preprocess,
@@ -56,7 +57,8 @@ def prepare(
     used = list(features)
     if max_vif is not None:
         used = preprocess.drop_collinear(rows.where("split = 'train'"), used, max_vif)
-    preprocess.build_versions(rows.select(*CARRIED, *used, "split"), base, used)
+    versions = split.record_base_rate(rows.select(*CARRIED, *used, "split"), of=rows.where("split = 'train'"))
+    preprocess.build_versions(versions, base, used)
     return used
 
 
@@ -87,10 +89,10 @@ def against_market(
     model = models.fit(parts["train"], features, "win", learner, roles)
 
     def probabilities(df: DataFrame) -> DataFrame:
-        scored = models.score(model, df.select(*CARRIED, *features), "score")
-        both = race.race_normalize(
-            race.market_prob(scored, "winOdds", "market"), "score", "model"
-        )
+        scored = models.score(model, df.select(*ENTRY_KEYS, *features), "score")
+        model_side = race.race_normalize(scored, "score", "model").select(*ENTRY_KEYS, "model")
+        market_side = race.market_prob(df.select(*ENTRY_KEYS, "winOdds"), "winOdds", "market")
+        both = joins.align(model_side, market_side, df.select(*ENTRY_KEYS, "win"), ENTRY_KEYS)
         cols = [*ENTRY_KEYS, "winOdds", "win", "market", "model"]
         return lay_down(both.select(*cols), "probabilities")
 

@@ -609,20 +609,22 @@ def _model_table(spark, sf):
         rows = split.label_split(t.features(spark, sf), cuts)
         rows = strategy.upset_label(rows)
         cols = [*t.KEYS, "race_date", "split", "win", "upset", *t.FORM_FEATURES, *t.MARKET_FEATURES]
-        _prepared[key] = lay_down(rows.select(*cols), "features")
+        rows = select.with_roles(rows.select(*cols), {c: t.FEATURE_ROLES[c] for c in cols if c in t.FEATURE_ROLES})
+        _prepared[key] = lay_down(rows, "features")
     return _prepared[key]
 
 
 def _parts(spark, sf):
     rows = _model_table(spark, sf)
-    return _train(rows), rows.where(F.col("split") == "test")
+    train = split.record_base_rate(_train(rows))
+    return train, rows.where(F.col("split") == "test")
 
 
 def _fitted(spark, sf, learner, label="win", allow_market=False):
     """A fitted model, its features, and its stored test predictions."""
     train, test = _parts(spark, sf)
     features = [*t.FORM_FEATURES, *(t.MARKET_FEATURES if allow_market else ())]
-    model = models.fit(train, features, label, learner, t.FEATURE_ROLES, allow_market)
+    model = models.fit(train, features, label, learner, allow_market=allow_market)
     return model, features, _predictions(models.score(model, test))
 
 
@@ -685,12 +687,18 @@ def model_importances(spark, sf):
     return models.importances(model, features)
 
 
+@query
+def model_feature_count(spark, sf):
+    """Whether more features help: AUC of the best two, five and all ten."""
+    train, test = _parts(spark, sf)
+    return models.feature_counts(train, test, t.FORM_FEATURES, (2, 5, len(t.FORM_FEATURES)))
+
+
 @query
 def model_comparison(spark, sf):
     """Six models side by side on the test split."""
-    runs = ["rf", "gbt", "logit", "svm", "two_stage"]
+    runs = ["rf", "gbt", "gbt_wide", "logit", "svm", "two_stage"]
     parts = [QUERIES[f"model_{r}"](spark, sf) for r in runs]
-    parts.append(QUERIES["model_nonmarket"](spark, sf).where(F.col("model") == "features_only"))
     return metrics.leaderboard(parts, ["auc", "log_loss", "top1_rate"])
 
 
@@ -702,7 +710,7 @@ def compare_versions(spark, sf):
 
     def evaluate(name: str, version: DataFrame) -> DataFrame:
         stored = lay_down(version, name)
-        model = models.fit(_train(stored), numeric, "win", "logistic")
+        model = models.fit(_train(stored), numeric, "win", "logistic", t.FEATURE_ROLES)
         scored = models.score(model, stored.where(F.col("split") == "valid"))
         return models.evaluate(_predictions(scored), name, ["price"])
 

@@ -31,11 +31,12 @@ def raw(tmp_path_factory):
                 form = [rng.gauss(0, 1) for _ in range(8)]
                 strength = [2.718 ** (v + rng.gauss(0, 0.5)) for v in form]
                 winner = rng.choices(range(8), strength)[0]
+                horses = rng.sample(range(500), 8)  # a horse runs once in a race
                 for h in range(8):
                     odds = 0.8 * sum(strength) / strength[h]
                     out.writerow([
                         f"{venue}{r:04d}", f"2024-{1 + r // 28:02d}-{1 + r % 28:02d}", venue,
-                        f"{rng.randrange(500):07d}", "001", "002", "003", round(odds, 2),
+                        f"{horses[h]:07d}", "001", "002", "003", round(odds, 2),
                         int(h == winner), "" if rng.random() < 0.05 else round(form[h], 4),
                         rng.randrange(60), round(form[h] * 2 + rng.gauss(0, 0.01), 4),
                         round(rng.random(), 4), round(70 + rng.random(), 2),
