@@ -497,8 +497,10 @@ def compare_strategies(spark, sf):
         "model_above_market": model > market,
         "small_fields": F.col("runners") <= 4,
     }
-    rows = strategy.compare_strategies(t.modelled(spark, sf), rules)
-    best = strategy.strategy_row(_chosen(spark, sf), "band_then_top")
+    table = t.modelled(spark, sf).withColumn("score", ranked_score("model"))
+    table = lay_down(table.select(*t.KEYS, "odds", "win", "market", "model", "runners", "score"), "strategies")
+    rows = strategy.compare_strategies(table, rules)
+    best = strategy.strategy_row(strategy.select_bets(table, "score", t.KEYS), "band_then_top")
     return rows.unionByName(best).select("strategy", "bets", r6("roi"))
 
 

@@ -61,9 +61,12 @@ def test_preparation_keeps_one_venue_and_no_result_columns(spark, base):
 
 def test_win_model_against_the_market(spark, base, tmp_path):
     args = (spark, base[0], str(tmp_path), "last", base[1], ROLES)
-    board = {r["model"]: r for r in pipeline.against_market(*args, learner="logistic", replicates=100).collect()}
-    assert set(board) == {"market", "model", "blend"}
+    board = {r["model"]: r for r in pipeline.against_market(*args, learner="logistic", replicates=100, others=["random_forest"]).collect()}
+    assert set(board) == {"market", "model", "blend", "random_forest"}
     assert all(0.5 < r["auc"] < 1 for r in board.values())
+    gap = read_result(spark, str(tmp_path), "win_gap").first()
+    assert gap["auc_gap"] == pytest.approx(gap["auc_model"] - gap["auc_market"]) and gap["auc_gap"] < 0
+    assert gap["log_loss_market"] == pytest.approx(board["market"]["log_loss"])
     gain = read_result(spark, str(tmp_path), "win_gain").first()
     assert gain["value"] == pytest.approx(board["market"]["log_loss"] - board["blend"]["log_loss"])
     assert gain["lo"] <= gain["value"] <= gain["hi"]
@@ -78,6 +81,34 @@ def test_upset_strategy(spark, base, tmp_path):
     assert out["bets"] == bets.count() > 0 and out["replicates"] == 100
     assert bets.where("winOdds not between 10 and 50").isEmpty()
     assert read_result(spark, str(tmp_path), "upset_lift").first()["value"] is not None
+    drivers = {r["feature"]: r["score"] for r in read_result(spark, str(tmp_path), "upset_drivers").collect()}
+    assert set(drivers) == {*base[1], *pipeline.HISTORY, "winOdds"} and sum(drivers.values()) == pytest.approx(1.0)
+    types = {r["type"]: r for r in read_result(spark, str(tmp_path), "upset_types").collect()}
+    train = spark.read.parquet(base[0]).where("version = 'v1_base' and split = 'train'")
+    assert sum(r["n"] for r in types.values()) == train.where("win = 1 and winOdds >= 10").count()
+    assert types["debut"]["mean_prior_starts"] == 0 and set(types) <= {"debut", "veteran_return", "rookie", "other"}
+    effects = read_result(spark, str(tmp_path), "upset_effects")
+    assert effects.where("feature = 'prior_starts'").agg({"n": "sum"}).first()[0] == train.count()
+
+
+def test_history_is_that_of_strictly_earlier_starts(spark, base):
+    parts = pipeline._read(spark, base[0], "v1_base", "train")
+    full = pipeline.with_history(parts)
+    rows = sorted(full.select("hrNo", "race_date", "win", "split", *pipeline.HISTORY).collect())
+    assert len(rows) == 2400 and {r["split"] for r in rows} == {"train", "valid", "test"}
+    days = {}
+    for r in rows:
+        days.setdefault(r["hrNo"], {}).setdefault(r["race_date"], 0)
+        days[r["hrNo"]][r["race_date"]] += r["win"]
+    for r in rows:
+        before = sorted(d for d in days[r["hrNo"]] if d < r["race_date"])
+        assert r["prior_starts"] == len(before) and r["debut"] == (not before)
+        assert r["rest_days"] == ((r["race_date"] - before[-1]).days if before else 0)
+        assert r["prev_win"] == (days[r["hrNo"]][before[-1]] if before else 0)
+
+
+def test_versions_keep_the_entity_ids(spark, base):
+    assert {"jkNo", "trNo", "owNo"} < set(spark.read.parquet(base[0]).columns)
 
 
 def test_leaking_features_stop_the_preparation(spark, raw, tmp_path):
