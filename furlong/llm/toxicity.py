@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ _KNOWN_WORDS = 400_000
 _EDGES = b".,;:!?\"'()[]{}<>|*#%&$-_"
 # Steps of a word count's logarithm, by which the most counted words are told.
 _LEVELS = 64
+_UNPACKED = 2048  # compressed texts handed on at once
 
 
 class _WordHash(dict):
@@ -303,26 +305,38 @@ def _evidence(rows: DataFrame, model: Model) -> DataFrame:
     return found.select(*kept, mean("_sum").alias("_mean"), mean("_strong_sum").alias("_strong"), "_n")
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column is compressed, with it as it was, some bytes at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for a in range(0, batch.num_rows, _UNPACKED):
+            part = batch.slice(a, _UNPACKED)
+            texts = pa.array([unpack(t.as_py()) for t in part.column(0)], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts, *part.columns[1:]], part.schema.names)
+
+
 def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
     """(model, weights of the curve)."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(text_col).cast("binary").alias("_text"), F.col(id_col).alias("_id"))
     taught_ids = lay_down(learnable(labels, label_col, id_col), "toxic-labels")
-    # texts are moved to their labels; the filter keeps others where they are
+    # texts are moved to their labels, compressed; the filter keeps others where they are
     at = keyfilter.slot(F.xxhash64(F.col("_id")))
     wanted = spark.sparkContext.broadcast(
         keyfilter.build(taught_ids.select(keyfilter.slot(F.xxhash64(F.col("_label_id"))).alias("at")))
     )
 
     def may_teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = wanted.value
+        mask, pack = wanted.value, zstandard.ZstdCompressor().compress
         for batch in batches:
-            yield batch.filter(pa.array(keyfilter.passes(mask, batch.column(2).to_numpy())))
+            few = batch.filter(pa.array(keyfilter.passes(mask, batch.column(2).to_numpy())))
+            packed = pa.array([pack(t.as_py() or b"") for t in few.column(0)], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, *few.columns[1:]], few.schema.names)
 
     few = rows.withColumn("_at", at).mapInArrow(may_teach, f"_text binary, _id {id_type}, _at long")
     digest = F.pmod(F.xxhash64(F.col("_label_id"), F.lit("curve")), F.lit(CURVE_SHARE))
-    taught = lay_down(
+    packed = lay_down(
         few.join(taught_ids, F.col("_id") == F.col("_label_id")).select(
             "_text",
             "_label",
@@ -332,11 +346,12 @@ def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         "toxic-taught",
     )
     # the curve takes whole ids, up to the largest hash it has room for; all others are counted
-    places = taught.where("_place IS NOT NULL").select("_place").distinct()
+    places = packed.where("_place IS NOT NULL").select("_place").distinct()
     last = places.orderBy("_place").limit(CURVE_TEXTS).agg(F.max("_place")).first()[0]
     curve = F.coalesce(F.col("_place") <= F.lit(last).cast("long"), F.lit(False))
-    model = train(taught.where(~curve).select("_text", "_label"))
-    sample = taught.where(curve).select("_text", "_label", "_place")
+    unpacked = lambda rows: rows.mapInArrow(_unpack, rows.schema)
+    model = train(unpacked(packed.where(~curve).select("_text", "_label")))
+    sample = unpacked(packed.where(curve).select("_text", "_label", "_place"))
     measured = _evidence(sample, model)
     # repeated rows of an id are one text to the curve
     known = measured.groupBy("_place", "_label").agg(*[F.avg(c).alias(c) for c in ("_mean", "_strong", "_n")])
