@@ -14,7 +14,7 @@ is joined to the table, once for each distinct text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,9 +47,11 @@ CURVE_SHARE = 5
 CURVE_TEXTS = 50_000
 _KNOWN_WORDS = 400_000
 _EDGES = b".,;:!?\"'()[]{}<>|*#%&$-_"
+_PACKED = "_packed"  # a column of compressed texts
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 # Steps of a word count's logarithm, by which the most counted words are told.
 _LEVELS = 64
-_UNPACKED = 2048  # compressed texts handed on at once
+_UNPACKED = 1 << 25  # bytes of texts taken out of compression at once
 
 
 class _WordHash(dict):
@@ -153,13 +155,33 @@ def _merge_bigrams(found: pa.Table) -> pa.Table:
     return pa.table({"word": words, "toxic": toxic, "ordinary": ordinary, "follows": follows.astype(float)})
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column is compressed, with it as it was, ``_UNPACKED`` bytes or one text at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts: list[bytes] = []
+        size = first = 0
+        for i, t in enumerate(batch.column(0)):
+            texts.append(unpack(t.as_py()))
+            size += len(texts[-1])
+            if size > _UNPACKED or i + 1 == batch.num_rows:
+                part = [pa.array(texts, pa.binary()), *batch.slice(first, len(texts)).columns[1:]]
+                yield pa.RecordBatch.from_arrays(part, batch.schema.names)
+                texts, size, first = [], 0, i + 1
+
+
+def _plain(rows: DataFrame, work: Task) -> Task:
+    """``work`` on rows whose texts may be compressed; their column is then ``_packed``."""
+    return (lambda batches: work(_unpack(batches))) if rows.columns[0] == _PACKED else work
+
+
 def count_words(taught: DataFrame) -> DataFrame:
     """(word, toxic, ordinary, follows): every word of (text binary, label) rows, stored.
 
     ``follows`` is the number of different words it follows in either class.
     """
     packed = taught.mapInArrow(
-        _count, "bucket long, words binary, follows binary, toxic binary, ordinary binary, pairs binary"
+        _plain(taught, _count), "bucket long, words binary, follows binary, toxic binary, ordinary binary, pairs binary"
     )
     merged = packed.groupBy("bucket").applyInArrow(
         _merge_bigrams, "word long, toxic double, ordinary double, follows double"
@@ -279,11 +301,11 @@ def _evidence(rows: DataFrame, model: Model) -> DataFrame:
     kept = rows.columns[1:]
     schema = T.StructType(list(rows.schema.fields[1:]))
     schema = schema.add("_bigrams", "long").add("_sum", "double").add("_strong_sum", "double").add("_n", "long")
-    found = rows.mapInArrow(_terms(model.head), schema.add("_digest", "binary"))
+    found = rows.mapInArrow(_plain(rows, _terms(model.head)), schema.add("_digest", "binary"))
     if model.tail is not None:
         salts = 1 << SALT_BITS  # frequent words and texts meet in this many places
         salted = F.explode(F.array(*map(F.lit, range(salts)))).alias("_salt")
-        others = rows.select("_text").mapInArrow(_others(model.head), "_digest binary, word long, _often long")
+        others = rows.select(rows.columns[0]).mapInArrow(_plain(rows, _others(model.head)), "_digest binary, word long, _often long")
         others = others.dropDuplicates(["_digest", "word"])
         others = others.withColumn("_salt", F.pmod(F.xxhash64("_digest"), F.lit(salts)).cast("int"))
         added = (
@@ -305,16 +327,6 @@ def _evidence(rows: DataFrame, model: Model) -> DataFrame:
     return found.select(*kept, mean("_sum").alias("_mean"), mean("_strong_sum").alias("_strong"), "_n")
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose first column is compressed, with it as it was, some bytes at a time."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for a in range(0, batch.num_rows, _UNPACKED):
-            part = batch.slice(a, _UNPACKED)
-            texts = pa.array([unpack(t.as_py()) for t in part.column(0)], pa.binary())
-            yield pa.RecordBatch.from_arrays([texts, *part.columns[1:]], part.schema.names)
-
-
 def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str):
     """(model, weights of the curve)."""
     spark = docs.sparkSession
@@ -332,13 +344,13 @@ def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         for batch in batches:
             few = batch.filter(pa.array(keyfilter.passes(mask, batch.column(2).to_numpy())))
             packed = pa.array([pack(t.as_py() or b"") for t in few.column(0)], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed, *few.columns[1:]], few.schema.names)
+            yield pa.RecordBatch.from_arrays([packed, *few.columns[1:]], [_PACKED, *few.schema.names[1:]])
 
-    few = rows.withColumn("_at", at).mapInArrow(may_teach, f"_text binary, _id {id_type}, _at long")
+    few = rows.withColumn("_at", at).mapInArrow(may_teach, f"{_PACKED} binary, _id {id_type}, _at long")
     digest = F.pmod(F.xxhash64(F.col("_label_id"), F.lit("curve")), F.lit(CURVE_SHARE))
     packed = lay_down(
         few.join(taught_ids, F.col("_id") == F.col("_label_id")).select(
-            "_text",
+            _PACKED,
             "_label",
             "_label_id",
             F.when(digest == 0, F.xxhash64(F.col("_label_id"), F.lit("sample"))).alias("_place"),
@@ -349,9 +361,8 @@ def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     places = packed.where("_place IS NOT NULL").select("_place").distinct()
     last = places.orderBy("_place").limit(CURVE_TEXTS).agg(F.max("_place")).first()[0]
     curve = F.coalesce(F.col("_place") <= F.lit(last).cast("long"), F.lit(False))
-    unpacked = lambda rows: rows.mapInArrow(_unpack, rows.schema)
-    model = train(unpacked(packed.where(~curve).select("_text", "_label")))
-    sample = unpacked(packed.where(curve).select("_text", "_label", "_place"))
+    model = train(packed.where(~curve).select(_PACKED, "_label"))
+    sample = packed.where(curve).select(_PACKED, "_label", "_place")
     measured = _evidence(sample, model)
     # repeated rows of an id are one text to the curve
     known = measured.groupBy("_place", "_label").agg(*[F.avg(c).alias(c) for c in ("_mean", "_strong", "_n")])
