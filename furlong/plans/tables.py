@@ -131,12 +131,12 @@ def dated_entries(spark: SparkSession, sf: str) -> DataFrame:
     """
     hot = hot_races(spark, sf)
     days = races(spark, sf).select("race_id", "race_date")
-    return _with_pool(join_lookup(runners(spark, sf), days, "race_id", "inner", hot), hot)
+    return _with_pool(join_lookup(runners(spark, sf), days, "race_id", "inner", hot, unique=True), hot)
 
 
 def dated_runners(spark: SparkSession, sf: str) -> DataFrame:
     days = races(spark, sf).select("race_id", "race_date")
-    return join_lookup(runners(spark, sf), days, "race_id", "inner", hot_races(spark, sf))
+    return join_lookup(runners(spark, sf), days, "race_id", "inner", hot_races(spark, sf), unique=True)
 
 
 def finishes(spark: SparkSession, sf: str) -> DataFrame:

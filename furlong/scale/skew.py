@@ -175,17 +175,20 @@ def join_lookup(
     keys: Sequence[str] | str,
     how: str = "left",
     hot: Sequence[int] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Join ``left`` to a table with one row per key.
 
     A lookup that repeats a key is refused when the result is computed, whether the key
-    is hot or not. Spark picks broadcast or sort-merge for the bulk. Rows of a hot key
+    is hot or not. ``unique`` is for a primary key: nothing is checked, and filters on
+    the lookup's other columns reach its scan. Spark picks broadcast or sort-merge for the bulk. Rows of a hot key
     meet a broadcast of the matching lookup rows, which are as few as there are hot keys.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"a lookup joins left or inner, not {how!r}")
     keys = [keys] if isinstance(keys, str) else list(keys)
-    right = once_per_key(right, keys)
+    if not unique:
+        right = once_per_key(right, keys)
     if hot is None:
         hot = hot_keys(left, keys)
     if not hot:
