@@ -68,13 +68,13 @@ def filter_urls(
     Equal lengths: the smaller text in code-point order. Null urls and urls
     without ``://`` have empty host and path and fit no site rule. Rules with no
     whole token are tried on every url. Duplicate pages are judged alike; an
-    empty table gives an empty result.
+    empty table gives an empty result. Other columns are kept, whatever their names.
     """
     spark = pages.sparkSession
     rules = list(dict.fromkeys(rules))
     host, path = split_url(F.col("_url"))
     # a page is judged by its url alone, so each url is judged once
-    urls = pages.select(F.col(url_col).alias("_url")).where("_url IS NOT NULL").distinct()
+    urls = pages.select(F.col(f"`{url_col}`").alias("_url")).where("_url IS NOT NULL").distinct()
     urls = urls.withColumn("_subject", F.concat(host, path))
     words = F.split(F.translate("_subject", _UPPER, _LOWER), "[^a-z0-9]+")
     tokens = urls.select(
@@ -106,17 +106,15 @@ def filter_urls(
     order = F.struct(~F.col("_site"), -F.col("_length"), F.col("_rule"))
     best = fits.groupBy("_url").agg(F.min_by(F.struct("_site", "_rule", "_verdict"), order).alias("_best"))
 
-    host, path = split_url(F.col(url_col))
+    # the caller's columns travel as one, so that none can clash with names used here
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "pattern", "verdict")]
-    return (
-        pages.select(*[F.col(f"`{c}`") for c in keep])
-        .join(best, F.col(url_col) == F.col("_url"), "left")
-        .select(
-            *[F.col(f"`{c}`") for c in keep],
-            host.alias("host"),
-            path.alias("path"),
-            F.when(F.col("_best._site"), F.col("_best._rule")).alias("rule"),
-            F.when(~F.col("_best._site"), F.col("_best._rule")).alias("pattern"),
-            F.coalesce(F.col("_best._verdict"), F.lit(default)).alias("verdict"),
-        )
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_page"), F.col(f"`{url_col}`").alias("_page_url"))
+    host, path = split_url(F.col("_page_url"))
+    return rows.join(best, F.col("_page_url") == F.col("_url"), "left").select(
+        "_page.*",
+        host.alias("host"),
+        path.alias("path"),
+        F.when(F.col("_best._site"), F.col("_best._rule")).alias("rule"),
+        F.when(~F.col("_best._site"), F.col("_best._rule")).alias("pattern"),
+        F.coalesce(F.col("_best._verdict"), F.lit(default)).alias("verdict"),
     )
