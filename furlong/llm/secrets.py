@@ -58,14 +58,15 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
 
     Of NAME=value the value comes before the whole; the name belongs to its context.
     """
-    found, at = [], 0
+    found, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         first, stop = m.span()
-        while at < len(spans) and spans[at][1] + AROUND * 64 < first:
-            at += 1
+        # reach: the last end of all spans that begin before this string ends
+        while at < len(spans) and spans[at][1] < stop:
+            reach, at = max(reach, spans[at][2]), at + 1
         named = [n.end() for n in (p.match(text, first, stop) for p in NAMED) if n]
         for start in dict.fromkeys([*named, first]):
-            if any(s < stop and start < e for _, s, e in spans[at:]):
+            if start < reach:
                 continue
             if SENSITIVE.search(text, max(0, first - REACH), start) is None:
                 continue
@@ -140,7 +141,8 @@ def scan_secrets(
     strings behind a sensitive word whose marginal compressed bytes reach
     ``novelty`` a byte; of NAME=value the value, and the name may hold the word. Null and empty texts have none. Null ids and repeated
     rows are kept as they are; an empty table gives an empty result. Other
-    columns are ignored.
+    columns are ignored, whatever their names. A text's spans are walked once, so
+    time grows in line with its length.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
