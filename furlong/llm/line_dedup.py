@@ -17,13 +17,30 @@ _BLOCKS = (
     r"h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 )
 _TAGS = r"<[^>]*>"
+# A noncharacter that parts "<" from a name where the page never closes what is opened.
+_PART = "￿"
+# What opens, behind the "<", and what closes it.
+_CLOSED = (("!--", "-->"), (r"script\b", r"</script\s*>"), (r"style\b", r"</style\s*>"))
+
+
+def _without_unclosed(text: Column, opens: str, closes: str) -> Column:
+    """``<`` is parted from ``opens`` behind the last ``closes``, where searches for it would all run to the end."""
+    return F.regexp_replace(text, rf"(?is)(\A.*{closes})|(<)(?={opens})", f"$1$2{_PART}")
 
 
 def html_lines(html: Column) -> Column:
-    """Non-empty trimmed lines of a page: one for each block element or line break."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), _UNSEEN, " ")
-    text = F.regexp_replace(F.regexp_replace(text, _BLOCKS, "\n"), _TAGS, "")
-    return F.filter(F.split(text, r"[\x20\x09]*[\r\n]+[\x20\x09\r\n]*"), lambda x: F.trim(x) != "")
+    """Non-empty trimmed lines of a page: one for each block element or line break.
+
+    Comments, scripts, styles and tags that are not closed are text. U+FFFF is left out.
+    """
+    text = F.coalesce(html, F.lit(""))
+    for opens, closes in _CLOSED:
+        text = _without_unclosed(text, opens, closes)
+    text = _without_unclosed(F.regexp_replace(text, _UNSEEN, " "), "", ">")
+    text = F.regexp_replace(F.regexp_replace(text, _BLOCKS, "\n"), _TAGS + r"|(<[^>]*\z)", "$1")
+    # a line's end is looked for from the start of the white space before it only
+    lines = F.split(F.translate(text, _PART, ""), r"(?<![\x20\x09])[\x20\x09]*[\r\n]+[\x20\x09\r\n]*")
+    return F.filter(lines, lambda x: F.trim(x) != "")
 
 
 def site_line_dedup(
@@ -41,7 +58,8 @@ def site_line_dedup(
     however often it repeats the line. Urls without a host are one site, so are
     null urls. Null and empty pages have no lines and an empty text. Repeated
     pages count as often as they occur. An empty table gives an empty result.
-    Other columns are ignored.
+    Other columns are ignored, whatever their names. Time grows in line with a
+    page's length, closed or not, and with its lines.
     """
     host, _ = split_url(F.col(url_col))
     parsed = pages.select(
@@ -73,11 +91,12 @@ def site_line_dedup(
         .agg(F.collect_set("_at").alias("_gone"))
     )
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    stays = F.filter("_lines", lambda line, i: ~F.array_contains(gone, i))
+    places = F.sequence(F.lit(0), F.size("_lines") - 1)
+    stays = F.when(F.size("_lines") > 0, F.array_except(places, gone)).otherwise(F.array().cast("array<int>"))
     return parsed.join(dropped, F.col("_row") == F.col("_d_row"), "left").select(
         F.col("_id").alias(id_col),
         F.col("_host").alias("host"),
         F.size("_lines").cast("bigint").alias("n_lines"),
         F.size(gone).cast("bigint").alias("n_dropped"),
-        F.concat_ws("\n", F.transform(stays, lambda line: F.trim(line))).alias("text"),
+        F.concat_ws("\n", F.transform(stays, lambda i: F.trim(F.get("_lines", i)))).alias("text"),
     )
