@@ -491,4 +491,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The documents with the smallest id of their component; those without words all stay."""
     found = similar_components(docs, id_col, text_col)
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(lay_down(stay, "one-of-each"), F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    # the caller's columns travel as one, so that none can clash with names used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_id"))
+    kept = rows.join(lay_down(stay, "one-of-each"), F.col("_id").eqNullSafe(F.col("_stay")), "left_semi")
+    return kept.select("_doc.*")

@@ -185,6 +185,9 @@ def _fill(pool: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionByName, picked), gaps
 
 
+ADDED = ("_size", "_source_size", "_target", "_rate", "_copies", "_taken")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -203,14 +206,26 @@ def mix(
     taken and others left out for it in the same way. ``cap`` is a whole number, so no copies exceed it. Empty texts keep
     one copy of no words. Null sources are one source; null ids hash alike, and
     rows that tie keep the order Spark gives them once. An empty table gives an
-    empty result. Input columns named as the added ones are replaced.
+    empty result. Input columns named as the added ones are replaced; all others
+    are kept, whatever their names.
     """
+    keep = [c for c in docs.columns if c not in ADDED]
+    return _mixed(docs, keep, weights, cap, id_col, text_col, source_col).select("_doc.*", *ADDED)
+
+
+def _mixed(
+    docs: DataFrame, keep: Sequence[str], weights: Sequence[float], cap: float, id_col: str, text_col: str, source_col: str
+) -> DataFrame:
+    """(_doc, *ADDED): the columns ``keep`` as one, so that none can clash with names used here."""
     if cap != int(cap):
         raise ValueError("the cap on copies must be a whole number")
-    added = ("_size", "_source_size", "_target", "_rate", "_copies", "_taken")
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    rows = rows.withColumn("_size", word_count(F.col(text_col)))
-    sizes = lay_down(rows.select(F.col(source_col).alias("source"), F.col("_size").alias("size")), "mix-sizes")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"),
+        F.col(id_col).alias("_id"),
+        F.col(source_col).alias("_source"),
+        word_count(F.col(text_col)).alias("_size"),
+    )
+    sizes = lay_down(rows.select(F.col("_source").alias("source"), F.col("_size").alias("size")), "mix-sizes")
     targets = source_targets(sizes, weights, cap)
     dual = multipliers(sizes, targets, cap)
     known = targets.join(dual, targets["source"].eqNullSafe(dual["source"]), "left").select(
@@ -228,16 +243,16 @@ def mix(
         )
     )
     rated = (
-        rows.join(known, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+        rows.join(known, F.col("_source").eqNullSafe(F.col("_mix_source")))
         .withColumn("_rate", rate)
         .withColumn("_floor", F.floor("_rate"))
         .withColumn("_up", F.when(F.col("_size") > 0, F.col("_rate") - F.col("_floor")).otherwise(0.0))
     )
-    hashed = (F.shiftright(F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")), 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
+    hashed = (F.shiftright(F.xxhash64(F.col("_id").cast("string"), F.lit("mix")), 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
     rated = rated.withColumn("_order", F.when(F.col("_up") > 0, hashed / F.col("_up")))
     placed = lay_down(
         rated.orderBy(
-            F.col("_mix_source"), F.col("_order").asc_nulls_last(), F.col(id_col)
+            F.col("_mix_source"), F.col("_order").asc_nulls_last(), F.col("_id")
         ).withColumn("_serial", F.monotonically_increasing_id()),
         "mix-ordered",
     )
@@ -299,11 +314,19 @@ def mix(
         placed.join(extra, F.col("_serial") == F.col("_e_serial"), "left")
         .withColumn("_copies", copies)
         .withColumn("_taken", F.col("_copies") * F.col("_size"))
-        .select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *added)
+        .select("_doc", *ADDED)
     )
 
 
-def take_copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each document as often as the mix takes it, with ``columns`` only."""
-    often = mixed.where("_copies > 0")
-    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+def take_copies(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    cap: float = CAP,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """Each document as often as ``mix`` takes it, with the columns of ``docs``, whatever their names."""
+    mixed = _mixed(docs, docs.columns, weights, cap, id_col, text_col, source_col)
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    return mixed.where("_copies > 0").select("_doc", copy.alias("_copy")).select("_doc.*")

@@ -5,12 +5,20 @@ import re
 import pytest
 
 SMALL = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, _text string, k long, n long, ids string"
+# Names that operators use inside, as columns of the caller.
+INNER = (
+    "_sha _text_sha _stay _keep _ties _digest _norm _word _bits _doc _source _mix_source _serial _floor _up _order "
+    "_size _target _taken _copies _copy _block _lines _spans _near keep_id kept group_size text_sha256 component_id"
+).split()
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, _id string, _text string, k long, n long, "
+    "ids string, " + ", ".join(f"{c} string" for c in INNER)
+)
 LONG = "na und so weiter " * 3000 + "x" * 30_000 + " Ende"
 
 
 def document(i, text, source="src0"):
-    return (i, text, "en", source, len(text or ""), "clash", "clash", 7, 7, "clash")
+    return (i, text, "en", source, len(text or ""), "clash", "clash", 7, 7, "clash", *INNER)
 
 
 @pytest.fixture(scope="session")

@@ -5,7 +5,7 @@ import collections
 import __spark_entry__ as entry
 import corpus_pipeline
 from furlong.llm import pieces
-from llm_support import SMALL, awkward, components_by_force, no_documents  # noqa: F401
+from llm_support import INNER, SMALL, awkward, components_by_force, no_documents  # noqa: F401
 
 
 def test_stages_in_order():
@@ -46,5 +46,9 @@ def test_awkward_documents_pass_all_stages(spark, awkward, no_documents, tmp_pat
     for name, docs in (("awkward", awkward), ("none", no_documents)):
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{name}{i}")
+            columns = docs.columns
             docs = spark.read.parquet(f"{tmp_path}/{name}{i}")
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == columns
+                assert all(r[c] == c for r in docs.select(*INNER).collect() for c in INNER)
         assert docs.count() > 0 or name == "none"

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from llm_support import SMALL, awkward, components_by_force, label_table, no_documents, secrets_by_force, targets_by_force  # noqa: F401
@@ -303,3 +304,20 @@ def test_awkward_rows_pass_every_operator(awkward):
     assert secrets.scan_secrets(awkward).count() == n
     mixed = mixing.mix(awkward).collect()
     assert len(mixed) == n and all(r["_taken"] <= 3 * r["_size"] for r in mixed)
+
+
+def test_spans_of_a_hostile_text_take_seconds():
+    """Some 5 MB where every line has a base span and a candidate."""
+    line = "token=abcdefgh1234 key zq" + "Xk9" * 6 + "\n"
+    text = line * (5_000_000 // len(line))
+    began = time.time()
+    base = secrets.base_spans(text)
+    found = secrets.candidates(text, base)
+    assert time.time() - began < 30
+    assert len(base) == len(found) == text.count("\n")
+
+
+def test_candidates_touch_no_base_span_however_long():
+    text = "token=" + "a1B2" * 10_000 + " password: " + "Zx8/" * 5 + " auth " + "Qw3+" * 5
+    base = secrets.base_spans(text)
+    assert [text[c["start"] : c["stop"]] for c in secrets.candidates(text, base)] == ["Qw3+" * 5]

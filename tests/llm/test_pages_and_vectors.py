@@ -1,7 +1,12 @@
 """URL rules, site lines and neighbours, beside SQL and brute force."""
 
+import random
+import re
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import oracle_check
 from llm_support import SMALL
@@ -36,13 +41,15 @@ URLS = {
 
 
 def test_rules_on_single_urls(spark):
-    rows = [(i, u, "clash", "clash") for i, u in enumerate(URLS)] + [(None, "http://x.com/de/", "", "")] * 2
-    df = spark.createDataFrame(rows, "page_id long, url string, rule string, _url string")
-    got = url_filter.filter_urls(df.drop("_url"), RULES).collect()
+    inner = ("_url", "_subject", "_token", "_regex", "_best", "_page", "_page_url", "_rule")
+    rows = [(i, u, "clash", *inner) for i, u in enumerate(URLS)] + [(None, "http://x.com/de/", "", *inner)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, rule string, " + ", ".join(f"{c} string" for c in inner))
+    got = url_filter.filter_urls(df, RULES).collect()
+    assert all(r[c] == c for r in got for c in inner)
     assert len(got) == len(rows)
     for r in got:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == URLS[r["url"]], r["url"]
-    assert url_filter.filter_urls(df.limit(0).drop("_url"), RULES).count() == 0
+    assert url_filter.filter_urls(df.limit(0), RULES).count() == 0
 
 
 def test_rules_without_whole_tokens_are_tried(spark):
@@ -66,6 +73,35 @@ def test_lines_by_share_of_the_site(spark):
     assert line_dedup.site_line_dedup(df.limit(0)).count() == 0
 
 
+def lines_by_force(html):
+    text = re.sub(line_dedup._TAGS, "", re.sub(line_dedup._BLOCKS, "\n", re.sub(line_dedup._UNSEEN, " ", html)))
+    return [x for x in re.split(r"[\x20\x09]*[\r\n]+[\x20\x09\r\n]*", text) if x.strip(" ")]
+
+
+def test_lines_of_pages_that_close_nothing(spark):
+    rng = random.Random(3)
+    parts = ["<script", "<script>", "</script >", "<!--", "-->", "<!-->", "<style x>", "</style>", "<p", "<p>", "</div", ">", "<", "a", " ", "\t", "\n", "<b>"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    got = df.select("html", line_dedup.html_lines(F.col("html")).alias("lines")).collect()
+    assert [r["lines"] for r in got] == [lines_by_force(r["html"]) for r in got]
+
+
+HOSTILE = ["<script ", "<!-- ", "<style>", "<", "<p ", "</p ", " ", "\t", "<script></script ", "<!-->", "<p>menu</p>"]
+
+
+def test_hostile_pages_take_seconds(spark):
+    """A million characters of each; three pages, so that the lines of the last are dropped."""
+    rows = [(i, "http://a.org/", part * (1_000_000 // len(part))) for i, part in enumerate(HOSTILE)]
+    rows += [(100 + i, "http://b.org/", "".join(f"<p>line {j}</p>" for j in range(60_000))) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    began = time.time()
+    got = {r["page_id"]: r for r in line_dedup.site_line_dedup(df).collect()}
+    assert time.time() - began < 60
+    assert all(got[100 + i]["n_dropped"] == got[100 + i]["n_lines"] == 60_000 for i in range(3))
+    assert got[HOSTILE.index("<p>menu</p>")]["n_dropped"] == 0
+
+
 def test_recall_and_scores(spark):
     got = QUERIES["op7_neighbours"](spark, SMALL).toPandas()
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet").toPandas()
