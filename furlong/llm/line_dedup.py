@@ -34,8 +34,14 @@ def html_lines(html: Column) -> Column:
     Comments, scripts, styles and tags that are not closed are text. U+FFFF is left out.
     """
     text = F.coalesce(html, F.lit(""))
+    # nearly all pages close what they open last, which takes no expression to see
+    low, closed = F.lower(text), text
+    left_open = F.lit(False)
     for opens, closes in _CLOSED:
-        text = _without_unclosed(text, opens, closes)
+        first, last = opens.removesuffix(r"\b"), closes.replace(r"\s*", "")
+        left_open = left_open | F.substring_index(low, last, -1).contains("<" + first)
+        closed = _without_unclosed(closed, opens, closes)
+    text = F.when(left_open, closed).otherwise(text)
     text = _without_unclosed(F.regexp_replace(text, _UNSEEN, " "), "", ">")
     text = F.regexp_replace(F.regexp_replace(text, _BLOCKS, "\n"), _TAGS + r"|(<[^>]*\z)", "$1")
     # a line's end is looked for from the start of the white space before it only
