@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +31,40 @@ def _without_unclosed(text: Column, opens: str, closes: str) -> Column:
     return F.regexp_replace(text, rf"(?is)(\A.*{closes})|(<)(?={opens})", f"$1$2{_PART}")
 
 
+def _with(value: Column, work: Callable[[Column], Column]) -> Column:
+    """``work`` of a value that it names more than once, computed once."""
+    return F.get(F.transform(F.array(value), work), F.lit(0))
+
+
+def _part_unclosed(text: Column) -> Column:
+    """Comments, scripts and styles parted from their ``<`` where nothing closes them; most pages need no search."""
+    closed = text
+    for opens, closes in _CLOSED:
+        closed = _without_unclosed(closed, opens, closes)
+
+    def left_open(low: Column) -> Column:
+        plain = [(o.removesuffix(r"\b"), c.replace(r"\s*", "")) for o, c in _CLOSED]
+        return reduce(Column.__or__, (F.substring_index(low, c, -1).contains("<" + o) for o, c in plain))
+
+    return F.when(_with(F.lower(text), left_open), closed).otherwise(text)
+
+
+def _part_tags(text: Column) -> Column:
+    """``<`` behind the last ``>`` parted from what follows."""
+    hangs = F.substring_index(text, ">", -1).contains("<")
+    return F.when(hangs, _without_unclosed(text, "", ">")).otherwise(text)
+
+
 def html_lines(html: Column) -> Column:
     """Non-empty trimmed lines of a page: one for each block element or line break.
 
     Comments, scripts, styles and tags that are not closed are text. U+FFFF is left out.
     """
-    text = F.coalesce(html, F.lit(""))
-    # nearly all pages close what they open last, which takes no expression to see
-    low, closed = F.lower(text), text
-    left_open = F.lit(False)
-    for opens, closes in _CLOSED:
-        first, last = opens.removesuffix(r"\b"), closes.replace(r"\s*", "")
-        left_open = left_open | F.substring_index(low, last, -1).contains("<" + first)
-        closed = _without_unclosed(closed, opens, closes)
-    text = F.when(left_open, closed).otherwise(text)
-    text = _without_unclosed(F.regexp_replace(text, _UNSEEN, " "), "", ">")
-    text = F.regexp_replace(F.regexp_replace(text, _BLOCKS, "\n"), _TAGS + r"|(<[^>]*\z)", "$1")
+    text = F.regexp_replace(_with(F.coalesce(html, F.lit("")), _part_unclosed), _UNSEEN, " ")
+    text = F.regexp_replace(_with(text, _part_tags), _BLOCKS, "\n")
+    text = F.regexp_replace(text, _TAGS + r"|(<[^>]*\z)", "$1")
     # a line's end is looked for from the start of the white space before it only
-    lines = F.split(F.translate(text, _PART, ""), r"(?<![\x20\x09])[\x20\x09]*[\r\n]+[\x20\x09\r\n]*")
+    lines = F.split(F.replace(text, F.lit(_PART), F.lit("")), r"(?<![\x20\x09])[\x20\x09]*[\r\n]+[\x20\x09\r\n]*")
     return F.filter(lines, lambda x: F.trim(x) != "")
 
 
