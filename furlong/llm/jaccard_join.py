@@ -35,8 +35,10 @@ WHOLE_SHARE = 64
 # Hubs that the sets of a large group meet, one after another, before the rest is
 # compared; each joins components, which saves comparisons and changes no result.
 ROUNDS = 3
-# Words of a set's parity sketch, 64 bits each.
+# Least words of a set's parity sketch, 64 bits each; sets of more than SKETCH * DENSE n-grams have longer ones.
 SKETCH = 8
+# Most n-grams to a word of a sketch.
+DENSE = 32
 # A pair must share one n-gram in its prefixes, and one more for each so many of the overlap it needs.
 STEP = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -62,6 +64,20 @@ def set_key(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes(), seed=len(grams) & 0xFFFFFFFF) - (1 << 63)
 
 
+def parity_sketch(grams: np.ndarray) -> np.ndarray:
+    """A bit for each class of the n-grams' last bits, set where their number is odd.
+
+    An n-gram that one of two sets lacks changes one bit at most. The classes
+    grow with the set, a power of two of words; halves put together by XOR are
+    the sketch of half the length.
+    """
+    words = SKETCH
+    while words * DENSE < len(grams):
+        words *= 2
+    odd = np.bincount((grams & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_size(n: int, least: int = LEAST) -> int:
     """How many first n-grams two similar sets cannot both lack: n - ceil(n * least / 100) + 1."""
     return n - -(-n * least // 100) + 1
@@ -161,11 +177,7 @@ def _common_ngrams(texts: DataFrame, words: int, least: int, bits: int, common:
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Stored (_id, k, n, sketch) of every row, with the set's name and size.
-
-    The sketch has a bit for each hash class of n-grams, set where their number
-    is odd: an n-gram that one of two sets lacks changes one bit at most.
-    """
+    """Stored (_id, k, n, sketch) of every row: the set's name, size and parity sketch."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,10 +185,9 @@ def _named(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
             for grams in _sets(batch, words):
                 keys.append(set_key(grams))
                 sizes.append(len(grams))
-                odd = np.bincount((grams & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-                sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                sketches.append(parity_sketch(grams))
             flat = pa.array(np.concatenate([*sketches, np.empty(0, np.int64)]))
-            at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * SKETCH)
+            at = pa.array(np.cumsum([0, *map(len, sketches)], dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(at, flat)],
                 ["_id", "k", "n", "sketch"],
@@ -375,18 +386,45 @@ def _ordered(a: str, b: str, n_a: str, n_b: str) -> list[Column]:
     return [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in ends]
 
 
+def _brief(sketch: str) -> Column:
+    """The sketch put together to its least length, whatever the set."""
+    word = lambda w: F.aggregate(
+        F.sequence(F.lit(w), F.size(sketch) - 1, F.lit(SKETCH)),
+        F.lit(0).cast("bigint"),
+        lambda so_far, i: so_far.bitwiseXOR(F.get(sketch, i)),
+    )
+    return F.array(*[word(w) for w in range(SKETCH)])
+
+
+def _left_over(n_a: str, n_b: str, apart: Column, least: int) -> Column:
+    """Whether sets that lack ``apart`` n-grams of each other can have the overlap they need."""
+    both = F.col(n_a) + F.col(n_b)
+    return (100 + least) * (both - apart) >= 2 * least * both
+
+
+def _alike(a: str, b: str, least: int) -> Column:
+    """Whether the brief sketches of a pair allow the similarity; tested where groups meet."""
+    differing = [F.bit_count(F.col(f"b_{a}")[i].bitwiseXOR(F.col(f"b_{b}")[i])) for i in range(SKETCH)]
+    return _left_over(f"n_{a}", f"n_{b}", sum(differing[1:], differing[0]), least)
+
+
 def _possible(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The (u, v, n_u, n_v) of such pairs that sketches do not rule out.
+    """The (u, v, n_u, n_v) of such pairs, of sizes that allow the similarity, that sketches do not rule out.
 
-    Bits in which the sketches differ are n-grams that one of the sets lacks, so
-    they must leave the overlap that the similarity asks for.
+    Sets that near in size have sketches of one length, or one twice the other's.
     """
     side = lambda end: sets.select(F.col("k").alias(end), F.col("sketch").alias(f"b_{end}"))
     drawn = pairs.join(side("u"), "u").join(side("v"), "v")
-    both = F.col("n_u") + F.col("n_v")
-    differing = [F.bit_count(F.col("b_u")[i].bitwiseXOR(F.col("b_v")[i])) for i in range(SKETCH)]
-    apart = sum(differing[1:], differing[0])
-    return drawn.where((100 + least) * (both - apart) >= 2 * least * both).select("u", "v", "n_u", "n_v")
+    length = F.least(F.size("b_u"), F.size("b_v"))
+    word = lambda b, i: F.when(F.size(b) == length, F.get(b, i)).otherwise(
+        F.get(b, i).bitwiseXOR(F.get(b, i + length))
+    )
+    apart = F.aggregate(
+        F.sequence(F.lit(0), length - 1),
+        F.lit(0),
+        lambda so_far, i: so_far + F.bit_count(word("b_u", i).bitwiseXOR(word("b_v", i))),
+    )
+    return drawn.where(_left_over("n_u", "n_v", apart, least)).select("u", "v", "n_u", "n_v")
 
 
 def similar_components(
@@ -450,7 +488,8 @@ def similar_components(
         roots = connected(links)
 
     hubs = lay_down(groups.groupBy(F.col("grp").alias("_grp")).agg(F.min("k").alias("hub")), "hubs")
-    marked = groups.join(roots, F.col("k") == F.col("node"), "left").select("grp", "k", "n", "rest", "w", label("k").alias("c"))
+    marked = groups.join(sets.select("k", _brief("sketch").alias("b")), "k").join(roots, F.col("k") == F.col("node"), "left")
+    marked = marked.select("grp", "k", "n", "rest", "w", "b", label("k").alias("c"))
     marked = lay_down(marked, "marked-groups")
     hub_c = hubs.join(roots, F.col("hub") == F.col("node"), "left").select("_grp", label("hub").alias("hub_c"))
     outside = lay_down(
@@ -458,16 +497,20 @@ def similar_components(
         .where("c <> hub_c")
         .select(
             F.col("grp").alias("_grp"), F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"),
-            F.col("c").alias("c_a"), F.lit(True).alias("_out"),
+            F.col("b").alias("b_a"), F.col("c").alias("c_a"), F.lit(True).alias("_out"),
         ),
         "outside-hubs",
     )
     # both ends outside: the smaller one asks; one end outside: that one asks
     both = marked.join(
         outside.select("_grp", F.col("a").alias("_a"), "_out"), (F.col("grp") == F.col("_grp")) & (F.col("k") == F.col("_a")), "left"
-    ).select("grp", "k", F.col("n").alias("n_k"), F.col("rest").alias("rest_k"), "w", "c", F.col("_out").isNotNull().alias("out"))
+    )
+    both = both.select(
+        "grp", "k", F.col("n").alias("n_k"), F.col("rest").alias("rest_k"), F.col("b").alias("b_k"), "w", "c",
+        F.col("_out").isNotNull().alias("out"),
+    )
     cross = both.join(outside, (F.col("grp") == F.col("_grp")) & (F.col("c") != F.col("c_a")))
-    cross = cross.where("NOT out OR a < k").where(_near("a", "k", least))
+    cross = cross.where("NOT out OR a < k").where(_near("a", "k", least)).where(_alike("a", "k", least))
     cross = cross.groupBy(*_ordered("a", "k", "n_a", "n_k")).agg(F.sum("w").alias("s"))
     second = _possible(cross.where(F.col("s") >= _needed(F.col("n_u"), F.col("n_v"), least)[1]), sets, least)
     second = lay_down(second.join(met, ["u", "v"], "left_anti"), "cross-pairs")

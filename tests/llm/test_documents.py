@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from llm_support import SMALL, awkward, components_by_force, label_table, no_documents, secrets_by_force, targets_by_force  # noqa: F401
 from pyspark.sql import functions as F
@@ -78,6 +79,47 @@ def test_large_near_copy_groups_equal_brute_force(spark):
         assert got == want
 
 
+def test_clouds_around_a_text_equal_brute_force(spark):
+    """Copies with few to many edits and of several lengths, so that sketches of two lengths meet."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for length in (40, 262, 300, 520):
+        base = rng.choices(words, k=length)
+        for _ in range(70):
+            text = list(base)
+            for _ in range(rng.randrange(1 + length // 25)):
+                text[rng.randrange(length)] = rng.choice(words)
+            docs.append(" ".join(text[: length - rng.randrange(length // 8)]))
+    rows = list(enumerate(docs))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = {r[0]: r for r in components_by_force(rows)}
+    assert 8 < len({r[2] for r in want.values()}) < 200
+    for common in (3, 1000):
+        got = {r["doc_id"]: tuple(r) for r in jaccard_join.similar_components(df, common=common).collect()}
+        assert got == want
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_do(spark):
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 1400).astype(np.uint64)
+    pairs, sets = [], []
+    for i in range(40):
+        size = int(rng.integers(1, 1300))
+        a, b = (np.unique(rng.choice(pool[: max(size, 2)], size)) for _ in range(2))
+        # the sizes of pairs that can be similar
+        a, b = a[: len(b) * 4 // 3], b[: len(a) * 4 // 3]
+        for k, grams in ((2 * i, a), (2 * i + 1, b)):
+            sets.append((k, [int(x) for x in jaccard_join.parity_sketch(grams)]))
+        pairs.append((2 * i, 2 * i + 1, len(a), len(b), 100 * len(np.intersect1d(a, b)) // len(np.union1d(a, b))))
+    sets = spark.createDataFrame(sets, "k long, sketch array<long>")
+    # the similarity that a pair has must never be ruled out
+    for similar in {p[4] for p in pairs}:
+        some = [p[:4] for p in pairs if p[4] == similar]
+        asked = spark.createDataFrame(some, "u long, v long, n_u long, n_v long")
+        assert jaccard_join._possible(asked, sets, similar).count() == len(some)
+
+
 # -- mixing ------------------------------------------------------------------
 
 
