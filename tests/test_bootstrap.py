@@ -1,6 +1,9 @@
 import hashlib
 import math
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +37,38 @@ def test_replicates_equal_the_definition(spark):
         assert row["x"] == sum(weight(i, b) * (i % 5) for i in range(300))
 
 
+def summed(units, values, count):
+    batch = pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(values, pa.float64())], ["unit", "x"])
+    (out,) = bootstrap._weighted_sums(["x"], count)(iter([batch]))
+    return out.column("x").to_pylist()
+
+
+@pytest.mark.parametrize("count", [1, 41, 405])
+def test_units_of_any_length_draw_by_the_definition(count):
+    units = ["", "0", "x" * 200, "\u00e9\u20ac" * 9, *("a" * n for n in range(48, 60)), *map(str, range(95, 120))]
+    for u in units:
+        assert summed([u], [1.0], count) == [weight(u, b) for b in range(count)]
+    together = [sum(weight(u, b) * i for i, u in enumerate(units)) for b in range(count)]
+    assert summed(units, range(len(units)), count) == together
+
+
+def test_digests_are_not_made_one_by_one():
+    units = [str(x) for x in range(100_000, 106_000)]
+
+    def one_by_one():
+        for u in units:
+            for x in range(250):
+                hashlib.md5(f"{u}:{x}".encode()).digest()
+
+    def seconds(run):
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    summed(units[:10], np.ones(10), 1000)
+    assert seconds(lambda: summed(units, np.ones(len(units)), 1000)) < 0.7 * seconds(one_by_one)
+
+
 def test_layout_does_not_matter(spark):
     a = bootstrap.replicates(units(spark).repartition(7), ["x"], count=9)
     b = bootstrap.replicates(units(spark).coalesce(1), ["x"], count=9)
