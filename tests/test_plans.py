@@ -65,3 +65,35 @@ def test_scans_read_only_what_is_used(plan):
 def test_cut_and_venue_filters_reach_the_scan(plan):
     assert "GreaterThanOrEqual(score" in plan("top_fraction")
     assert "EqualTo(r_name,ASIA)" in plan("venue_entries")
+
+
+@pytest.mark.parametrize("name", ["model_logit", "model_comparison"])
+def test_a_model_query_makes_its_own_table_once(spark, monkeypatch, name):
+    """What a query costs does not depend on the queries before it."""
+    from furlong.plans import queries, tables
+
+    made = []
+
+    class Made(Exception):
+        pass
+
+    def features(spark, sf):
+        made.append(sf)
+        raise Made
+
+    monkeypatch.setattr(tables, "features", features)
+    for n in (1, 2):
+        with pytest.raises(Made):
+            queries.QUERIES[name](spark, SMALL)
+        assert len(made) == n
+
+
+def test_tasks_by_race_and_runner_follow_the_rows(spark, plan, monkeypatch):
+    from furlong.plans import tables
+
+    few = tables.parts(spark, SMALL)
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    rows = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert few == 2 and tables.parts(spark, SMALL) == rows // 200
+    for name in ("previous_result", "entry_history"):
+        assert re.search(rf"hashpartitioning\(hrNo#\d+, {rows // 200}\)", plan(name))
