@@ -97,3 +97,15 @@ def test_tasks_by_race_and_runner_follow_the_rows(spark, plan, monkeypatch):
     assert few == 2 and tables.parts(spark, SMALL) == rows // 200
     for name in ("previous_result", "entry_history"):
         assert re.search(rf"hashpartitioning\(hrNo#\d+, {rows // 200}\)", plan(name))
+
+
+def test_scores_are_joined_in_tasks_that_follow_the_rows(spark, plan, monkeypatch):
+    """Runs of the history and its join to the entries, not only the grouping by race."""
+    from furlong.plans import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    n = spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 200
+    text = plan("positive_return")
+    dealt = re.findall(r"Exchange hashpartitioning\(hrNo#\d+(, race_date#\d+)?, (\d+)\)", text)
+    assert {int(x) for _, x in dealt} == {n}
+    assert [bool(date) for date, _ in dealt].count(False) == 1 and len(dealt) == 3
