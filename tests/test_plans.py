@@ -109,3 +109,32 @@ def test_scores_are_joined_in_tasks_that_follow_the_rows(spark, plan, monkeypatc
     dealt = re.findall(r"Exchange hashpartitioning\(hrNo#\d+(, race_date#\d+)?, (\d+)\)", text)
     assert {int(x) for _, x in dealt} == {n}
     assert [bool(date) for date, _ in dealt].count(False) == 1 and len(dealt) == 3
+
+
+def test_a_comparison_fits_the_forest_once_and_models_side_by_side(spark, monkeypatch):
+    """Once on all of train and once a fold; at most so many fits run at once, and two do."""
+    import threading
+
+    from furlong import settings
+    from furlong.operators import models
+    from furlong.plans import queries
+
+    fit, lock = models.fit, threading.Lock()
+    learners, running, most = [], [0], [0]
+
+    def cheap(train, features, label="win", learner="random_forest", *args, **kw):
+        with lock:
+            learners.append(learner)
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        try:
+            return fit(train, features, label, "logistic", *args, **kw)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(models, "fit", cheap)
+    out = queries.QUERIES["model_comparison"](spark, SMALL)
+    assert learners.count("random_forest") == settings.FOLDS + 1
+    assert most[0] == queries.MODELS_AT_ONCE
+    assert {r["model"] for r in out.select("model").collect()} == {"rf", "gbt", "gbt_wide", "logit", "svm", "two_stage"}
