@@ -4,6 +4,7 @@ All n-grams have one global order: the common ones last, else by hash. Sets that
 are similar enough share an n-gram of their prefixes in that order. Candidate
 pairs are then counted exactly: the order is cut into fragments, each fragment
 counts the overlap of its part of both sets, and the parts are summed per pair.
+Pairs of small sets are one fragment.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ WORDS = 5
 # Similarity in hundredths.
 LEAST = 75
 FRAGMENTS = 8
+# A pair is cut where one of its sets has more n-grams than this.
+UNCUT = 512
 # N-grams in the prefixes of this many sets are common and go last. The number
 # doubles until at most MOST_COMMON are, as those are broadcast.
 COMMON = 8
@@ -300,8 +303,12 @@ def _groups(texts: DataFrame, common, words: int, least: int, bits: int, large:
     return lay_down(rare, "prefix-groups")
 
 
-def _fragments(texts: DataFrame, keys: DataFrame, words: int, fragments: int) -> DataFrame:
-    """Stored (k, part, grams): the sets named in ``keys`` (k), cut by n-gram order; perhaps others."""
+def _fragments(texts: DataFrame, keys: DataFrame, words: int, fragments: int, uncut: int, least: int) -> DataFrame:
+    """Stored (k, part, grams): the sets named in ``keys`` (k), cut by n-gram order; perhaps others.
+
+    Part -1 is the whole set. Sets of up to ``uncut`` n-grams have it; those of which
+    a similar set can have more, and larger ones, are cut.
+    """
     spark = texts.sparkSession
     wanted = spark.sparkContext.broadcast(keyfilter.build(keys.select(keyfilter.slot(F.col("k")).alias("at"))))
     cut_bits = (fragments - 1).bit_length()
@@ -315,7 +322,10 @@ def _fragments(texts: DataFrame, keys: DataFrame, words: int, fragments: int) ->
                 if key in done or not keyfilter.passes(mask, key % (1 << keyfilter.BITS)):
                     continue
                 done.add(key)
-                for part, s in _in_buckets(grams, cut_bits) if cut_bits else [(0, slice(None))]:
+                cuts = [(-1, slice(None))] if len(grams) <= uncut else []
+                if len(grams) * 100 > uncut * least:
+                    cuts += _in_buckets(grams, cut_bits) if cut_bits else [(0, slice(None))]
+                for part, s in cuts:
                     keys.append(key)
                     parts.append(part)
                     blobs.append(grams[s].tobytes())
@@ -328,7 +338,7 @@ def _fragments(texts: DataFrame, keys: DataFrame, words: int, fragments: int) ->
     return lay_down(parts.groupBy("k", "part").agg(F.first("grams").alias("grams")), "fragments")
 
 
-def _overlaps(parts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+def _overlaps(parts: DataFrame, pairs: DataFrame, least: int, uncut: int) -> DataFrame:
     """The (u, v) of ``pairs`` (u, v, n_u, n_v) whose sets are similar enough."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,10 +352,10 @@ def _overlaps(parts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(shared, pa.int64())], ["u", "v", "shared"]
             )
 
-    left = parts.select(F.col("k").alias("u"), "part", F.col("grams").alias("x"))
+    left = parts.select(F.col("k").alias("u"), (F.col("part") < 0).alias("whole"), "part", F.col("grams").alias("x"))
     right = parts.select(F.col("k").alias("v"), F.col("part").alias("part_v"), F.col("grams").alias("y"))
-    light = pairs.select("u", "v")
-    both = light.join(left, "u").join(
+    light = pairs.select("u", "v", (F.greatest("n_u", "n_v") <= uncut).alias("whole"))
+    both = light.join(left, ["u", "whole"]).join(
         right, (light["v"] == right["v"]) & (F.col("part") == F.col("part_v"))
     )
     counted = both.select("u", light["v"], "x", "y").mapInArrow(meet, "u long, v long, shared long")
@@ -436,6 +446,7 @@ def similar_components(
     fragments: int = FRAGMENTS,
     common: int = COMMON,
     most_common: int = MOST_COMMON,
+    uncut: int = UNCUT,
 ) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of ``docs``.
 
@@ -468,7 +479,7 @@ def similar_components(
 
     label = lambda col: F.coalesce(F.col("root"), F.col(col))
     large = lay_down(groups.where("usual").select("grp", "k", "n", "rest"), "large-groups")
-    parts = _fragments(texts, large, words, fragments)
+    parts = _fragments(texts, large, words, fragments, uncut, least)
     no_pairs = sets.where("false").select(F.col("k").alias("u"), F.col("k").alias("v"))
     met, links, roots = no_pairs, no_pairs, no_pairs.toDF("node", "root")
     for turn in range(ROUNDS):
@@ -481,7 +492,7 @@ def similar_components(
         star = star.where(F.col("c") != F.col("c_h")).where(_near("k", "h", least))
         star = star.select(*_ordered("k_h", "k", "n_h", "n_k")).distinct()
         star = lay_down(_possible(star.join(met, ["u", "v"], "left_anti"), sets, least), "hub-pairs")
-        found = lay_down(_overlaps(parts, star, least), "hub-links")
+        found = lay_down(_overlaps(parts, star, least, uncut), "hub-links")
         if not found.limit(1).count():
             break
         met, links = met.unionByName(star.select("u", "v")), links.unionByName(found)
@@ -515,7 +526,8 @@ def similar_components(
     second = _possible(cross.where(F.col("s") >= _needed(F.col("n_u"), F.col("n_v"), least)[1]), sets, least)
     second = lay_down(second.join(met, ["u", "v"], "left_anti"), "cross-pairs")
     ends = second.select(F.explode(F.array("u", "v")).alias("k"))
-    more = lay_down(_overlaps(_fragments(texts, ends, words, fragments), second, least), "cross-links")
+    parts = _fragments(texts, ends, words, fragments, uncut, least)
+    more = lay_down(_overlaps(parts, second, least, uncut), "cross-links")
     if more.limit(1).count():
         roots = connected(links.unionByName(more))
 

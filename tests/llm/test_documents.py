@@ -363,3 +363,29 @@ def test_candidates_touch_no_base_span_however_long():
     text = "token=" + "a1B2" * 10_000 + " password: " + "Zx8/" * 5 + " auth " + "Qw3+" * 5
     base = secrets.base_spans(text)
     assert [text[c["start"] : c["stop"]] for c in secrets.candidates(text, base)] == ["Qw3+" * 5]
+
+
+def test_small_sets_are_compared_whole_and_larger_ones_in_fragments(spark, tmp_path):
+    """Sizes on both sides of the bound and across it give the links brute force gives; small pairs move once."""
+    sizes = [(40, 40), (60, 58), (64, 66), (65, 80), (70, 90), (200, 210)]
+    held, pairs, want = [], [], []
+    for i, (a, b) in enumerate(sizes):
+        for j, n in enumerate((a, b)):
+            words = [f"w{i}_{x}" for x in range(n + 4)]
+            held.append((2 * i + j, " ".join(words)))
+    texts = spark.createDataFrame(held, "doc_id long, text string")
+    named = jaccard_join.lay_down(jaccard_join._named(texts, "doc_id", "text", 5).select("_id", "k", "n"), "named")
+    of = {r["_id"]: (r["k"], r["n"]) for r in named.collect()}
+    for i, (a, b) in enumerate(sizes):
+        (k, n), (m, o) = sorted((of[2 * i], of[2 * i + 1]))
+        pairs.append((k, m, n, o))
+        if 100 * min(a, b) >= 75 * max(a, b):
+            want.append((k, m))
+    asked = spark.createDataFrame(pairs, "u long, v long, n_u long, n_v long")
+    docs = texts.select(jaccard_join.F.col("text").cast("binary").alias("_text"))
+    parts = jaccard_join._fragments(docs, named.select("k"), 5, 8, 64, 75)
+    got = jaccard_join._overlaps(parts, asked, 75, 64)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    rows = {r["k"]: r["count"] for r in parts.groupBy("k").count().collect()}
+    assert all(rows[k] == 1 for k, n in of.values() if n * 100 <= 64 * 75)
+    assert all(rows[k] > 1 for k, n in of.values() if n > 64)
