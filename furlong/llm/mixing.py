@@ -147,9 +147,10 @@ def _fill(pool: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     of_source = F.col("_mix_source").eqNullSafe(F.col("_g_source"))
     columns = ("_serial", "_mix_source", "_could")
-    gaps, picked, turn = lay_down(gaps, "mix-gaps"), [], 0
+    gaps, turn = lay_down(gaps, "mix-gaps"), 0
     pool = lay_down(pool.join(gaps, of_source).where("_could <= _left").select(*columns), "mix-pool")
-    while turn == 0 or pool.limit(1).count():
+    picked = [pool.select("_serial").where(F.lit(False))]
+    while not pool.isEmpty():
         large_first = F.floor(F.log2("_could")) if turn >= ROUNDS_IN_ORDER else F.lit(0).cast("bigint")
         rows = pool.withColumns({"_class": large_first, "_block": F.shiftright("_serial", 33)})
         place = ("_mix_source", "_class", "_block")
@@ -224,8 +225,11 @@ def _mixed(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("_source"),
         word_count(F.col(text_col)).alias("_size"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    sizes = lay_down(rows.select(F.col("_source").alias("source"), F.col("_size").alias("size")), "mix-sizes")
+    # texts are stored here once and stay there: only sizes and orders move
+    rows = lay_down(rows, "mix-rows")
+    sizes = rows.select(F.col("_source").alias("source"), F.col("_size").alias("size"))
     targets = source_targets(sizes, weights, cap)
     dual = multipliers(sizes, targets, cap)
     known = targets.join(dual, targets["source"].eqNullSafe(dual["source"]), "left").select(
@@ -242,25 +246,29 @@ def _mixed(
             F.exp(F.greatest(F.least(F.col("_lambda") * F.col("_size") / F.col("_unit"), F.lit(700.0)), F.lit(-700.0))),
         )
     )
-    rated = (
-        rows.join(known, F.col("_source").eqNullSafe(F.col("_mix_source")))
-        .withColumn("_rate", rate)
-        .withColumn("_floor", F.floor("_rate"))
-        .withColumn("_up", F.when(F.col("_size") > 0, F.col("_rate") - F.col("_floor")).otherwise(0.0))
-    )
     hashed = (F.shiftright(F.xxhash64(F.col("_id").cast("string"), F.lit("mix")), 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
-    rated = rated.withColumn("_order", F.when(F.col("_up") > 0, hashed / F.col("_up")))
-    placed = lay_down(
-        rated.orderBy(
-            F.col("_mix_source"), F.col("_order").asc_nulls_last(), F.col("_id")
-        ).withColumn("_serial", F.monotonically_increasing_id()),
-        "mix-ordered",
-    )
+
+    def rated(part: DataFrame, of_source: DataFrame) -> DataFrame:
+        """``part`` with its source's figures, _rate, _floor and the place in its source's order."""
+        with_rate = (
+            part.join(of_source, F.col("_source").eqNullSafe(F.col("_mix_source")))
+            .withColumn("_rate", rate)
+            .withColumn("_floor", F.floor("_rate"))
+            .withColumn("_up", F.when(F.col("_size") > 0, F.col("_rate") - F.col("_floor")).otherwise(0.0))
+        )
+        order = F.when(F.col("_up") > 0, hashed / F.col("_up"))
+        return with_rate.withColumn("_place", F.when(order.isNotNull(), F.struct(order.alias("order"), "_id", "_row")))
+
     # running words per source: blocks of the stored order, then rows in a block
-    light = placed.select(
-        "_serial", "_mix_source", "_size", "_target", "_floor", F.shiftright("_serial", 33).alias("_block"),
-        F.when(F.col("_order").isNotNull(), F.col("_size")).otherwise(F.lit(0).cast("bigint")).alias("_could"),
-    )
+    light = lay_down(
+        rated(rows.drop("_doc"), known)
+        .orderBy(F.col("_mix_source"), F.col("_place").asc_nulls_last())
+        .select(
+            F.monotonically_increasing_id().alias("_serial"), "_mix_source", "_size", "_target", "_floor", "_place",
+            F.when(F.col("_place").isNotNull(), F.col("_size")).otherwise(F.lit(0).cast("bigint")).alias("_could"),
+        ),
+        "mix-ordered",
+    ).withColumn("_block", F.shiftright("_serial", 33))
     blocks = light.groupBy("_mix_source", "_block").agg(
         F.sum("_could").alias("_words"), F.sum(F.col("_floor") * F.col("_size")).alias("_sure")
     )
@@ -283,7 +291,7 @@ def _mixed(
         .withColumn("_room", F.col("_target") - F.col("_sure"))
         .where("_could > 0")
     )
-    run = lay_down(run.select("_serial", "_mix_source", "_could", "_run", "_room"), "mix-run")
+    run = lay_down(run.select("_serial", "_mix_source", "_could", "_place", "_run", "_room"), "mix-run")
     used = F.coalesce(F.max(F.when(F.col("_run") <= F.col("_room"), F.col("_run"))), F.lit(0))
     gaps = run.groupBy(F.col("_mix_source").alias("_g_source")).agg((F.min("_room") - used).alias("_left"))
     above = run.where("_run > _room").select("_serial", "_mix_source", "_could")
@@ -307,12 +315,24 @@ def _mixed(
     better = lay_down(better.where("_left < _gap").select("_g_source", F.col("_serial").alias("_new")), "mix-better")
     out = run.join(left_out.select((-F.col("_serial")).alias("_serial")), "_serial", "left_semi")
     out = out.join(better, F.col("_mix_source").eqNullSafe(F.col("_g_source"))).select("_serial")
-    extra = taken.join(out, "_serial", "left_anti").unionByName(better.select(F.col("_new").alias("_serial")))
-    extra = extra.select(F.col("_serial").alias("_e_serial"))
-    copies = F.col("_floor") + F.col("_e_serial").isNotNull().cast("bigint")
+    # a source's rows up to its cut are rounded up; of the others, and of those left out
+    # again, there are no more than one document has words, so they are looked up by row
+    cuts = run.where("_run <= _room").groupBy(F.col("_mix_source").alias("_c_source")).agg(F.max("_place").alias("_cut"))
+    cut = lay_down(
+        known.join(cuts, F.col("_mix_source").eqNullSafe(F.col("_c_source")), "left").drop("_c_source"), "mix-cuts"
+    )
+    changes = (
+        fillers.unionByName(better.select(F.col("_new").alias("_serial")))
+        .withColumn("_change", F.lit(1))
+        .unionByName(out.withColumn("_change", F.lit(-1)))
+    )
+    changes = run.join(changes, "_serial").groupBy(F.col("_place._row").alias("_c_row"))
+    changes = lay_down(changes.agg(F.sum("_change").alias("_change")), "mix-changes")
+    up = F.coalesce(F.col("_place") <= F.col("_cut"), F.lit(False)).cast("bigint")
     return (
-        placed.join(extra, F.col("_serial") == F.col("_e_serial"), "left")
-        .withColumn("_copies", copies)
+        rated(rows, cut)
+        .join(changes, F.col("_row") == F.col("_c_row"), "left")
+        .withColumn("_copies", F.col("_floor") + up + F.coalesce("_change", F.lit(0)))
         .withColumn("_taken", F.col("_copies") * F.col("_size"))
         .select("_doc", *ADDED)
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from furlong.llm import exact_dedup, jaccard_join, mixing, pieces, quality, secrets, toxicity
 from furlong.llm.queries import QUERIES
+from furlong.scale.storage import lay_down
 
 
 def norm(text):
@@ -146,6 +147,33 @@ def test_mix_meets_targets_and_caps(spark):
     assert again == {(r["doc_id"], r["_taken"]) for r in got}
 
 
+def test_mix_moves_no_texts(spark, monkeypatch):
+    """Texts are stored where they are read; orders, running sums and choices move sizes alone."""
+    stored = []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, tag):
+        stored.append((tag, df.columns, plan(df)))
+        return lay_down(df, tag)
+
+    monkeypatch.setattr(mixing, "lay_down", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
+    try:
+        df = spark.range(20_000).selectExpr(
+            "id AS doc_id", "repeat('word ', int(1 + id * 37 % 90)) AS text", "concat('s', id % 3) AS source"
+        )
+        mixed = mixing.mix(df)
+        moving = [tag for tag, columns, p in stored if "_doc" in columns and "partitioning(" in p]
+        assert not moving
+        assert "hashpartitioning(" not in plan(mixed) and "rangepartitioning(" not in plan(mixed)
+        got = mixed.groupBy("source").agg(F.sum("_taken").alias("taken"), F.max("_target").alias("target")).collect()
+        assert all(abs(r["taken"] - r["target"]) <= 1 for r in got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_mix_fills_the_room_of_a_giant_document(spark):
     rows = [(i, "w " * (7 + i % 5), "abcd"[i % 4]) for i in range(24_000)]
     rows += [(i, "w " * 20_000, "abcd"[i % 4]) for i in range(24_000, 24_012)]
