@@ -94,7 +94,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, cap: float = CAP) -> DataF
         "mix-dual",
     )
     for _ in range(ITERATIONS):
-        if not state.where("NOT done").limit(1).count():
+        if state.where("NOT done").isEmpty():
             break
         s = state.alias("s")
         x = F.col("size") / F.col("unit")
