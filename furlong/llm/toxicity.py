@@ -51,7 +51,8 @@ _PACKED = "_packed"  # a column of compressed texts
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 # Steps of a word count's logarithm, by which the most counted words are told.
 _LEVELS = 64
-_UNPACKED = 1 << 25  # bytes of texts taken out of compression at once
+# Bytes of texts taken out of compression at once. Counting takes some eight times that, and reused workers keep it.
+_UNPACKED = 1 << 23
 
 
 class _WordHash(dict):

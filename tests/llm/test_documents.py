@@ -7,7 +7,9 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from llm_support import SMALL, awkward, components_by_force, label_table, no_documents, secrets_by_force, targets_by_force  # noqa: F401
 from pyspark.sql import functions as F
 
@@ -283,6 +285,16 @@ def labels_of(docs):
     return learnable(docs, "toxic")
 
 
+def test_few_texts_are_out_of_compression_at_once():
+    texts = [bytes([65 + i % 26]) * (1 << 19) for i in range(40)]
+    pack = zstandard.ZstdCompressor().compress
+    batch = pa.RecordBatch.from_pydict({toxicity._PACKED: [pack(x) for x in texts], "_label": list(range(40))})
+    parts = list(toxicity._unpack(iter([batch])))
+    assert max(sum(map(len, p.column(0).to_pylist())) for p in parts) <= 9 << 20
+    assert [x for p in parts for x in p.column(0).to_pylist()] == texts
+    assert [x for p in parts for x in p.column(1).to_pylist()] == list(range(40))
+
+
 def test_words_that_tasks_do_not_hold_score_alike(spark, monkeypatch):
     rng = random.Random(6)
     texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=30)) for _ in range(300)]
