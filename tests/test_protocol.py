@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from furlong.operators import history, joins, models, preprocess, select, split
 from furlong.plans import tables as t
+from furlong.scale import storage
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -78,6 +79,42 @@ def test_fit_refuses_a_market_feature(spark):
         models.fit(df, ["tax", "odds"], "win", "logistic", t.ROLES)
 
 
+def test_training_reads_a_stored_table_in_small_splits(spark, tmp_path, monkeypatch):
+    rows = spark.range(200_000, numPartitions=2).select(
+        F.rand(3).alias("a"), F.rand(4).alias("b"), (F.col("id") % 2).alias("win")
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    train = spark.read.parquet(str(tmp_path / "rows"))
+    conf, fit = "spark.sql.files.maxPartitionBytes", models.Pipeline.fit
+    before, seen = spark.conf.get(conf), []
+
+    def counted(pipeline, data):
+        seen.append(data.rdd.getNumPartitions())
+        return fit(pipeline, data)
+
+    monkeypatch.setattr(models, "TRAINING_SPLIT", 1 << 18, raising=False)
+    monkeypatch.setattr(models.Pipeline, "fit", counted)
+    models.fit(train, ["a", "b"], roles={"a": "feature", "b": "feature"})
+    assert seen[0] >= 10
+    assert spark.conf.get(conf) == before
+
+
+def test_small_splits_overlap_and_end(spark):
+    conf = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(conf)
+    first, second = storage.small_splits(spark, 1 << 20), storage.small_splits(spark, 1 << 20)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(conf) == str(1 << 20)
+    second.__exit__(None, None, None)
+    assert spark.conf.get(conf) == before
+    with pytest.raises(KeyError), storage.small_splits(spark, 1 << 50):
+        assert spark.conf.get(conf) == before
+        raise KeyError
+    assert spark.conf.get(conf) == before
+
+
 def test_drops_by_role(spark):
     df = t.entries(spark, SMALL)
     kept = select.drop_market(select.drop_post_race(df, t.ROLES), t.ROLES)
