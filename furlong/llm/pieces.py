@@ -28,8 +28,11 @@ SPACE = "▁"
 CHUNK = 16_384
 # Chunks whose matrices are multiplied in one task.
 BLOCK = 64
-_KNOWN_WORDS = 400_000
-_SLICE = 1 << 21
+# Words, pieces and pairs of pieces that a task's tables keep before they begin anew.
+_KNOWN_WORDS = 100_000
+# Code points that are encoded at once; and chunks that are searched at once.
+_SLICE = 1 << 18
+_CHUNKS = 16
 _NO = float("-inf")
 
 
@@ -70,6 +73,8 @@ class Pieces:
     def single(self, piece: str) -> tuple[int, ...] | None:
         """The ids of a piece, or of the bytes of one unknown character; None for other strings."""
         if piece not in self._single:
+            if len(self._single) > _KNOWN_WORDS:
+                self._single.clear()
             own = self.ids.get(piece)
             found = (own,) if own is not None else None
             if own is None and len(piece) == 1:
@@ -316,13 +321,22 @@ def states_between(matrices: list[np.ndarray], i: int, j: int) -> list[tuple[int
 
 # -- Spark ------------------------------------------------------------------
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = _CHUNKS) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: as Python objects they take several times the batch's bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        batch = None  # else it stays while the next one is read
+
+
 _WINDOW = "sha string, chunk int, block int, text string, a int, b int, first boolean, last boolean"
 
 
 def _windows(longest: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sha, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for sha, text in zip(batch.column(0), batch.column(1), strict=True):
+                sha = sha.as_py()
                 whole = SPACE + text.as_py().replace(" ", SPACE)
                 rows = []
                 for k, at in enumerate(range(0, len(whole), chunk)):
@@ -356,7 +370,7 @@ def encode_giants(texts: DataFrame, model, chunk: int) -> DataFrame:
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pieces(model.value)
-        for batch in batches:
+        for batch in _few(batches):
             found = [transfer(p, _window(r)) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array([m.shape[0] for m in found], pa.int32()),
@@ -402,7 +416,7 @@ def encode_giants(texts: DataFrame, model, chunk: int) -> DataFrame:
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pieces(model.value)
         words = WordEncoder(p)
-        for batch in batches:
+        for batch in _few(batches):
             found = [trace(p, words, _window(r), r["i"], r["j"]) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("sha"), batch.column("chunk"), pa.array([f[0] for f in found], pa.list_(pa.int32())),
@@ -463,6 +477,7 @@ def encode(
                     [batch.column(0).slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(ok, pa.bool_())],
                     ["_id", "ids", "round_trip"],
                 )
+            batch = None  # else it stays while the next one is read
 
     kind = f"_id {id_type}, ids array<int>, round_trip boolean"
     out = rows.where(~is_giant).mapInArrow(small, kind)

@@ -429,3 +429,19 @@ def test_small_sets_are_compared_whole_and_larger_ones_in_fragments(spark, tmp_p
     rows = {r["k"]: r["count"] for r in parts.groupBy("k").count().collect()}
     assert all(rows[k] == 1 for k, n in of.values() if n * 100 <= 64 * 75)
     assert all(rows[k] > 1 for k, n in of.values() if n > 64)
+
+
+def test_the_encoder_keeps_few_pieces_and_searches_few_chunks_at_once(monkeypatch):
+    with open(pieces.default_model(), "rb") as f:
+        p = pieces.Pieces(f.read())
+    rng = random.Random(5)
+    strings = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(400)]
+    expected = [p.single(x) for x in strings]
+    monkeypatch.setattr(pieces, "_KNOWN_WORDS", 50)
+    p._single.clear()
+    for x, ids in zip(strings, expected):
+        assert p.single(x) == ids and len(p._single) <= 51
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000))})
+    few = list(pieces._few(iter([batch, batch]), 300))
+    assert [b.num_rows for b in few] == [300, 300, 300, 100] * 2
+    assert pa.Table.from_batches(few) == pa.Table.from_batches([batch, batch])
